@@ -139,18 +139,20 @@ def score_intervals(events_iv: DataFrame, model: LinearModel, neutral: float,
     """T3 + K4: one scored row per non-empty interval.
 
     ``events_iv`` holds valid readings (sensor in 1..n) with ``interval_id``.  ``counts`` may
-    supply the per-interval event count when it differs from the valid readings (raw lines).
+    supply the per-interval event count when it differs from the valid readings (raw lines,
+    where an interval of malformed lines only is still scored on the old state).
     Output: interval_id, interval_no (1-based among non-empty intervals), n_events, margin, status.
     """
     last = last_per_sensor(events_iv)
-    deltas = carry_forward_deltas(last, neutral)
-    contrib = join_weights(deltas, model).select(
-        "interval_id", (F.col("weight") * (F.col("value") - F.col("prev_value"))).alias("d"))
-    per_iv = contrib.groupBy("interval_id").agg(F.sum("d").alias("d"))
-    if counts is None:
-        counts = interval_counts(events_iv)
-    tab = counts.join(per_iv, "interval_id", "left").select(
-        "interval_id", "n_events", F.coalesce("d", F.lit(0.0)).alias("d"), F.lit(1).cast("long").alias("one"))
+    prev = neighbour_value(last, "sensor", "interval_id", "value", "prev_value", direction="prev")
+    delta = F.col("weight") * (F.col("value") - F.coalesce("prev_value", F.lit(float(neutral))))
+    # one aggregate gives both the interval's weighted change and its event count
+    per_iv = join_weights(prev, model).groupBy("interval_id").agg(
+        F.sum(delta).alias("d"), F.sum("n_readings").alias("n_events"))
+    if counts is not None:
+        per_iv = counts.join(per_iv.drop("n_events"), "interval_id", "left")
+    tab = per_iv.select("interval_id", "n_events", F.coalesce("d", F.lit(0.0)).alias("d"),
+                        F.lit(1).cast("long").alias("one"))
     cum = running_totals(tab, "interval_id", ["d", "one"])
     base = float(model.intercept) + float(neutral) * float(sum(model.weights))
     margin = F.lit(base) + F.col("d_cum")

@@ -276,13 +276,13 @@ FROM il
 """
 
 # ---------------------------------------------------------------- classification reports
-_DIST = f"""px AS ({_UNNEST}),
-cent AS (SELECT label AS c, i, avg(x) AS m FROM px GROUP BY label, i),
+_DIST_FROM_PX = """cent AS (SELECT label AS c, i, avg(x) AS m FROM px GROUP BY label, i),
 dist AS (
   SELECT p.vec_id, p.label, c.c, round(sum((p.x - c.m) * (p.x - c.m)), 4) AS d
   FROM px p JOIN cent c ON p.i = c.i GROUP BY p.vec_id, p.label, c.c),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, c) AS rn FROM dist),
 pred AS (SELECT vec_id, label, c AS predict FROM ranked WHERE rn = 1)"""
+_DIST = f"px AS ({_UNNEST}),\n" + _DIST_FROM_PX
 
 ORACLE["classify_accuracy"] = f"""
 WITH {_DIST}
@@ -334,3 +334,23 @@ WITH r AS (SELECT event_type, CAST(dense_rank() OVER (ORDER BY event_type) AS IN
            FROM (SELECT DISTINCT event_type FROM events))
 SELECT e.event_type, r.label, count(*) AS n FROM events e JOIN r USING (event_type) GROUP BY e.event_type, r.label
 """
+
+# ---------------------------------------------------------------- stream forms
+ORACLE["stream_attention"] = ORACLE["interval_attention"]
+
+ORACLE["stream_intervals"] = f"""
+WITH {EV_HOUR},
+cnt AS (SELECT interval_id, count(*) AS n_events FROM ev GROUP BY interval_id)
+SELECT interval_id, n_events, CAST(count(*) OVER (ORDER BY interval_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS interval_no
+FROM cnt
+"""
+
+ORACLE["stream_classify"] = f"""
+WITH px AS (
+  SELECT vec_id, label, (CAST(unnest(p) AS DOUBLE) - 120.70756512369792) / 64.1500758911213 AS x, generate_subscripts(p, 1) AS i
+  FROM (SELECT vec_id, label, {PIX} AS p FROM embeddings)),
+{_DIST_FROM_PX}
+SELECT count(*) AS n, CAST(sum(CASE WHEN label = predict THEN 1 ELSE 0 END) AS BIGINT) AS correct,
+       round(100.0 * sum(CASE WHEN label = predict THEN 1 ELSE 0 END) / count(*), 4) AS pct
+FROM pred
+"""

@@ -387,3 +387,28 @@ def label_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select("event_type")
     r = with_class_rank(ev, "event_type", "label")
     return r.groupBy("event_type", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ------------------------------------------------------------------ model training
+@register("lr_train_predict")
+def lr_train_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q28 (V4 P6 K1 S1 P2 D1 K2 S7 D2): generate labelled 10-sensor vectors from every
+    lineitem row, write them as CSV text, read them back, train the logistic regression
+    (L-BFGS, no intercept), save and reload it, and score the training set.  L-BFGS is not
+    SQL-expressible, so this query has no oracle (row-count check only)."""
+    from vigil.operators import models as om_
+    from vigil.session import scratch_dir
+    from vigil.sinks import write_lines
+    from vigil.sources.lines import read_lines
+
+    g = _generated(spark, sf_dir)
+    base = scratch_dir(spark, "lr")
+    write_lines(g, fv.encode_vector(F.col("label"), F.col("features")), f"{base}/train")
+    train = om_.training_frame(read_lines(spark, f"{base}/train"))
+    model = om_.train_lr(train)
+    om_.save_model(model, f"{base}/model")
+    loaded = om_.load_model(f"{base}/model")
+    pred = om_.predict_lr(loaded, train)
+    acc = om.accuracy(pred.select("label", F.col("prediction").alias("predict")))
+    return acc.select("n", "correct", F.round("pct", 4).alias("pct"),
+                      F.lit(len(loaded.coefficients)).alias("n_coefficients"))

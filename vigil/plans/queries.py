@@ -98,7 +98,9 @@ def parse_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parse_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q3 (P1 reject path): well-formed and malformed lines, counted by outcome."""
     raw = table(spark, sf_dir, "events")
-    ev = iv.events_from_table(raw).join(raw.select(F.col("event_id").alias("seq"), "props", "event_type"), "seq")
+    ev = raw.select(iv.utc_instant(raw, "ts").alias("ts"), (F.col("user_id") + 1).cast("int").alias("sensor"),
+                    F.col("value").cast("double").alias("value"), F.col("event_id").alias("seq"),
+                    "props", "event_type")
     parsed = oe.parse_event_lines(_line_kinds(ev), n_sensors(raw))
     return parsed.groupBy("kind", "status").agg(F.count(F.lit(1)).alias("n"))
 

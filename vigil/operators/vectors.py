@@ -30,6 +30,9 @@ def uniform(key: Column, s: Column, seed: int) -> Column:
 
 
 def random_vector(key: Column, n: int, seed: int) -> Column:
+    """n uniforms for one row key; unrolled into codegen'd arithmetic up to ``UNROLL_MAX``."""
+    if n <= fv.UNROLL_MAX:
+        return F.array(*[uniform(key, F.lit(s), seed) for s in range(n)])
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda s: uniform(key, s, seed))
 
 
@@ -43,7 +46,7 @@ def generate_vectors(keys: DataFrame, key_col: str, n: int, seed: int = 42,
     """
     c = fv.default_cutoff(n) if cutoff is None else float(cutoff)
     out = keys.select(F.col(key_col).alias("key"), random_vector(F.col(key_col), n, seed).alias("features"))
-    out = out.withColumn("score", fv.weighted_score(F.col("features"), first_weight))
+    out = out.withColumn("score", fv.weighted_score(F.col("features"), first_weight, width=n))
     return out.select("key", fv.threshold_label(F.col("score"), c).cast("double").alias("label"),
                       "features", "score")
 

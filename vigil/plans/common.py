@@ -18,6 +18,7 @@ CROP_OUT = (6, 6)
 PROGRESS_EVERY = 100    # count-window size of the progress report
 REPLICAS = 5            # U1 replication factor
 TOPK = 5
+EMB_WIDTH = 64       # values per embeddings row
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

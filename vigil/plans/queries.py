@@ -22,7 +22,7 @@ from vigil.operators import metrics as om
 from vigil.operators import vectors as ov
 from vigil.operators.scan import global_index, running_totals
 from vigil.plans.common import (CROP_HW, CROP_OUT, DAY, HOUR, IMAGE_HWC, NEUTRAL, PROGRESS_EVERY,
-                                REPLICAS, TOPK, n_sensors, stand_in_model, table)
+                                REPLICAS, TOPK, EMB_WIDTH, n_sensors, stand_in_model, table)
 from vigil.sources.images import bytes_to_ints, byte_at, with_class_rank
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,7 +43,10 @@ def _events(spark: SparkSession, sf_dir: str, seconds: float):
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """embeddings as labelled float vectors (features ARRAY<DOUBLE>)."""
     e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("features"))
+    v = e.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("features"))
+    # the unrolled expressions assume the fixed width; a row of another width fails loudly
+    return v.withColumn("features", F.when(F.size("features") == EMB_WIDTH, F.col("features"))
+                        .otherwise(F.raise_error(F.lit(f"embedding width is not {EMB_WIDTH}"))))
 
 
 def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,14 +169,14 @@ def sentinel_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weighted_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q10 (V1): sum_s x_s * (s+1) per vector."""
     v = _vectors(spark, sf_dir)
-    return v.select("vec_id", F.round(fv.weighted_score(F.col("features")), 6).alias("score"))
+    return v.select("vec_id", F.round(fv.weighted_score(F.col("features"), width=EMB_WIDTH), 6).alias("score"))
 
 
 @register("threshold_label")
 def threshold_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q11 (V2 A8): label = score > 0, then the positive count and percent."""
     v = _vectors(spark, sf_dir)
-    lab = v.select(fv.threshold_label(fv.weighted_score(F.col("features")), 0.0).alias("label"))
+    lab = v.select(fv.threshold_label(fv.weighted_score(F.col("features"), width=EMB_WIDTH), 0.0).alias("label"))
     s = ov.label_stats(lab)
     return s.select("n", "n_ones", F.round("pct_ones", 6).alias("pct_ones"))
 
@@ -182,7 +185,7 @@ def threshold_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 def score_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q12 (O1 O2 A7): empirical cutoff table of the embedding scores."""
     v = _vectors(spark, sf_dir)
-    sc = v.select(fv.weighted_score(F.col("features")).alias("score"))
+    sc = v.select(fv.weighted_score(F.col("features"), width=EMB_WIDTH).alias("score"))
     return ov.score_cutoffs(sc).select("pct", F.round("cutoff", 6).alias("cutoff"))
 
 

@@ -24,15 +24,16 @@ STREAM_TIMEOUT_S = 1800
 
 def write_event_line_files(events: DataFrame, path: str) -> None:
     """Event lines as files written chunk after chunk in time order (file streams read the
-    oldest files first), then the end-of-stream record."""
+    oldest files first); the end-of-stream record rides with the last chunk."""
     ev = events.withColumn("chunk", F.floor(iv.interval_id(F.col("ts"), DAY) / CHUNK_DAYS))
     keyed = ev.select(fe.encode_event(F.col("ts"), F.col("sensor"), F.col("value")).alias("value"), "chunk")
     chunks = sorted(r[0] for r in ev.select("chunk").distinct().collect())  # a few chunk ids
-    for c in chunks:
-        keyed.where(F.col("chunk") == c).select("value").repartition(FILES_PER_CHUNK) \
-             .write.mode("append").text(path)
     end = events.agg(F.max("ts").alias("ts")).select(fe.sentinel_line(F.col("ts")).alias("value"))
-    end.write.mode("append").text(path)
+    for c in chunks:
+        part = keyed.where(F.col("chunk") == c).select("value")
+        if c == chunks[-1]:
+            part = part.unionByName(end)
+        part.repartition(FILES_PER_CHUNK).write.mode("append").text(path)
 
 
 def _score_stream(spark: SparkSession, sf_dir: str, seconds: float) -> DataFrame:

@@ -20,3 +20,30 @@ def test_stream_equals_batch(spark):
 def test_image_stream_totals(spark):
     r = E.queries()["stream_classify"](spark, SF001).first()
     assert r["n"] == 500 and 0 <= r["correct"] <= 500
+
+
+def test_stop_when_idle(spark):
+    """T5: a running line stream stops at its first empty report after data arrived."""
+    import os
+    import tempfile
+
+    from pyspark.sql import functions as F
+
+    from vigil.sources.lines import text_stream
+    from vigil.streaming.scoring import stop_when_idle
+
+    d = tempfile.mkdtemp(prefix="vigil-idle-")
+    with open(os.path.join(d, "a.txt"), "w") as fh:
+        fh.write("2018-01-13T21:37:30.830Z,1,Sensor 1,0.5\n")
+    old = spark.conf.get("spark.sql.streaming.noDataProgressEventInterval")
+    spark.conf.set("spark.sql.streaming.noDataProgressEventInterval", "500ms")
+    try:
+        counts = text_stream(spark, d).agg(F.count(F.lit(1)).alias("n"))
+        q = (counts.writeStream.outputMode("complete").format("memory").queryName("idle_probe")
+             .option("checkpointLocation", tempfile.mkdtemp(prefix="vigil-idle-ck-"))
+             .trigger(processingTime="200 milliseconds").start())
+        stop_when_idle(q, timeout=120)
+        assert not q.isActive
+        assert spark.table("idle_probe").first()["n"] == 1
+    finally:
+        spark.conf.set("spark.sql.streaming.noDataProgressEventInterval", old)

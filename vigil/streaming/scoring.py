@@ -148,14 +148,15 @@ def stop_on_sentinel(query: StreamingQuery, poll: float = 0.2, timeout: float |
     return eos_batch is not None
 
 
-def stop_when_idle(query: StreamingQuery, poll: float = 0.5, timeout: float | None = None) -> int:
-    """T5: stop at the first micro-batch without input after data began; returns the number
-    of empty batches seen before data began."""
-    started, empty, t0, last = False, 0, time.time(), -1
+def stop_when_idle(query: StreamingQuery, poll: float = 0.2, timeout: float | None = None) -> int:
+    """T5: stop at the first progress report without input rows once data has begun (an empty
+    reporting interval).  Idle reports arrive every ``spark.sql.streaming.noDataProgressEventInterval``.
+    Returns the number of empty reports seen before data began."""
+    started, empty, t0, seen = False, 0, time.time(), None
     while query.isActive:
         p = query.lastProgress
-        if p and p.batchId != last:
-            last = p.batchId
+        if p is not None and p.timestamp != seen:
+            seen = p.timestamp
             if p.numInputRows > 0:
                 started = True
             elif started:
@@ -163,6 +164,8 @@ def stop_when_idle(query: StreamingQuery, poll: float = 0.5, timeout: float | No
                 break
             else:
                 empty += 1
+        if query.exception():
+            raise query.exception()
         if timeout and time.time() - t0 > timeout:
             query.stop()
             break

@@ -44,7 +44,8 @@ def _score_stream(spark: SparkSession, sf_dir: str, seconds: float) -> DataFrame
     write_event_line_files(events, f"{base}/in")
     lines = text_stream(spark, f"{base}/in", max_files_per_trigger=FILES_PER_CHUNK)
     q = ss.start_interval_scoring(lines, model, NEUTRAL, seconds, f"{base}/out", f"{base}/ckpt",
-                                  delay=f"{CHUNK_DAYS + 1} days", processing_time="0 seconds")
+                                  delay=f"{CHUNK_DAYS + 1} days", processing_time="0 seconds",
+                                  state_partitions=spark.sparkContext.defaultParallelism)
     if not ss.stop_on_sentinel(q, timeout=STREAM_TIMEOUT_S):
         raise TimeoutError("event stream did not reach its end-of-stream record")
     return ss.read_scores(spark, f"{base}/out")

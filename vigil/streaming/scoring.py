@@ -107,10 +107,26 @@ class IntervalScorer:
         new_state.write.mode("overwrite").parquet(f"{self.state_dir}/b={batch_id}")
 
 
+def start_with_state_partitions(writer, spark: SparkSession, state_partitions: int | None) -> StreamingQuery:
+    """Start a stateful query with a chosen number of state-store partitions.  Spark fixes the
+    number from ``spark.sql.shuffle.partitions`` when the query first starts (and keeps it in
+    the checkpoint), so the setting is applied for the start call only."""
+    if not state_partitions:
+        return writer.start()
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(int(state_partitions)))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 def start_interval_scoring(lines: DataFrame, model: LinearModel, neutral: float, seconds: float,
                            out_dir: str, checkpoint: str, delay: str = "0 seconds",
-                           available_now: bool = False, processing_time: str | None = None) -> StreamingQuery:
-    """Start the scorer; results accumulate under ``out_dir`` (one folder per batch id)."""
+                           available_now: bool = False, processing_time: str | None = None,
+                           state_partitions: int | None = None) -> StreamingQuery:
+    """Start the scorer; results accumulate under ``out_dir`` (one folder per batch id).
+    ``state_partitions`` sizes the state store (default: the session's shuffle partitions)."""
     readings = closed_interval_readings(lines, model.n, seconds, delay)
     scorer = IntervalScorer(model, neutral, seconds, out_dir, f"{checkpoint.rstrip('/')}/scorer-state")
     w = (readings.writeStream.outputMode("append").foreachBatch(scorer)
@@ -119,7 +135,7 @@ def start_interval_scoring(lines: DataFrame, model: LinearModel, neutral: float,
         w = w.trigger(availableNow=True)
     elif processing_time:
         w = w.trigger(processingTime=processing_time)  # T1 cadence: the reporting interval
-    return w.start()
+    return start_with_state_partitions(w, lines.sparkSession, state_partitions)
 
 
 def read_scores(spark: SparkSession, out_dir: str) -> DataFrame:

@@ -49,6 +49,9 @@ def test_generate_is_deterministic_and_rounds_rows(spark):
     assert all(np.allclose(x, y) for x, y in zip(common["features_x"], common["features_y"]))
     f = np.stack(a["features"].values)
     assert f.min() >= 0 and f.max() < 1 and abs(f.mean() - 0.5) < 0.02
+    corr = np.corrcoef(f.T)
+    assert np.abs(corr - np.eye(10)).max() < 0.12  # values of one row are not related
+    assert abs(f.std() - (1 / 12) ** 0.5) < 0.01
     score = (f * np.arange(1, 11)).sum(axis=1)
     assert np.allclose(score, a["score"].values)
     assert ((score > 27.5).astype(float) == a["label"].values).all()

@@ -27,12 +27,13 @@ def training_frame(lines: DataFrame, line_col: str = "value") -> DataFrame:
 def train_lr(train: DataFrame, fit_intercept: bool = False, max_iter: int = 100, reg: float = 0.0,
              tol: float = 1e-6) -> LogisticRegressionModel:
     """Binary logistic regression, L-BFGS.  Defaults keep the original trainer's:
-    no intercept, no regularisation, 100 iterations, tolerance 1e-6.  The data is cached for
+    no intercept, no regularisation, 100 iterations, tolerance 1e-6, features scaled inside
+    the optimiser (the optimum is unchanged without regularisation).  The data is cached for
     the iterations (each L-BFGS step is one distributed treeAggregate)."""
     cached = train.select("label", "features").cache()
     try:
         lr = LogisticRegression(maxIter=max_iter, regParam=reg, tol=tol, fitIntercept=fit_intercept,
-                                standardization=False, family="binomial")
+                                standardization=True, family="binomial")
         return lr.fit(cached)
     finally:
         cached.unpersist()

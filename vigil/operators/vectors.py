@@ -9,24 +9,31 @@ from pyspark.sql import functions as F
 from vigil.functions import vectors as fv
 from vigil.operators.scan import global_index
 
-# Fixed values of the integer hash behind the generator (an LCG step: a * x + c mod 2^31),
-# chosen so that every product fits in a signed 64-bit integer and DuckDB can repeat it.
-LCG_A = 1103515245
-LCG_C = 12345
+# Fixed values of the integer hash behind the generator: multiply-add steps mod 2^31 with
+# xor-shift mixing in between (affine steps alone would leave the values of one row in an
+# arithmetic progression).  Every product fits in a signed 64-bit integer, so DuckDB can
+# repeat the numbers exactly.
+MUL = 1103515245
+ADD = 12345
 MOD31 = 2147483648
 
 
-def _lcg(x: Column) -> Column:
-    return F.pmod(x * F.lit(LCG_A) + F.lit(LCG_C), F.lit(MOD31))
+def _mix(x: Column, shift: int) -> Column:
+    return x.bitwiseXOR(F.shiftright(x, shift))
+
+
+def _step(x: Column) -> Column:
+    return F.pmod(x * F.lit(MUL) + F.lit(ADD), F.lit(MOD31))
 
 
 def uniform(key: Column, s: Column, seed: int) -> Column:
     """Uniform [0, 1) from (row key, sensor index, seed) - the same number on every run and
     every partitioning (``rand(seed)`` depends on the partition layout)."""
     k = F.pmod(key.cast("long"), F.lit(MOD31)).bitwiseXOR(F.shiftright(key.cast("long"), 31))
-    x = F.pmod(k * F.lit(LCG_A) + s.cast("long") * F.lit(LCG_C) + F.lit(int(seed)), F.lit(MOD31))
-    x = _lcg(_lcg(_lcg(x)))
-    return x.cast("double") / F.lit(float(MOD31))
+    x = F.pmod(k * F.lit(MUL) + s.cast("long") * F.lit(ADD) + F.lit(int(seed)), F.lit(MOD31))
+    x = _step(_mix(_step(_mix(x, 13)), 16))
+    x = _step(_mix(_step(_mix(x, 13)), 16))
+    return _mix(x, 15).cast("double") / F.lit(float(MOD31))
 
 
 def random_vector(key: Column, n: int, seed: int) -> Column:

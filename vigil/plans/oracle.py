@@ -69,14 +69,20 @@ PIX = ("list_transform(embedding, lambda x: CAST(least(greatest(round((CAST(x AS
 SCORE = f"list_sum(list_transform({VEC}, lambda x, i: x * i))"
 
 
-def _lcg(z: str) -> str:
+def _step(z: str) -> str:
     return f"((({z}) * 1103515245 + 12345) % 2147483648)"
 
 
+def _mix(z: str, shift: int) -> str:
+    return f"xor(({z}), ({z}) >> {shift})"
+
+
 def _uniform(key: str, s: str, seed: int = 42) -> str:
     k = f"xor(({key}) % 2147483648, ({key}) >> 31)"
     x = f"(({k}) * 1103515245 + ({s}) * 12345 + {seed}) % 2147483648"
-    return f"(CAST({_lcg(_lcg(_lcg(x)))} AS DOUBLE) / 2147483648.0)"
+    x = _step(_mix(_step(_mix(x, 13)), 16))
+    x = _step(_mix(_step(_mix(x, 13)), 16))
+    return f"(CAST({_mix(x, 15)} AS DOUBLE) / 2147483648.0)"
 
 
 GEN = f"""gen AS (

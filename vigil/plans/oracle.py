@@ -87,7 +87,7 @@ def _uniform(key: str, s: str, seed: int = 42) -> str:
 
 GEN = f"""gen AS (
   SELECT k, f, list_sum(list_transform(f, lambda x, i: x * i)) AS score,
-         CASE WHEN list_sum(list_transform(f, lambda x, i: x * i)) > 27.5 THEN 1.0 ELSE 0.0 END AS label
+         CAST(CASE WHEN list_sum(list_transform(f, lambda x, i: x * i)) > 27.5 THEN 1 ELSE 0 END AS DOUBLE) AS label
   FROM (SELECT k, list_transform(range(0, 10), lambda s: {_uniform('k', 's')}) AS f
         FROM (SELECT l_orderkey * 8 + l_linenumber AS k FROM lineitem)))"""
 
@@ -155,8 +155,8 @@ SELECT CAST(sum(CASE WHEN NOT empty THEN 1 ELSE 0 END) AS BIGINT) AS n_intervals
        CAST(sum(CASE WHEN empty THEN 1 ELSE 0 END) AS BIGINT) AS n_empty,
        CAST(sum(n_events) AS BIGINT) AS n_events,
        round((SELECT (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 FROM ev), 3) AS span_seconds,
-       sum(CASE WHEN NOT empty THEN 1 ELSE 0 END) * 3600.0 AS active_seconds,
-       round(sum(n_events) / (sum(CASE WHEN NOT empty THEN 1 ELSE 0 END) * 3600.0), 6) AS events_per_sec
+       CAST(sum(CASE WHEN NOT empty THEN 1 ELSE 0 END) * 3600 AS DOUBLE) AS active_seconds,
+       round(CAST(sum(n_events) AS DOUBLE) / (sum(CASE WHEN NOT empty THEN 1 ELSE 0 END) * 3600.0), 6) AS events_per_sec
 FROM spine
 """
 

@@ -12,7 +12,6 @@ from vigil.operators import intervals as iv
 from vigil.operators import models as om
 from vigil.operators import vectors as ov
 
-
 def test_train_save_load_predict(spark):
     g = ov.generate_range(spark, 800, 5, 4, seed=11)
     lines = g.select(F.concat_ws(",", F.format_string("%.5f", "label"),
@@ -34,7 +33,6 @@ def test_train_save_load_predict(spark):
         F.get(vector_to_array("rawPrediction"), 1).alias("m")).toPandas()["m"]
     assert np.allclose(m1.values, m2.values)
 
-
 def test_interval_scores_with_trained_model(spark):
     model = iv.LinearModel([0.5, -1.0, 2.0], 0.25)
     t0 = dt.datetime(2024, 1, 1)
@@ -43,12 +41,10 @@ def test_interval_scores_with_trained_model(spark):
     got = [r["margin"] for r in iv.score_intervals(iv.with_interval(ev, 3600), model, 0.0).orderBy("interval_id").collect()]
     assert np.allclose(got, [0.25 + 1.0 + 2.0, 0.25 + 1.0 - 4.0 + 2.0])
 
-
 def test_network_udf_matches_linear_scorer(spark):
     w = np.arange(12, dtype=float).reshape(4, 3)
 
     def make():
-        import numpy as np_
 
         def predict(x):
             return x.reshape(len(x), -1) @ w

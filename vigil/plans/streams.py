@@ -17,7 +17,7 @@ from vigil.sources.lines import text_stream
 from vigil.streaming import images as si
 from vigil.streaming import scoring as ss
 
-CHUNK_DAYS = 10     # one group of input files per 10 days of events
+CHUNK_DAYS = 15     # one group of input files per 15 days of events
 FILES_PER_CHUNK = 2
 STREAM_TIMEOUT_S = 1800
 

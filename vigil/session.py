@@ -52,3 +52,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     spark.sparkContext.setCheckpointDir(base)
     return spark.sparkContext.getCheckpointDir() or base
 
+
+
+def materialize(df):
+    """Cut the lineage of ``df``: write it to the shared checkpoint folder (reliable, survives a
+    lost executor) and continue from the written copy.  Used where a plan reads one
+    intermediate twice: Catalyst prunes columns differently in the two branches, so the
+    exchanges below them are not reused and the whole upstream (scan, shuffle, aggregate)
+    would run twice."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

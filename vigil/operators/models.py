@@ -70,6 +70,22 @@ def network_udf(make_predict_fn: Callable[[], Callable[[np.ndarray], np.ndarray]
                              batch_size=batch_size, input_tensor_shapes=[list(input_shape)])
 
 
+def onnx_loader(path: str, input_name: str | None = None) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:
+    """S8 (single-file network): a ``make_predict_fn`` for ``network_udf`` that opens an ONNX
+    model once per Python worker (onnxruntime, CPU).  The path must be readable by every
+    executor (shared storage)."""
+    def make():
+        import onnxruntime as ort  # imported on the worker
+
+        sess = ort.InferenceSession(path, providers=["CPUExecutionProvider"])
+        name = input_name or sess.get_inputs()[0].name
+
+        def predict(x: np.ndarray) -> np.ndarray:
+            return sess.run(None, {name: x.astype(np.float32)})[0].astype(np.float64)
+        return predict
+    return make
+
+
 def transformer_chain(df: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """A chain of feature transformers (each a DataFrame -> DataFrame step)."""
     for step in steps:

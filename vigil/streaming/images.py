@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from vigil.functions import images as fi
 from vigil.operators.metrics import MAX_CENTROID_VALUES, correct, nearest_mean_scores
+from vigil.operators.models import transformer_chain
 
 
 def fitted_model_literals(model: DataFrame) -> tuple[list[int], list[list[float]]]:
@@ -23,12 +24,22 @@ def fitted_model_literals(model: DataFrame) -> tuple[list[int], list[list[float]
 
 def classify_lines(lines: DataFrame, classes: list[int], centroids: list[list[float]],
                    mean: float = fi.CIFAR_MEAN, std: float = fi.CIFAR_STD) -> DataFrame:
-    """Form-A image lines -> label, predict (the same expressions work on a static frame)."""
-    p = fi.parse_image_a(F.col("value"))
-    parsed = lines.select(p["label"].alias("label"), p["pixels"].alias("pixels"))
-    x = fi.normalise(F.col("pixels"), mean, std)
-    scores = nearest_mean_scores(x, F.lit(centroids))
-    return parsed.select("label", F.get(F.lit(classes), fi.argmax(scores)).alias("predict"))
+    """Form-A image lines -> label, predict (the same expressions work on a static frame).
+    The steps form a D6 transformer chain: parse -> normalise -> score -> argmax."""
+    def parse(df: DataFrame) -> DataFrame:
+        p = fi.parse_image_a(F.col("value"))
+        return df.select(p["label"].alias("label"), p["pixels"].alias("pixels"))
+
+    def scale(df: DataFrame) -> DataFrame:
+        return df.select("label", fi.normalise(F.col("pixels"), mean, std).alias("x"))
+
+    def score(df: DataFrame) -> DataFrame:
+        return df.select("label", nearest_mean_scores(F.col("x"), F.lit(centroids)).alias("scores"))
+
+    def predict(df: DataFrame) -> DataFrame:
+        return df.select("label", F.get(F.lit(classes), fi.argmax(F.col("scores"))).alias("predict"))
+
+    return transformer_chain(lines, parse, scale, score, predict)
 
 
 def start_image_classification(lines: DataFrame, classes, centroids, out_dir: str, checkpoint: str,

@@ -56,7 +56,8 @@ def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _line_kinds(ev: DataFrame) -> DataFrame:
-    """Good and malformed wire lines derived from every event row."""
+    """Good and malformed wire lines derived from every event row: one scan, one generator
+    (``explode`` of six (kind, line) pairs per row) - no union of six scans."""
     good = fe.encode_event(F.col("ts"), F.col("sensor"), F.col("value"))
     head3 = F.concat_ws(",", fe.format_ts_utc(F.col("ts")), F.col("sensor").cast("string"),
                         fe.sensor_name(F.col("sensor")))
@@ -69,11 +70,8 @@ def _line_kinds(ev: DataFrame) -> DataFrame:
         ("extra_field", F.concat(good, F.lit(","), F.col("event_type"))),
         ("zero_based", zero_based),
     ]
-    parts = [ev.select(F.lit(k).alias("kind"), "seq", line.alias("value")) for k, line in kinds]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    pairs = F.array(*[F.struct(F.lit(k).alias("kind"), line.alias("value")) for k, line in kinds])
+    return ev.select("seq", F.explode(pairs).alias("p")).select("p.kind", "seq", "p.value")
 
 
 # ------------------------------------------------------------------ sensor intervals

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 VALUE_FORMAT = "%.5f"  # fixed value: every field of a training line is written with 5 decimals
 
+# Widths up to this many values are unrolled into plain column arithmetic (whole-stage
+# codegen, ~10x faster than an interpreted lambda); wider vectors use higher-order functions.
+UNROLL_MAX = 256
+
 
 def parse_training_array(line: Column) -> Column:
     """All fields to double (null when a field is not numeric)."""
@@ -21,8 +25,11 @@ def training_features(arr: Column) -> Column:
     return F.slice(arr, 2, F.size(arr) - 1)
 
 
-def encode_vector(label: Column, features: Column) -> Column:
-    """``label,v1,...,vn`` with ``%.5f`` fields."""
+def encode_vector(label: Column, features: Column, width: int | None = None) -> Column:
+    """``label,v1,...,vn`` with ``%.5f`` fields (unrolled when ``width`` is given)."""
+    if width is not None and width <= UNROLL_MAX:
+        return F.concat_ws(",", F.format_string(VALUE_FORMAT, label.cast("double")),
+                           *[F.format_string(VALUE_FORMAT, F.get(features, i).cast("double")) for i in range(width)])
     return F.concat_ws(
         ",",
         F.format_string(VALUE_FORMAT, label.cast("double")),
@@ -30,11 +37,6 @@ def encode_vector(label: Column, features: Column) -> Column:
     )
 
 
-# Widths up to this many values are unrolled into plain column arithmetic (whole-stage
-# codegen, ~10x faster than an interpreted lambda); wider vectors use higher-order functions.
-UNROLL_MAX = 256
-
-
 def weighted_score(features: Column, first_weight: int = 1, width: int | None = None) -> Column:
     """V1: sum_s x_s * (s + first_weight), s from 0.  first_weight=1 gives weights 1..n;
     first_weight=2 gives 2..n+1.  Pass ``width`` when every vector has that many values to get

@@ -26,21 +26,27 @@ def _step(x: Column) -> Column:
     return F.pmod(x * F.lit(MUL) + F.lit(ADD), F.lit(MOD31))
 
 
-def uniform(key: Column, s: Column, seed: int) -> Column:
+def key_mix(key: Column) -> Column:
+    """Fold a 64-bit row key into 31 bits (computed once per row)."""
+    return F.pmod(key.cast("long"), F.lit(MOD31)).bitwiseXOR(F.shiftright(key.cast("long"), 31))
+
+
+def uniform(key: Column, s: Column, seed: int, mixed: Column | None = None) -> Column:
     """Uniform [0, 1) from (row key, sensor index, seed) - the same number on every run and
-    every partitioning (``rand(seed)`` depends on the partition layout)."""
-    k = F.pmod(key.cast("long"), F.lit(MOD31)).bitwiseXOR(F.shiftright(key.cast("long"), 31))
+    every partitioning (``rand(seed)`` depends on the partition layout).  ``mixed`` may pass a
+    column that already holds ``key_mix(key)``."""
+    k = mixed if mixed is not None else key_mix(key)
     x = F.pmod(k * F.lit(MUL) + s.cast("long") * F.lit(ADD) + F.lit(int(seed)), F.lit(MOD31))
-    x = _step(_mix(_step(_mix(x, 13)), 16))
-    x = _step(_mix(_step(_mix(x, 13)), 16))
-    return _mix(x, 15).cast("double") / F.lit(float(MOD31))
+    # two xor-shift rounds: each doubles the expression tree, so the count stays small
+    x = _mix(_step(_mix(_step(x), 16)), 13)
+    return x.cast("double") / F.lit(float(MOD31))
 
 
-def random_vector(key: Column, n: int, seed: int) -> Column:
+def random_vector(key: Column, n: int, seed: int, mixed: Column | None = None) -> Column:
     """n uniforms for one row key; unrolled into codegen'd arithmetic up to ``UNROLL_MAX``."""
     if n <= fv.UNROLL_MAX:
-        return F.array(*[uniform(key, F.lit(s), seed) for s in range(n)])
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda s: uniform(key, s, seed))
+        return F.array(*[uniform(key, F.lit(s), seed, mixed) for s in range(n)])
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda s: uniform(key, s, seed, mixed))
 
 
 def generate_vectors(keys: DataFrame, key_col: str, n: int, seed: int = 42,
@@ -52,7 +58,8 @@ def generate_vectors(keys: DataFrame, key_col: str, n: int, seed: int = 42,
     features ARRAY<DOUBLE>, score DOUBLE.
     """
     c = fv.default_cutoff(n) if cutoff is None else float(cutoff)
-    out = keys.select(F.col(key_col).alias("key"), random_vector(F.col(key_col), n, seed).alias("features"))
+    mixed = keys.select(F.col(key_col).alias("key"), key_mix(F.col(key_col)).alias("_k"))
+    out = mixed.select("key", random_vector(F.col("key"), n, seed, F.col("_k")).alias("features"))
     out = out.withColumn("score", fv.weighted_score(F.col("features"), first_weight, width=n))
     return out.select("key", fv.threshold_label(F.col("score"), c).cast("double").alias("label"),
                       "features", "score")

@@ -19,6 +19,7 @@ PROGRESS_EVERY = 100    # count-window size of the progress report
 REPLICAS = 5            # U1 replication factor
 TOPK = 5
 EMB_WIDTH = 64       # values per embeddings row
+GEN_SENSORS = 10     # sensors per generated training vector (one vector per lineitem row)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -80,9 +80,8 @@ def _mix(z: str, shift: int) -> str:
 def _uniform(key: str, s: str, seed: int = 42) -> str:
     k = f"xor(({key}) % 2147483648, ({key}) >> 31)"
     x = f"(({k}) * 1103515245 + ({s}) * 12345 + {seed}) % 2147483648"
-    x = _step(_mix(_step(_mix(x, 13)), 16))
-    x = _step(_mix(_step(_mix(x, 13)), 16))
-    return f"(CAST({_mix(x, 15)} AS DOUBLE) / 2147483648.0)"
+    x = _mix(_step(_mix(_step(x), 16)), 13)
+    return f"(CAST({x} AS DOUBLE) / 2147483648.0)"
 
 
 GEN = f"""gen AS (

@@ -22,7 +22,7 @@ from vigil.operators import metrics as om
 from vigil.operators import vectors as ov
 from vigil.operators.scan import global_index, running_totals
 from vigil.plans.common import (CROP_HW, CROP_OUT, DAY, HOUR, IMAGE_HWC, NEUTRAL, PROGRESS_EVERY,
-                                REPLICAS, TOPK, EMB_WIDTH, n_sensors, stand_in_model, table)
+                                REPLICAS, TOPK, EMB_WIDTH, GEN_SENSORS, n_sensors, stand_in_model, table)
 from vigil.sources.images import bytes_to_ints, byte_at, with_class_rank
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -201,7 +201,7 @@ def encode_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     keys = li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("k"))
-    return ov.generate_vectors(keys, "k", n=10, seed=42)
+    return ov.generate_vectors(keys, "k", n=GEN_SENSORS, seed=42)
 
 
 @register("generate_vectors")
@@ -406,7 +406,7 @@ def lr_train_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     g = _generated(spark, sf_dir)
     base = scratch_dir(spark, "lr")
-    write_lines(g, fv.encode_vector(F.col("label"), F.col("features")), f"{base}/train")
+    write_lines(g, fv.encode_vector(F.col("label"), F.col("features"), width=GEN_SENSORS), f"{base}/train")
     train = om_.training_frame(read_lines(spark, f"{base}/train"))
     model = om_.train_lr(train)
     om_.save_model(model, f"{base}/model")

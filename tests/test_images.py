@@ -92,3 +92,12 @@ def test_labelled_folder(spark):
                 fh.write(b"x" * 3)
     got = {r["image_name"]: r["label"] for r in si.labelled_folder(spark, d).collect()}
     assert got == {"c.jpg": 1.0, "a.jpg": 2.0, "b.jpg": 2.0, "d.jpg": 3.0}
+
+
+def test_binary_records_empty_and_partial_files(spark):
+    d = tempfile.mkdtemp(prefix="vigil-rec-empty-")
+    open(os.path.join(d, "empty.bin"), "wb").close()
+    with open(os.path.join(d, "one.bin"), "wb") as fh:
+        fh.write(bytes([3]) + bytes(range(12)) + b"\x01\x02")  # one record plus a short tail
+    got = si.binary_records(spark, d, 13).collect()
+    assert len(got) == 1 and got[0]["data"][0] == 3

@@ -32,7 +32,8 @@ def split_records(blobs: DataFrame, content: str, record_len: int) -> DataFrame:
     """Cut a BINARY column into fixed-length records: one output row per record, with its
     0-based number within the blob."""
     n = F.floor(F.length(F.col(content)) / F.lit(record_len)).cast("int")
-    rec = blobs.select("*", F.posexplode(F.sequence(F.lit(0), n - 1)).alias("record", "_r"))
+    ids = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    rec = blobs.select("*", F.posexplode(ids).alias("record", "_r"))
     return rec.withColumn("data", F.substring(F.col(content), F.col("_r") * record_len + 1, record_len)).drop("_r", content)
 
 

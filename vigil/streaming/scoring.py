@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
@@ -50,7 +50,8 @@ def closed_interval_readings(lines: DataFrame, n_sensors: int, seconds: float, d
 class IntervalScorer:
     """``foreachBatch`` function: scores the intervals closed in each micro-batch.
 
-    Per micro-batch: one job writes the scores, one job writes the new state.  The windows
+    Per micro-batch: one job writes the scores (the batch totals come back as observed
+    metrics of that job), one job writes the new state.  The windows
     here run over one micro-batch's closed intervals only (bounded by the trigger), so a
     plain ``Window`` is the right tool; the carried state table has one row per sensor.
     """
@@ -61,6 +62,7 @@ class IntervalScorer:
         self.model, self.neutral, self.seconds = model, float(neutral), float(seconds)
         self.out_dir, self.state_dir = out_dir.rstrip("/"), state_dir.rstrip("/")
         self.base = float(model.intercept) + self.neutral * float(sum(model.weights))
+        self._totals: tuple[int, float, int] | None = None  # (batch_id, d_cum, n_cum) after that batch
 
     def _state(self, spark: SparkSession, batch_id: int) -> DataFrame:
         try:
@@ -77,10 +79,17 @@ class IntervalScorer:
         finally:
             rows.unpersist()
 
+    def _run_totals(self, state: DataFrame, batch_id: int) -> tuple[float, int]:
+        """Running (weighted change, interval count) before this batch: kept in memory between
+        consecutive batches, read back from the state table after a restart or replay."""
+        if self._totals is not None and self._totals[0] == batch_id - 1:
+            return self._totals[1], self._totals[2]
+        r = state.agg(F.max("d_cum").alias("d"), F.max("n_cum").alias("n")).first()  # one row
+        return float(r["d"] or 0.0), int(r["n"] or 0)
+
     def _score(self, spark: SparkSession, rows: DataFrame, batch_id: int) -> None:
         state = self._state(spark, batch_id)
-        r = state.agg(F.max("d_cum").alias("d"), F.max("n_cum").alias("n")).first()  # one row
-        d0, n0 = float(r["d"] or 0.0), int(r["n"] or 0)
+        d0, n0 = self._run_totals(state, batch_id)
 
         by_sensor = Window.partitionBy("sensor").orderBy("interval_id")
         prev = rows.join(state.select("sensor", F.col("value").alias("state_value")), "sensor", "left")
@@ -88,16 +97,16 @@ class IntervalScorer:
                                                         F.lit(self.neutral)))
         delta = F.col("weight") * (F.col("value") - F.col("prev_value"))
         per_iv = join_weights(prev, self.model).groupBy("interval_id").agg(
-            F.sum(delta).alias("d"), F.sum("n_readings").alias("n_events")).persist()
-        try:
-            upto = Window.orderBy("interval_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            margin = F.lit(self.base + d0) + F.sum("d").over(upto)
-            scores = per_iv.select("interval_id", (F.count(F.lit(1)).over(upto) + F.lit(n0)).alias("interval_no"),
-                                   "n_events", margin.alias("margin"), status_of(margin).alias("status"))
-            scores.write.mode("overwrite").parquet(f"{self.out_dir}/b={batch_id}")
-            t = per_iv.agg(F.sum("d").alias("d"), F.count(F.lit(1)).alias("n")).first()
-        finally:
-            per_iv.unpersist()
+            F.sum(delta).alias("d"), F.sum("n_readings").alias("n_events"))
+        # the batch totals ride along with the scores write as observed metrics (no extra job)
+        obs = Observation(f"scorer_totals_{batch_id}")
+        per_iv = per_iv.observe(obs, F.coalesce(F.sum("d"), F.lit(0.0)).alias("d"), F.count(F.lit(1)).alias("n"))
+        upto = Window.orderBy("interval_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        margin = F.lit(self.base + d0) + F.sum("d").over(upto)
+        scores = per_iv.select("interval_id", (F.count(F.lit(1)).over(upto) + F.lit(n0)).alias("interval_no"),
+                               "n_events", margin.alias("margin"), status_of(margin).alias("status"))
+        scores.write.mode("overwrite").parquet(f"{self.out_dir}/b={batch_id}")
+        t = obs.get
         d1, n1 = d0 + float(t["d"] or 0.0), n0 + int(t["n"])
 
         latest = rows.groupBy("sensor").agg(F.max_by("value", "interval_id").alias("value"))
@@ -105,6 +114,7 @@ class IntervalScorer:
         new_state = latest.unionByName(kept).select(
             "sensor", "value", F.lit(d1).alias("d_cum"), F.lit(n1).cast("long").alias("n_cum"))
         new_state.write.mode("overwrite").parquet(f"{self.state_dir}/b={batch_id}")
+        self._totals = (batch_id, d1, n1)
 
 
 def start_with_state_partitions(writer, spark: SparkSession, state_partitions: int | None) -> StreamingQuery:

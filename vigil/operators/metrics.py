@@ -45,6 +45,22 @@ def predict_nearest_mean(df: DataFrame, model: DataFrame, features: str = "featu
     return out.withColumn("predict", F.get(F.col("_classes"), fi.argmax(F.col("scores")))).drop("_centroids", "_classes")
 
 
+def nearest_mean_predict_fn(centroids, decimals: int = 4):
+    """A ``make_predict_fn`` for ``models.network_udf``: the class-mean model as a numpy
+    network (one batch of rows -> one batch of class scores), the same scores as
+    ``nearest_mean_scores``.  The centroids travel in the closure (bounded: classes x width)."""
+    import numpy as np
+
+    c = np.asarray(centroids, dtype=np.float64)
+
+    def make():
+        def predict(x):
+            d = ((x[:, None, :] - c[None, :, :]) ** 2).sum(axis=-1)
+            return -np.round(d, decimals)
+        return predict
+    return make
+
+
 def correct(label: Column, predict: Column) -> Column:
     """``(label == predict)`` as 0/1."""
     return (label == predict).cast("int")

@@ -296,6 +296,8 @@ SELECT count(*) AS n, CAST(sum(CASE WHEN label = predict THEN 1 ELSE 0 END) AS B
 FROM pred
 """
 
+ORACLE["classify_accuracy_udf"] = ORACLE["classify_accuracy"]
+
 ORACLE["topk_accuracy"] = f"""
 WITH {_DIST},
 mine AS (SELECT vec_id, label, d AS dm FROM dist WHERE c = label),

@@ -343,6 +343,22 @@ def classify_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return om.accuracy(pred).select("n", "correct", F.round("pct", 4).alias("pct"))
 
 
+@register("classify_accuracy_udf")
+def classify_accuracy_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D3 through the network plug-in: the fitted class means run as a numpy network inside
+    ``predict_batch_udf`` (Arrow batches of 256 rows, loader once per Python worker); same
+    result as ``classify_accuracy``."""
+    from vigil.operators.models import network_udf
+    from vigil.streaming.images import fitted_model_literals
+
+    v = _vectors(spark, sf_dir)
+    classes, cents = fitted_model_literals(om.class_means(v))
+    net = network_udf(om.nearest_mean_predict_fn(cents), len(classes), (EMB_WIDTH,), batch_size=256)
+    pred = v.select("label", net(F.col("features")).alias("scores"))
+    pred = pred.select("label", F.get(F.lit(classes), fi.argmax(F.col("scores"))).alias("predict"))
+    return om.accuracy(pred).select("n", "correct", F.round("pct", 4).alias("pct"))
+
+
 @register("topk_accuracy")
 def topk_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q21 (A6 O3): top-1 and top-5 accuracy."""

@@ -35,14 +35,30 @@ def nearest_mean_scores(x: Column, centroids: Column, decimals: int = 4) -> Colu
     return F.transform(centroids, lambda c: -dist(c))
 
 
+def fitted_model_literals(model: DataFrame) -> tuple[list[int], list[list[float]]]:
+    """Bring a fitted class-mean model (one row) to the driver, checking its size bound - the
+    model then travels with the tasks as literals (a broadcast of proven size)."""
+    r = model.first()
+    classes, cents = list(r["classes"]), [list(c) for c in r["centroids"]]
+    size = len(cents) * (len(cents[0]) if cents else 0)
+    if size > MAX_CENTROID_VALUES:
+        raise ValueError(f"class-mean model has {size} values; above {MAX_CENTROID_VALUES} use a model UDF")
+    return classes, cents
+
+
 def predict_nearest_mean(df: DataFrame, model: DataFrame, features: str = "features",
                          decimals: int = 4) -> DataFrame:
     """D3 in JVM form: add ``scores`` and ``predict`` (the class label of the best score).
-    The fitted model reaches the tasks as a scalar subquery (a broadcast literal)."""
-    b = df.withColumn("_centroids", model.select("centroids").scalar()) \
-          .withColumn("_classes", model.select("classes").scalar())
-    out = b.withColumn("scores", nearest_mean_scores(F.col(features), F.col("_centroids"), decimals))
-    return out.withColumn("predict", F.get(F.col("_classes"), fi.argmax(F.col("scores")))).drop("_centroids", "_classes")
+    The fitted model is size-checked on the driver and reaches the tasks as literal arrays."""
+    classes, cents = fitted_model_literals(model)
+    return predict_with_means(df, classes, cents, features, decimals)
+
+
+def predict_with_means(df: DataFrame, classes, centroids, features: str = "features",
+                       decimals: int = 4) -> DataFrame:
+    """Score and predict with a class-mean model already on the driver."""
+    out = df.withColumn("scores", nearest_mean_scores(F.col(features), F.lit(centroids), decimals))
+    return out.withColumn("predict", F.get(F.lit(classes), fi.argmax(F.col("scores"))))
 
 
 def nearest_mean_predict_fn(centroids, decimals: int = 4):

@@ -332,8 +332,8 @@ def binary_image_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ classification reports
 def _predictions(spark: SparkSession, sf_dir: str):
     v = _vectors(spark, sf_dir)
-    model = om.class_means(v)
-    return om.predict_nearest_mean(v, model), model
+    classes, cents = om.fitted_model_literals(om.class_means(v))
+    return om.predict_with_means(v, classes, cents), classes
 
 
 @register("classify_accuracy")
@@ -349,10 +349,8 @@ def classify_accuracy_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``predict_batch_udf`` (Arrow batches of 256 rows, loader once per Python worker); same
     result as ``classify_accuracy``."""
     from vigil.operators.models import network_udf
-    from vigil.streaming.images import fitted_model_literals
-
     v = _vectors(spark, sf_dir)
-    classes, cents = fitted_model_literals(om.class_means(v))
+    classes, cents = om.fitted_model_literals(om.class_means(v))
     net = network_udf(om.nearest_mean_predict_fn(cents), len(classes), (EMB_WIDTH,), batch_size=256)
     pred = v.select("label", net(F.col("features")).alias("scores"))
     pred = pred.select("label", F.get(F.lit(classes), fi.argmax(F.col("scores"))).alias("predict"))
@@ -362,8 +360,8 @@ def classify_accuracy_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("topk_accuracy")
 def topk_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q21 (A6 O3): top-1 and top-5 accuracy."""
-    pred, model = _predictions(spark, sf_dir)
-    t = om.topk_accuracy(pred, model.select("classes").scalar(), (1, TOPK))
+    pred, classes = _predictions(spark, sf_dir)
+    t = om.topk_accuracy(pred, F.lit(classes), (1, TOPK))
     return t.select("n", F.round("acc1", 4).alias("acc1"), F.round(f"acc{TOPK}", 4).alias("acc5"))
 
 

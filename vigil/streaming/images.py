@@ -8,20 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vigil.functions import images as fi
-from vigil.operators.metrics import MAX_CENTROID_VALUES, correct, nearest_mean_scores
+from vigil.operators.metrics import correct, fitted_model_literals, nearest_mean_scores  # noqa: F401
 from vigil.operators.models import transformer_chain
 
 
-def fitted_model_literals(model: DataFrame) -> tuple[list[int], list[list[float]]]:
-    """Bring a fitted class-mean model (one row) to the driver, checking its size bound."""
-    r = model.first()
-    classes, cents = list(r["classes"]), [list(c) for c in r["centroids"]]
-    size = len(cents) * (len(cents[0]) if cents else 0)
-    if size > MAX_CENTROID_VALUES:
-        raise ValueError(f"class-mean model has {size} values; above {MAX_CENTROID_VALUES} use a model UDF")
-    return classes, cents
-
-
 def classify_lines(lines: DataFrame, classes: list[int], centroids: list[list[float]],
                    mean: float = fi.CIFAR_MEAN, std: float = fi.CIFAR_STD) -> DataFrame:
     """Form-A image lines -> label, predict (the same expressions work on a static frame).

@@ -81,6 +81,9 @@ def test_binary_records_file(spark):
     dec = si.decode_planar_record(F.col("data"), 2, 2, 3)
     got = df.select("record", dec["label"].alias("label"), dec["planar"].alias("px")).orderBy("record").collect()
     assert [(r["label"], r["px"]) for r in got] == [(lab, px.tolist()) for lab, px in recs]
+    split = si.binary_records(spark, d, 13, splittable=True)
+    got2 = sorted((r["label"], r["px"]) for r in split.select(dec["label"].alias("label"), dec["planar"].alias("px")).collect())
+    assert got2 == sorted((lab, px.tolist()) for lab, px in recs)
 
 
 def test_labelled_folder(spark):

@@ -37,9 +37,19 @@ def split_records(blobs: DataFrame, content: str, record_len: int) -> DataFrame:
     return rec.withColumn("data", F.substring(F.col(content), F.col("_r") * record_len + 1, record_len)).drop("_r", content)
 
 
-def binary_records(spark: SparkSession, path: str, record_len: int = CIFAR_RECORD) -> DataFrame:
-    """A folder of fixed-length record files -> one row per record (path, record, data).
-    Each file is one task (files in such sets are tens of MB; a row holds at most 2 GB)."""
+def binary_records(spark: SparkSession, path: str, record_len: int = CIFAR_RECORD,
+                   splittable: bool = False) -> DataFrame:
+    """Fixed-length record files -> one row per record.
+
+    Default: each file is read whole and cut in the JVM (path, record, data); one task per
+    file, for sets of many moderate files (a row holds at most 2 GB).  ``splittable=True``
+    uses Hadoop's fixed-length input format (``binaryRecords``), which splits one large file
+    over many tasks at the price of handing each record through Python once (data only)."""
+    if splittable:
+        from pyspark.sql import types as T
+
+        rdd = spark.sparkContext.binaryRecords(path, record_len).map(lambda b: (bytes(b),))
+        return spark.createDataFrame(rdd, T.StructType([T.StructField("data", T.BinaryType())]))
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return split_records(files, "content", record_len)
 

@@ -17,7 +17,7 @@ from vigil.sources.lines import text_stream
 from vigil.streaming import images as si
 from vigil.streaming import scoring as ss
 
-CHUNK_DAYS = 15     # one group of input files per 15 days of events
+CHUNK_DAYS = 7      # one group of input files per 7 days of events (one micro-batch each)
 FILES_PER_CHUNK = 2
 STREAM_TIMEOUT_S = 1800
 
@@ -44,7 +44,7 @@ def _score_stream(spark: SparkSession, sf_dir: str, seconds: float) -> DataFrame
     write_event_line_files(events, f"{base}/in")
     lines = text_stream(spark, f"{base}/in", max_files_per_trigger=FILES_PER_CHUNK)
     q = ss.start_interval_scoring(lines, model, NEUTRAL, seconds, f"{base}/out", f"{base}/ckpt",
-                                  delay=f"{CHUNK_DAYS + 1} days", processing_time="0 seconds",
+                                  delay=f"{CHUNK_DAYS} days", processing_time="0 seconds",
                                   state_partitions=spark.sparkContext.defaultParallelism)
     if not ss.stop_on_sentinel(q, timeout=STREAM_TIMEOUT_S):
         raise TimeoutError("event stream did not reach its end-of-stream record")

@@ -24,7 +24,9 @@ STREAM_TIMEOUT_S = 1800
 
 def write_event_line_files(events: DataFrame, path: str) -> None:
     """Event lines as files written chunk after chunk in time order (file streams read the
-    oldest files first); the end-of-stream record rides with the last chunk."""
+    oldest files first); the end-of-stream record rides with the last chunk.  This replays a
+    stored table as a stream for the registered check: one write per chunk, so the file
+    times follow event time (a single partitioned write would give the files arbitrary times)."""
     ev = events.withColumn("chunk", F.floor(iv.interval_id(F.col("ts"), DAY) / CHUNK_DAYS))
     keyed = ev.select(fe.encode_event(F.col("ts"), F.col("sensor"), F.col("value")).alias("value"), "chunk")
     chunks = sorted(r[0] for r in ev.select("chunk").distinct().collect())  # a few chunk ids

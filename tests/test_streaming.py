@@ -47,3 +47,44 @@ def test_stop_when_idle(spark):
         assert spark.table("idle_probe").first()["n"] == 1
     finally:
         spark.conf.set("spark.sql.streaming.noDataProgressEventInterval", old)
+
+
+def test_stream_restart_from_checkpoint(spark):
+    """A stopped scorer restarted on the same checkpoint continues from its stored state
+    (new scorer object: the running totals are read back from the state table) and ends with
+    the batch result."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from vigil.operators import intervals as iv
+    from vigil.plans import streams as st
+    from vigil.plans.common import DAY, NEUTRAL, stand_in_model
+    from vigil.session import scratch_dir
+    from vigil.sources.lines import text_stream
+    from vigil.streaming import scoring as ss
+
+    raw = spark.read.parquet(f"{SF001}/events.parquet")
+    n = raw.agg(F.max("user_id")).first()[0] + 1
+    model = stand_in_model(n)
+    base = scratch_dir(spark, "restart")
+    st.write_event_line_files(iv.events_from_table(raw), f"{base}/in")
+
+    def start():
+        lines = text_stream(spark, f"{base}/in", max_files_per_trigger=st.FILES_PER_CHUNK)
+        return ss.start_interval_scoring(lines, model, NEUTRAL, DAY, f"{base}/out", f"{base}/ckpt",
+                                         delay=f"{st.CHUNK_DAYS} days", processing_time="0 seconds",
+                                         state_partitions=4)
+
+    q = start()
+    t0 = time.time()
+    while q.isActive and (q.lastProgress is None or q.lastProgress.batchId < 2) and time.time() - t0 < 300:
+        time.sleep(0.2)
+    q.stop()
+    q = start()
+    assert ss.stop_on_sentinel(q, timeout=300)
+    got = ss.read_scores(spark, f"{base}/out").toPandas().sort_values("interval_id").reset_index(drop=True)
+    exp = E.queries()["interval_attention"](spark, SF001).toPandas().sort_values("interval_id").reset_index(drop=True)
+    assert got["interval_id"].tolist() == exp["interval_id"].tolist()
+    assert got["interval_no"].tolist() == exp["interval_no"].tolist()
+    assert np.allclose(got["margin"].values, exp["margin"].values, atol=1e-3)

@@ -88,3 +88,27 @@ def test_stream_restart_from_checkpoint(spark):
     assert got["interval_id"].tolist() == exp["interval_id"].tolist()
     assert got["interval_no"].tolist() == exp["interval_no"].tolist()
     assert np.allclose(got["margin"].values, exp["margin"].values, atol=1e-3)
+
+
+def test_image_stream_interval_report(spark):
+    import tempfile
+
+    from pyspark.sql import functions as F
+
+    from vigil.functions import images as fi
+    from vigil.operators import metrics as om
+    from vigil.sources.lines import text_stream
+    from vigil.streaming import images as si
+
+    e = spark.read.parquet(f"{SF001}/embeddings.parquet")
+    px = e.select("label", fi.quantize(F.transform("embedding", lambda x: x.cast("double"))).alias("pixels"))
+    train = px.select("label", fi.normalise(F.col("pixels"), fi.CIFAR_MEAN, fi.CIFAR_STD).alias("features"))
+    classes, cents = om.fitted_model_literals(om.class_means(train))
+    d = tempfile.mkdtemp(prefix="vigil-img-")
+    px.select(fi.encode_image_a(F.col("label"), F.col("pixels")).alias("value")).repartition(3).write.text(f"{d}/in")
+    q = si.start_image_classification(text_stream(spark, f"{d}/in", 1), classes, cents, f"{d}/out", f"{d}/ck",
+                                      available_now=True)
+    q.awaitTermination()
+    rep = si.interval_report(spark, f"{d}/out").orderBy("interval").collect()
+    assert len(rep) == 3 and [r["interval"] for r in rep] == [1, 2, 3]
+    assert rep[-1]["images_total"] == 500 and rep[-1]["correct_total"] == sum(r["correct"] for r in rep)

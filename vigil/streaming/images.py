@@ -56,3 +56,15 @@ def run_totals(spark: SparkSession, out_dir: str) -> DataFrame:
     b = spark.read.parquet(out_dir)
     return b.agg(F.sum(F.when(F.col("images") > 0, 1).otherwise(0)).cast("long").alias("intervals"),
                  F.sum("images").cast("long").alias("n"), F.sum("correct").cast("long").alias("correct"))
+
+
+def interval_report(spark: SparkSession, out_dir: str) -> DataFrame:
+    """Per reporting interval (micro-batch): images received and correctly predicted, with the
+    running totals.  One row per micro-batch, so the ordered window runs on a small table."""
+    from pyspark.sql import Window
+
+    b = spark.read.parquet(out_dir).where(F.col("images") > 0)
+    upto = Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return b.select(F.row_number().over(Window.orderBy("batch_id")).alias("interval"), "batch_id", "images",
+                    "correct", F.sum("images").over(upto).alias("images_total"),
+                    F.sum("correct").over(upto).alias("correct_total"))

@@ -18,6 +18,7 @@ CROP_OUT = (6, 6)
 PROGRESS_EVERY = 100    # count-window size of the progress report
 REPLICAS = 5            # U1 replication factor
 TOPK = 5
+FIRST_BATCH = 256     # O4 sample size
 EMB_WIDTH = 64       # values per embeddings row
 GEN_SENSORS = 10     # sensors per generated training vector (one vector per lineitem row)
 

@@ -309,6 +309,18 @@ SELECT count(*) AS n, round(100.0 * avg(CASE WHEN rank <= 1 THEN 1 ELSE 0 END),
 FROM rk
 """
 
+ORACLE["first_batch_topk"] = f"""
+WITH {_DIST},
+first AS (SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT 256),
+mine AS (SELECT vec_id, label, d AS dm FROM dist WHERE c = label AND vec_id IN (SELECT vec_id FROM first)),
+rk AS (
+  SELECT m.vec_id, 1 + count(*) FILTER (WHERE d.d < m.dm OR (d.d = m.dm AND d.c < m.label)) AS rank
+  FROM mine m JOIN dist d USING (vec_id) GROUP BY m.vec_id)
+SELECT count(*) AS n, round(100.0 * avg(CASE WHEN rank <= 1 THEN 1 ELSE 0 END), 4) AS acc1,
+       round(100.0 * avg(CASE WHEN rank <= 5 THEN 1 ELSE 0 END), 4) AS acc5
+FROM rk
+"""
+
 ORACLE["class_counts"] = """
 SELECT label, count(*) AS n, (SELECT count(DISTINCT label) FROM embeddings) AS n_classes FROM embeddings GROUP BY label
 """

@@ -22,7 +22,7 @@ from vigil.operators import metrics as om
 from vigil.operators import vectors as ov
 from vigil.operators.scan import global_index, running_totals
 from vigil.plans.common import (CROP_HW, CROP_OUT, DAY, HOUR, IMAGE_HWC, NEUTRAL, PROGRESS_EVERY,
-                                REPLICAS, TOPK, EMB_WIDTH, GEN_SENSORS, n_sensors, stand_in_model, table)
+                                REPLICAS, TOPK, EMB_WIDTH, GEN_SENSORS, FIRST_BATCH, n_sensors, stand_in_model, table)
 from vigil.sources.images import bytes_to_ints, byte_at, with_class_rank
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -365,6 +365,16 @@ def topk_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("n", F.round("acc1", 4).alias("acc1"), F.round(f"acc{TOPK}", 4).alias("acc5"))
 
 
+@register("first_batch_topk")
+def first_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O4 + A6: top-1 / top-5 accuracy on the first batch of 256 images (vec_id order), the
+    sample the single-machine loop reports; an error if the set is smaller than one batch."""
+    pred, classes = _predictions(spark, sf_dir)
+    head = om.first_batch(pred, "vec_id", FIRST_BATCH)
+    t = om.topk_accuracy(head, F.lit(classes), (1, TOPK))
+    return t.select("n", F.round("acc1", 4).alias("acc1"), F.round(f"acc{TOPK}", 4).alias("acc5"))
+
+
 @register("class_counts")
 def class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q22 (A9)."""

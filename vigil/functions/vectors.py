@@ -25,16 +25,23 @@ def training_features(arr: Column) -> Column:
     return F.slice(arr, 2, F.size(arr) - 1)
 
 
+def fixed5(x: Column) -> Column:
+    """``%.5f`` text of a number without ``java.util.Formatter`` (about 2x faster): a cast to
+    DECIMAL(38,5) rounds half-up on the decimal form exactly as ``format_string`` does; the
+    sign of a negative value that rounds to zero is kept, and values a decimal cannot hold
+    (NaN, infinities, |x| >= 1e33) fall back to ``format_string``."""
+    v = x.cast("double")
+    d = v.try_cast("decimal(38,5)")
+    txt = d.cast("string")
+    txt = F.when((v < 0) & (d == 0), F.concat(F.lit("-"), txt)).otherwise(txt)
+    return F.coalesce(txt, F.format_string(VALUE_FORMAT, v))
+
+
 def encode_vector(label: Column, features: Column, width: int | None = None) -> Column:
     """``label,v1,...,vn`` with ``%.5f`` fields (unrolled when ``width`` is given)."""
     if width is not None and width <= UNROLL_MAX:
-        return F.concat_ws(",", F.format_string(VALUE_FORMAT, label.cast("double")),
-                           *[F.format_string(VALUE_FORMAT, F.get(features, i).cast("double")) for i in range(width)])
-    return F.concat_ws(
-        ",",
-        F.format_string(VALUE_FORMAT, label.cast("double")),
-        F.array_join(F.transform(features, lambda x: F.format_string(VALUE_FORMAT, x.cast("double"))), ","),
-    )
+        return F.concat_ws(",", fixed5(label), *[fixed5(F.get(features, i)) for i in range(width)])
+    return F.concat_ws(",", fixed5(label), F.array_join(F.transform(features, fixed5), ","))
 
 
 def weighted_score(features: Column, first_weight: int = 1, width: int | None = None) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vigil.functions.vectors import fixed5
+
 # Fixed values of the wire format (must equal the sender's format).
 WIRE_TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"  # millisecond UTC timestamp with a literal Z
 PARSE_TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSX"   # same text; X reads the Z as UTC
@@ -34,7 +36,7 @@ def encode_event(ts: Column, sensor: Column, value: Column) -> Column:
         format_ts_utc(ts),
         sensor.cast("string"),
         sensor_name(sensor),
-        F.format_string(VALUE_FORMAT, value.cast("double")),
+        fixed5(value),  # same text as format_string(VALUE_FORMAT, value), faster
     )
 
 

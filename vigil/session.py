@@ -29,30 +29,28 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
-def scratch_dir(spark: SparkSession, name: str = "") -> str:
-    """A fresh folder under the cluster's shared checkpoint dir (``spark.checkpoint.dir``).
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder.
 
-    The setting is read from the session; only when it is unset (local tests) do we create
-    one under the system temp folder and register it, so ``DataFrame.checkpoint()`` works too.
+    It is read from the session (``spark.checkpoint.dir``).  Only a local master may go without
+    the setting (tests, bench): it gets a folder below the system's temp folder.  Off local
+    masters an unset folder is an error, since machines do not share their temp folders.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="vigil-ckpt-")
-        spark.sparkContext.setCheckpointDir(base)
-        base = spark.sparkContext.getCheckpointDir() or base
-    base = base.rstrip("/")
-    return f"{base}/{name or 'work'}-{uuid.uuid4().hex[:12]}"
+    current = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        if spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir: executors have folders of their own")
+        current = tempfile.mkdtemp(prefix="vigil-ckpt-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(current)
+    return spark.sparkContext.getCheckpointDir() or current
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Make ``df.checkpoint()`` usable: reuse the configured dir or set a local one (tests only)."""
-    cur = spark.sparkContext.getCheckpointDir()
-    if cur:
-        return cur
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vigil-ckpt-")
-    spark.sparkContext.setCheckpointDir(base)
-    return spark.sparkContext.getCheckpointDir() or base
-
+def scratch_dir(spark: SparkSession, name: str = "") -> str:
+    """A fresh folder name below the session's checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name or 'work'}-{uuid.uuid4().hex[:12]}"
 
 
 def materialize(df):

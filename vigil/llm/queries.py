@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from vigil.llm.common import table
+from vigil.llm.decontaminate import contaminated
+from vigil.llm.fingerprint import edit_fingerprints
+from vigil.llm.language import labelled_sample, predict, train
 from vigil.llm.packing import pack
 from vigil.llm.pii import KINDS, find_personal_data, span_list
+from vigil.llm.quality import judge_quality
 from vigil.llm.simhash import simhash_components
 from vigil.llm.urls import judge_urls
 
@@ -55,3 +59,36 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups: 4-word shingles, at most 4 differing bits."""
     out = simhash_components(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item: one row per document and item."""
+    out = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), min_match=5, coverage=0.8)
+    return out.select("doc_id", "item_id", "item_words", "covered_words", F.size("tiles").cast("long").alias("n_tiles"))
+
+
+@query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chance that a document is good, and the decision."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return judge_quality(docs).select("doc_id", "score", "keep")
+
+
+def _remainder(modulus: int):
+    return F.crc32(F.col("doc_id").cast("string")) % modulus
+
+
+@query
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; the network learns from three quarters of the labelled ones."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(_remainder(4) == 2, F.lit(False))
+    sample = labelled_sample(docs.where(~held_out), 300, "text", "lang", F.xxhash64("text"), max_bytes=4000)
+    return predict(docs.select("doc_id", held_out.alias("held_out"), "text"), train(sample)).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order MinHash fingerprints of every document and of its edited text."""
+    return edit_fingerprints(table(spark, sf_dir, "documents"))

@@ -13,6 +13,7 @@ from vigil.llm.common import table
 from vigil.llm.decontaminate import contaminated
 from vigil.llm.fingerprint import edit_fingerprints
 from vigil.llm.language import labelled_sample, predict, train
+from vigil.llm.lm import score_texts
 from vigil.llm.packing import pack
 from vigil.llm.pii import KINDS, find_personal_data, span_list
 from vigil.llm.quality import judge_quality
@@ -92,3 +93,9 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order MinHash fingerprints of every document and of its edited text."""
     return edit_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of every document; six sevenths of them are learned from."""
+    return score_texts(table(spark, sf_dir, "documents"), F.coalesce(_remainder(7) == 2, F.lit(False)))

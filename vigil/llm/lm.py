@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from vigil.llm.common import stored, text_bytes
 
 END = b"\n"
-CLASSES, MEMBERS = 32, 32
+CLASSES, MEMBERS = 16, 16
 BUCKETS = CLASSES * MEMBERS
 ROWS = 1 << 13  # hashed rows of each layer
 FEATURES = 3
@@ -57,56 +57,52 @@ def history(words: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Weights: ``wc`` (ROWS, CLASSES), ``wm`` (ROWS, MEMBERS), biases ``bc`` (CLASSES), ``bm`` (CLASSES, MEMBERS)."""
+    """Weights: ``wc`` (CLASSES, ROWS), ``wm`` (MEMBERS, ROWS), biases ``bc`` (CLASSES, 1), ``bm`` (MEMBERS, CLASSES)."""
 
     def __init__(self, bucket_counts: np.ndarray):
         share = (bucket_counts.reshape(CLASSES, MEMBERS) + 1.0) / (bucket_counts.sum() + BUCKETS)
-        self.w = {"wc": np.zeros((ROWS, CLASSES), np.float32), "wm": np.zeros((ROWS, MEMBERS), np.float32),
-                  "bc": np.log(share.sum(axis=1)).astype(np.float32), "bm": np.log(share / share.sum(axis=1, keepdims=True)).astype(np.float32)}
+        self.w = {"wc": np.zeros((CLASSES, ROWS), np.float32), "wm": np.zeros((MEMBERS, ROWS), np.float32),
+                  "bc": np.log(share.sum(axis=1, keepdims=True)).astype(np.float32), "bm": np.log(share / share.sum(axis=1, keepdims=True)).astype(np.float32).T.copy()}
         self.seen = {k: np.zeros_like(v) for k, v in self.w.items()}
 
-    def _layer(self, w: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
-        logits = w[rows[:, 0]]
-        for k in range(1, FEATURES):
-            logits += w[rows[:, k]]
+    def _layer(self, w: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
+        """Softmax (outputs, tokens)."""
+        logits = w.take(rows[0], axis=1)
+        for r in rows[1:]:
+            logits += w.take(r, axis=1)
         logits += bias
-        logits -= logits.max(axis=1, keepdims=True)
+        logits -= logits.max(axis=0)
         np.exp(logits, out=logits)
-        logits /= logits.sum(axis=1, keepdims=True)
+        logits /= logits.sum(axis=0)
         return logits
 
     def _layers(self, rows: np.ndarray, bucket: np.ndarray):
         c, m = bucket // MEMBERS, bucket % MEMBERS
-        inner = (rows * 31 + c[:, None] * 977) % ROWS
-        yield "wc", "bc", rows, c, None, self._layer(self.w["wc"], rows, self.w["bc"])
-        yield "wm", "bm", inner, m, c, self._layer(self.w["wm"], inner, self.w["bm"][c])
+        outer = [np.ascontiguousarray(r) for r in rows.T]
+        inner = [(r * 31 + c * 977) % ROWS for r in outer]
+        yield "wc", "bc", outer, c, None, self._layer(self.w["wc"], outer, self.w["bc"])
+        yield "wm", "bm", inner, m, c, self._layer(self.w["wm"], inner, self.w["bm"].take(c, axis=1))
 
     def log10(self, rows: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         """log10 p(bucket | history) of each token."""
         at = np.arange(len(bucket))
-        return sum(np.log10(p[at, y]) for _, _, _, y, _, p in self._layers(rows, bucket)).astype(np.float64)
+        return sum(np.log10(p[y, at]) for _, _, _, y, _, p in self._layers(rows, bucket)).astype(np.float64)
 
     def step(self, rows: np.ndarray, bucket: np.ndarray, rate: float) -> None:
-        """One AdaGrad step on the mean log-loss of a mini-batch."""
+        """One AdaGrad step on the log-loss of a mini-batch."""
         at = np.arange(len(bucket))
         for w, b, r, y, c, p in self._layers(rows, bucket):
-            p[at, y] -= 1
-            flat = r.ravel()
-            order = np.argsort(flat)
-            keys = flat[order]
-            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            self._move(w, keys[starts], np.add.reduceat(p[order // FEATURES], starts, axis=0), rate)
-            if c is None:
-                self._move(b, slice(None), p.sum(axis=0), rate * 0.1)
-            else:
-                g = np.zeros_like(self.w[b])
-                np.add.at(g, c, p)
-                self._move(b, slice(None), g, rate * 0.1)
-
-    def _move(self, name: str, where, g: np.ndarray, rate: float) -> None:
-        n = self.seen[name][where] + g * g
-        self.seen[name][where] = n
-        self.w[name][where] -= rate * g / np.sqrt(n + 1.0)
+            p[y, at] -= 1
+            flat, g = np.concatenate(r), np.empty(self.w[w].shape, np.float32)
+            for j, error in enumerate(p):
+                g[j] = np.bincount(flat, np.tile(error, FEATURES), ROWS)
+            self._move(w, g, rate)
+            self._move(b, p.sum(axis=1, keepdims=True) if c is None else np.stack([np.bincount(c, e, CLASSES) for e in p]).astype(np.float32), rate * 0.1)
+
+    def _move(self, name: str, g: np.ndarray, rate: float) -> None:
+        seen = self.seen[name]
+        seen += g * g
+        self.w[name] -= np.float32(rate) * g / np.sqrt(seen + np.float32(1.0))
 
     def flat(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.w.values()])
@@ -170,7 +166,7 @@ def _mean_change(changes: DataFrame, fan_in: int = 16) -> np.ndarray | None:
     return np.concatenate([np.frombuffer(r["part"], np.float32) / max(1, r["tokens"]) for r in blocks]) if blocks else None
 
 
-def train(docs: DataFrame, bucket_counts: np.ndarray, text_col: str, rounds: int = 2, rate: float = 0.15, minibatch: int = 4096, block: int = 1 << 16) -> Model:
+def train(docs: DataFrame, bucket_counts: np.ndarray, text_col: str, rounds: int = 2, rate: float = 0.15, minibatch: int = 8192, block: int = 1 << 16) -> Model:
     """The model after ``rounds`` distributed updates, each over the texts of one slice."""
     model = Model(bucket_counts)
     spark = docs.sparkSession

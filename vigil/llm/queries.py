@@ -17,6 +17,7 @@ from vigil.llm.lm import score_texts
 from vigil.llm.packing import pack
 from vigil.llm.pii import KINDS, find_personal_data, span_list
 from vigil.llm.quality import judge_quality
+from vigil.llm.repeats import remove_repeats
 from vigil.llm.simhash import simhash_components
 from vigil.llm.urls import judge_urls
 
@@ -99,3 +100,11 @@ def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language-model scores of every document; six sevenths of them are learned from."""
     return score_texts(table(spark, sf_dir, "documents"), F.coalesce(_remainder(7) == 2, F.lit(False)))
+
+
+@query
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of repeated 400-byte strings."""
+    out = remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+    removed = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["b"] - r["a"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("runs").cast("long").alias("n_spans"), F.col("kept").cast("string").alias("kept_sha256"))

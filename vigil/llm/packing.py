@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.llm.common import stored
-from vigil.llm.tokens import TokenCache
+from vigil.llm.tokens import token_ids
 
 #: Sequence ids: task << 32 | number for the tasks' own bins, (SHARED + class) << 32 | number for later ones.
 SHARED = 1 << 30
@@ -44,11 +44,10 @@ def pieces_of(length: int, capacity: int, slack: int) -> list[int]:
 def _full_bins(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, slack: int) -> DataFrame:
     """All pieces; ``sequence_id`` and ``offset`` are null for those of unfinished bins."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = TokenCache.shared(vocabulary)
         task, bins, waiting = TaskContext.get().partitionId(), 0, {}
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
         schema = None
         for batch in batches:
@@ -57,8 +56,8 @@ def _full_bins(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, sla
                                     ("doc_tokens", pa.int64()), ("task", pa.int64()), ("class", pa.int64()), ("rank", pa.int64()),
                                     ("sequence_id", pa.int64()), ("offset", pa.int64())])
             done = []
-            for doc, ids in zip(batch.column(0).to_pylist(), cache.encode_all(batch.column(1))):
-                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids = np.append(token_ids(vocabulary, text.as_py()), np.uint32(end_id)).astype("<u4", copy=False)
                 start = 0
                 for n in pieces_of(len(ids), capacity, slack):
                     k = capacity // n

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
+import corpus_pipeline
 from vigil.llm.common import table
 from vigil.llm.decontaminate import contaminated
 from vigil.llm.fingerprint import edit_fingerprints
@@ -30,6 +31,12 @@ def query(fn):
     return fn
 
 
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 @query
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 1024 tokens."""

@@ -200,21 +200,29 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = stored(rows.mapInArrow(numbered, f"row bigint, id {kind}, text binary"), "repeats-rows")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple, int] = {}  # a third equal context of a task is known to be repeated and needs no group
         for batch in batches:
             for row, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = value.as_py()
                 at, h = anchors(text)
                 if len(at):
                     seeds = [xxhash.xxh64_intdigest(text[max(0, i - SIDE):i + KMER + SIDE], min(i, SIDE) * LENGTH * 2 + min(len(text) - i, LENGTH)) for i in at.tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(np.array(seeds, np.uint64).view(np.int64)), pa.array(np.full(len(at), row), pa.int64()), pa.array(at, pa.int64())],
-                                                     names=["h", "context", "row", "at"])
-
-    found = rows.select("row", "text").mapInArrow(find, "h bigint, context bigint, row bigint, at bigint")
-    same, alike = Window.partitionBy("h"), Window.partitionBy("h", "context")
-    found = found.withColumn("in_group", F.count(F.lit(1)).over(same)).where("in_group > 1")
+                    if len(seen) > 400_000:
+                        seen = {}
+                    known = []
+                    for key in zip(h.tolist(), seeds):
+                        seen[key] = n = seen.get(key, 0) + 1
+                        known.append(n > 2)
+                    yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(np.array(seeds, np.uint64).view(np.int64)), pa.array(np.full(len(at), row), pa.int64()), pa.array(at, pa.int64()), pa.array(known)],
+                                                     names=["h", "context", "row", "at", "known"])
+
+    found = rows.select("row", "text").mapInArrow(find, "h bigint, context bigint, row bigint, at bigint, known boolean")
+    found = found.withColumn("group", F.when(F.col("known"), F.xxhash64("row", "at")).otherwise(F.col("h")))
+    same, alike = Window.partitionBy("group"), Window.partitionBy("group", "context")
+    found = found.withColumn("in_group", F.count(F.lit(1)).over(same)).where("in_group > 1 or known")
     found = found.withColumn("equal", F.count(F.lit(1)).over(alike)).withColumn("number", F.row_number().over(alike.orderBy("row", "at")))
     # of equal contexts in a group with others one stands for all
-    marks = F.struct("at", "h", (F.col("equal") > 1).alias("sure"), ((F.col("equal") < F.col("in_group")) & (F.col("number") == 1)).alias("compare"))
+    marks = F.struct("at", "h", ((F.col("equal") > 1) | F.col("known")).alias("sure"), ((F.col("equal") < F.col("in_group")) & (F.col("number") == 1) & ~F.col("known")).alias("compare"))
     listed = found.groupBy("row").agg(F.collect_list(marks).alias("marks"))  # a document's own anchors
 
     mark = pa.struct([("h", pa.int64()), ("at", pa.int64()), ("sure", pa.bool_()), ("left", pa.binary()), ("right", pa.binary())])

@@ -1,7 +1,7 @@
 import corpus_pipeline as cp
-from tests.llm.test_decontaminate import brute_tiles
-from tests.llm.test_pii import brute
-from tests.llm.test_simhash import brute_components, brute_fp
+from test_decontaminate import brute_tiles
+from test_pii import brute
+from test_simhash import brute_components, brute_fp
 
 
 def rows_of(df):

@@ -14,7 +14,7 @@ def test_generate_train_cutoffs_score(spark, capsys):
     cli.main(["train", f"{d}/train", f"{d}/model", "--intercept"], spark)
     cli.main(["cutoffs", "1000", "5"], spark)
     out = capsys.readouterr().out
-    assert "Cutoffs for 1000 rows of 5 sensors" in out and "\n50 " in out
+    assert "cutoffs: rows=1000 sensors=5" in out and "'ok': 1000" in out and "\n50 " in out
 
     os.makedirs(f"{d}/in")
     t0 = dt.datetime(2024, 1, 1)
@@ -29,4 +29,4 @@ def test_generate_train_cutoffs_score(spark, capsys):
     scores = spark.read.parquet(f"{d}/out").orderBy("interval_id").collect()
     assert [r["n_events"] for r in scores] == [10] * 6
     assert [r["interval_no"] for r in scores] == list(range(1, 7))
-    assert "60 events" in capsys.readouterr().out
+    assert "events=60 " in capsys.readouterr().out

@@ -17,7 +17,7 @@ def test_train_save_load_predict(spark):
     lines = g.select(F.concat_ws(",", F.format_string("%.5f", "label"),
                                  F.array_join(F.transform("features", lambda x: F.format_string("%.5f", x)), ","))
                      .alias("value"))
-    train = om.training_frame(lines)
+    train = om.training_frame(lines, 5)
     model = om.train_lr(train, fit_intercept=True)
     path = os.path.join(tempfile.mkdtemp(prefix="vigil-lr-"), "m")
     om.save_model(model, path)

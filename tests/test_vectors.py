@@ -73,5 +73,24 @@ def test_score_cutoffs_index_rule(spark):
 
 def test_score_cutoffs_needs_100_rows(spark):
     df = spark.createDataFrame([(float(i),) for i in range(50)], "score double")
-    with pytest.raises(Exception):
-        ov.score_cutoffs(df).collect()
+    for ansi in ("true", "false"):
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+        with pytest.raises(ValueError, match="at least 100 rows"):
+            ov.score_cutoffs(df)
+    spark.conf.unset("spark.sql.ansi.enabled")
+
+
+def test_score_cutoffs_with_a_hot_score(spark):
+    scores = sorted([5.0] * 900 + [float(i) for i in range(100)])
+    df = spark.createDataFrame([(s,) for s in scores], "score double").repartition(7)
+    got = {r["pct"]: r["cutoff"] for r in ov.score_cutoffs(df).collect()}
+    assert got == {100 - k: scores[k * 10] for k in range(1, 100)}
+
+
+def test_wide_vector_is_an_error(spark):
+    import pyspark.errors
+    five = spark.createDataFrame([([1.0] * 5,), (None,)], "f array<double>")
+    assert five.where("f is not null").select(fv.weighted_score(F.col("f"))).first()[0] == 15.0
+    for c in (fv.weighted_score(F.col("f"), width=3), fv.encode_vector(F.lit(1.0), F.col("f"), width=3)):
+        with pytest.raises(pyspark.errors.PySparkException, match="3 values"):
+            five.select(c).collect()

@@ -15,6 +15,7 @@ from __future__ import annotations
 import argparse
 import sys
 import time
+from datetime import datetime, timezone
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +30,7 @@ from vigil.streaming import scoring as ss
 
 
 def _stamp() -> str:
-    t = time.time()
-    return time.strftime("%Y-%m-%dT%H:%M:%S", time.gmtime(t)) + ".%03dZ" % (int(t * 1000) % 1000)
+    return datetime.now(timezone.utc).isoformat(timespec="milliseconds")
 
 
 def generate(spark: SparkSession, a) -> None:
@@ -38,21 +38,25 @@ def generate(spark: SparkSession, a) -> None:
     g = ov.generate_range(spark, a.n_rows, a.n_sensors, a.n_partitions, seed=a.seed, cutoff=a.cutoff,
                           first_weight=a.first_weight)
     write_lines(g, fv.encode_vector(F.col("label"), F.col("features")), a.out)
-    print(f"{_stamp()}: created {a.out} ({-(-a.n_rows // a.n_partitions) * a.n_partitions} rows of "
-          f"{a.n_sensors} sensors) in {time.time() - t0:.1f} seconds")
+    rows = -(-a.n_rows // a.n_partitions) * a.n_partitions
+    print(f"{_stamp()} generate: rows={rows} sensors={a.n_sensors} out={a.out} elapsed={time.time() - t0:.1f}s")
 
 
 def train(spark: SparkSession, a) -> None:
     t0 = time.time()
-    model = om.train_lr(om.training_frame(sl.read_lines(spark, a.input)), fit_intercept=a.intercept)
+    lines = sl.read_lines(spark, a.input)
+    first = lines.first()
+    width = first["value"].count(",") if first else 0
+    status = {r["status"]: r["n"] for r in om.training_status(lines, width).collect()}  # three rows at most
+    model = om.train_lr(om.training_frame(lines, width), fit_intercept=a.intercept)
     om.save_model(model, a.model)
-    print(f"{_stamp()}: trained logistic regression model {a.model} in {time.time() - t0:.1f} seconds")
+    print(f"{_stamp()} train: lines={status} model={a.model} elapsed={time.time() - t0:.1f}s")
 
 
 def cutoffs(spark: SparkSession, a) -> None:
     g = ov.generate_range(spark, a.n_rows, a.n_sensors, a.partitions, seed=a.seed)
     table = ov.score_cutoffs(g.select("score")).orderBy(F.col("pct").desc())
-    print(f"Cutoffs for {a.n_rows} rows of {a.n_sensors} sensors")
+    print(f"{_stamp()} cutoffs: rows={a.n_rows} sensors={a.n_sensors}")
     for r in table.collect():  # 99 rows
         print(f"{r['pct']} {r['cutoff']:.0f}")
 
@@ -74,8 +78,8 @@ def score_stream(spark: SparkSession, a) -> None:
     ss.stop_on_sentinel(q)
     s = spark.read.parquet(a.out).agg(F.count(F.lit(1)).alias("n"), F.sum("n_events").alias("e")).first()
     elapsed = time.time() - t0
-    print(f"{_stamp()}: {s['e'] or 0} events in {elapsed:.1f} seconds ({s['n']} intervals), "
-          f"or {(s['e'] or 0) / max(elapsed, 1e-9):.0f} sensor events/second")
+    n, rate = s["e"] or 0, (s["e"] or 0) / max(elapsed, 1e-9)
+    print(f"{_stamp()} score-stream: events={n} intervals={s['n']} elapsed={elapsed:.1f}s rate={rate:.0f}/s")
 
 
 def parser() -> argparse.ArgumentParser:

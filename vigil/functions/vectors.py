@@ -37,20 +37,27 @@ def fixed5(x: Column) -> Column:
     return F.coalesce(txt, F.format_string(VALUE_FORMAT, v))
 
 
+def _of_width(features: Column, width: int, value: Column) -> Column:
+    """``value`` where the vector has ``width`` values (or is null), else an error."""
+    wrong = F.size(features) != width
+    return F.when(features.isNotNull() & wrong, F.raise_error(F.lit(f"a vector does not have {width} values"))).otherwise(value)
+
+
 def encode_vector(label: Column, features: Column, width: int | None = None) -> Column:
-    """``label,v1,...,vn`` with ``%.5f`` fields (unrolled when ``width`` is given)."""
+    """``label,v1,...,vn`` with ``%.5f`` fields (unrolled when ``width`` is given; a vector of
+    another width is an error)."""
     if width is not None and width <= UNROLL_MAX:
-        return F.concat_ws(",", fixed5(label), *[fixed5(F.get(features, i)) for i in range(width)])
+        return F.concat_ws(",", fixed5(_of_width(features, width, label)), *[fixed5(F.get(features, i)) for i in range(width)])
     return F.concat_ws(",", fixed5(label), F.array_join(F.transform(features, fixed5), ","))
 
 
 def weighted_score(features: Column, first_weight: int = 1, width: int | None = None) -> Column:
     """V1: sum_s x_s * (s + first_weight), s from 0.  first_weight=1 gives weights 1..n;
     first_weight=2 gives 2..n+1.  Pass ``width`` when every vector has that many values to get
-    the unrolled (codegen) form."""
+    the unrolled (codegen) form; a vector of another width is an error."""
     if width is not None and width <= UNROLL_MAX:
         terms = [F.get(features, s).cast("double") * F.lit(float(s + first_weight)) for s in range(width)]
-        total = terms[0]
+        total = _of_width(features, width, terms[0])
         for t in terms[1:]:
             total = total + t
         return total

@@ -42,11 +42,6 @@ def interval_id(ts: Column, seconds: float) -> Column:
     return floor_div(F.unix_micros(ts), us)
 
 
-def interval_start(iv: Column, seconds: float) -> Column:
-    us = int(round(seconds * 1_000_000))
-    return F.timestamp_micros(iv * F.lit(us))
-
-
 def utc_instant(df: DataFrame, col: str) -> Column:
     """A TIMESTAMP column; a TIMESTAMP_NTZ wall clock is read as UTC whatever the session zone."""
     if isinstance(df.schema[col].dataType, T.TimestampNTZType):
@@ -73,22 +68,20 @@ def interval_counts(events_iv: DataFrame) -> DataFrame:
     return events_iv.groupBy("interval_id").agg(F.count(F.lit(1)).alias("n_events"))
 
 
+def order_key(ts: Column, seq: Column) -> Column:
+    """One number that orders by event time and then by arrival (a BIGINT); unlike a struct it lets
+    the aggregate hash instead of sort."""
+    return F.unix_micros(ts).cast("decimal(38,0)") * F.lit("10000000000000000000").cast("decimal(20,0)") + seq.cast("decimal(19,0)")
+
+
 def last_per_sensor(events_iv: DataFrame) -> DataFrame:
     """A3: the last reading of each sensor in each interval (event time, then seq)."""
     return events_iv.groupBy("interval_id", "sensor").agg(
-        F.max_by("value", F.struct("ts", "seq")).alias("value"),
+        F.max_by("value", order_key(F.col("ts"), F.col("seq"))).alias("value"),
         F.count(F.lit(1)).alias("n_readings"),
     )
 
 
-def carry_forward_deltas(last: DataFrame, neutral: float) -> DataFrame:
-    """T2 (delta form): each (interval, sensor) reading with the sensor's value before it -
-    the previous interval it was read in, or ``neutral`` before its first reading."""
-    out = neighbour_value(last.select("interval_id", "sensor", "value"), "sensor", "interval_id",
-                          "value", "prev_value", direction="prev")
-    return out.withColumn("prev_value", F.coalesce("prev_value", F.lit(float(neutral))))
-
-
 def validity_ranges(last: DataFrame) -> DataFrame:
     """T2 (state form): each sensor value with the interval range it is current for,
     ``[interval_from, interval_to)``; ``interval_to`` is null while it is still current.

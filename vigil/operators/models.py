@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
+from pyspark.ml.functions import array_to_vector, predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,13 +15,29 @@ from pyspark.sql import types as T
 from vigil.functions import vectors as fv
 
 
-def training_frame(lines: DataFrame, line_col: str = "value") -> DataFrame:
-    """S1 + P2: text lines ``label,v1..vn`` -> label DOUBLE, features VECTOR.  Lines with a
-    non-numeric field are dropped (their label or a feature is null)."""
-    arr = fv.parse_training_array(F.col(line_col))
-    parsed = lines.select(fv.training_label(arr).alias("label"), fv.training_features(arr).alias("f"))
-    ok = F.col("label").isNotNull() & (F.size("f") > 0) & ~F.exists("f", lambda x: x.isNull())
-    return parsed.where(ok).select("label", array_to_vector("f").alias("features"))
+OK, BAD_FIELD, RAGGED = "ok", "bad_field", "ragged"
+
+
+def parse_training_lines(lines: DataFrame, width: int, line_col: str = "value") -> DataFrame:
+    """S1 + P2: text lines ``label,v1..vn`` -> ``status``, ``label`` DOUBLE, ``features`` ARRAY<DOUBLE>.
+    Every line keeps a row: ``bad_field`` if a field is not numeric (or the line is null), ``ragged`` if it
+    does not hold ``width`` values, else ``ok``."""
+    arr = fv.parse_training_array(F.coalesce(F.col(line_col), F.lit("")))
+    parsed = lines.select(fv.training_label(arr).alias("label"), fv.training_features(arr).alias("features"))
+    bad = F.col("label").isNull() | F.exists("features", lambda x: x.isNull())
+    status = F.when(bad, BAD_FIELD).when(F.size("features") != width, RAGGED).otherwise(OK)
+    return parsed.select(status.alias("status"), "label", "features")
+
+
+def training_status(lines: DataFrame, width: int, line_col: str = "value") -> DataFrame:
+    """Lines by status: what ``training_frame`` takes and what it leaves out."""
+    return parse_training_lines(lines, width, line_col).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def training_frame(lines: DataFrame, width: int, line_col: str = "value") -> DataFrame:
+    """The ``ok`` lines as label DOUBLE, features VECTOR; ``training_status`` counts the others."""
+    ok = parse_training_lines(lines, width, line_col).where(F.col("status") == OK)
+    return ok.select("label", array_to_vector("features").alias("features"))
 
 
 def train_lr(train: DataFrame, fit_intercept: bool = False, max_iter: int = 100, reg: float = 0.0,
@@ -91,7 +107,3 @@ def transformer_chain(df: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -
     for step in steps:
         df = df.transform(step)
     return df
-
-
-def vector_column_to_array(df: DataFrame, col: str) -> DataFrame:
-    return df.withColumn(col, vector_to_array(col))

@@ -373,3 +373,8 @@ SELECT count(*) AS n, CAST(sum(CASE WHEN label = predict THEN 1 ELSE 0 END) AS B
        round(100.0 * sum(CASE WHEN label = predict THEN 1 ELSE 0 END) / count(*), 4) AS pct
 FROM pred
 """
+
+ORACLE["parse_training_status"] = """
+SELECT CASE vec_id % 10 WHEN 3 THEN 'bad_field' WHEN 6 THEN 'ragged' ELSE 'ok' END AS status, CAST(count(*) AS BIGINT) AS n
+FROM embeddings GROUP BY 1
+"""

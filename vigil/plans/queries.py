@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from vigil.functions import events as fe
 from vigil.functions import images as fi
 from vigil.functions import vectors as fv
+from vigil.operators.models import training_status as om_status
 from vigil.operators import events as oe
 from vigil.operators import images as oi
 from vigil.operators import intervals as iv
@@ -431,7 +432,7 @@ def lr_train_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _generated(spark, sf_dir)
     base = scratch_dir(spark, "lr")
     write_lines(g, fv.encode_vector(F.col("label"), F.col("features"), width=GEN_SENSORS), f"{base}/train")
-    train = om_.training_frame(read_lines(spark, f"{base}/train"))
+    train = om_.training_frame(read_lines(spark, f"{base}/train"), GEN_SENSORS)
     model = om_.train_lr(train)
     om_.save_model(model, f"{base}/model")
     loaded = om_.load_model(f"{base}/model")
@@ -439,3 +440,13 @@ def lr_train_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     acc = om.accuracy(pred.select("label", F.col("prediction").alias("predict")))
     return acc.select("n", "correct", F.round("pct", 4).alias("pct"),
                       F.lit(len(loaded.coefficients)).alias("n_coefficients"))
+
+
+@register("parse_training_status")
+def parse_training_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training lines of the embeddings, some with a field that is no number and some cut short, by status."""
+    v = _vectors(spark, sf_dir)
+    line = fv.encode_vector(F.col("label"), F.col("features"))
+    kind = F.pmod(F.col("vec_id"), F.lit(10))
+    line = F.when(kind == 3, F.concat(line, F.lit(",x"))).when(kind == 6, F.substring_index(line, ",", 5)).otherwise(line)
+    return om_status(v.select(line.alias("value")), EMB_WIDTH)

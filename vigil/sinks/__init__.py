@@ -22,8 +22,3 @@ def kafka_publish_stream(df: DataFrame, line: Column, servers: str, topic: str,
     return (df.select(line.cast("string").alias("value")).writeStream.format("kafka")
             .option("kafka.bootstrap.servers", servers).option("topic", topic)
             .option("checkpointLocation", checkpoint).start())
-
-
-def lines_of(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Convenience: comma-join columns as one line."""
-    return df.select(F.concat_ws(",", *[F.col(c).cast("string") for c in cols]).alias("value"))

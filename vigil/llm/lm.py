@@ -199,6 +199,22 @@ def train(docs: DataFrame, bucket_counts: np.ndarray, text_col: str, rounds: int
     return model
 
 
+def _frequent(vocabulary: DataFrame, most: int) -> dict[bytes, int]:
+    """The words of the highest count classes (eighths of a power of two) that hold at most ``most`` words together;
+    the driver gets the classes' sizes and these words only."""
+    level = F.floor(F.log2("c") * 8).cast("int")
+    sizes = {r["level"]: r["count"] for r in vocabulary.groupBy(level.alias("level")).count().collect()}
+    total, least = 0, None
+    for at in sorted(sizes, reverse=True):
+        total += sizes[at]
+        if total > most:
+            break
+        least = at
+    if least is None:
+        return {}
+    return {bytes(r["word"]): r["c"] for r in vocabulary.where(level >= least).collect()}
+
+
 def score_texts(docs: DataFrame, held_out: Column, head_words: int = 200_000, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
@@ -216,7 +232,7 @@ def score_texts(docs: DataFrame, held_out: Column, head_words: int = 200_000, ro
     for r in by_bucket:
         counts[r["bucket"]], kinds[r["bucket"]] = r["c"], r["v"]
     n_all, n_kinds = int(counts.sum()), int(kinds.sum())
-    head = {bytes(r["word"]): r["c"] for r in vocabulary.orderBy(F.desc("c"), "word").limit(head_words).collect()}
+    head = _frequent(vocabulary, head_words)
     model = train(learned, counts, text_col, rounds)
     shared = spark.sparkContext.broadcast((head, model, np.log10(counts + kinds + 1)))  # head_words words and the fixed weights
 

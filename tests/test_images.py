@@ -104,3 +104,16 @@ def test_binary_records_empty_and_partial_files(spark):
         fh.write(bytes([3]) + bytes(range(12)) + b"\x01\x02")  # one record plus a short tail
     got = si.binary_records(spark, d, 13).collect()
     assert len(got) == 1 and got[0]["data"][0] == 3
+
+
+def test_moments_of_large_values_and_mixed_sizes(spark):
+    rows = [[1e9 + 0.5, 1e9 - 0.5], [1e9 + 1.0, 1e9, 1e9 - 1.0, 1e9], []]
+    df = spark.createDataFrame([(r,) for r in rows], "pixels array<double>")
+    m = oi.pixel_moments(df).first()
+    flat = np.concatenate(rows)
+    assert m["n"] == 6 and abs(m["mean"] - flat.mean()) < 1e-6 and abs(m["std"] - flat.std()) < 1e-6
+
+
+def test_shape_status(spark):
+    df = spark.createDataFrame([([1, 2, 3, 4],), ([1, 2],), ([1, None, 3, 4],), (None,)], "p array<int>")
+    assert [r[0] for r in df.select(fi.shape_status(F.col("p"), 2, 2, 1)).collect()] == ["ok", "bad_shape", "bad_shape", "bad_shape"]

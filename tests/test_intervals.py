@@ -89,6 +89,6 @@ def test_spine_and_summary(spark):
                                           (t0 + dt.timedelta(hours=3, minutes=5), 2, 2.0, 3)]), 3600)
     spine = iv.interval_spine(iv.interval_counts(ev)).orderBy("interval_id").collect()
     assert [(r["n_events"], r["empty"]) for r in spine] == [(1, False), (0, True), (0, True), (2, False)]
-    s = iv.run_summary(iv.interval_spine(iv.interval_counts(ev)), ev, 3600).first()
+    s = iv.run_summary(ev, 3600).first()
     assert (s["n_intervals"], s["n_empty"], s["n_events"]) == (2, 2, 3)
     assert abs(s["events_per_sec"] - 3 / 7200) < 1e-12

@@ -112,3 +112,11 @@ def test_image_stream_interval_report(spark):
     rep = si.interval_report(spark, f"{d}/out").orderBy("interval").collect()
     assert len(rep) == 3 and [r["interval"] for r in rep] == [1, 2, 3]
     assert rep[-1]["images_total"] == 500 and rep[-1]["correct_total"] == sum(r["correct"] for r in rep)
+
+
+def test_bad_image_lines_are_rejected_not_misclassified(spark):
+    from vigil.streaming import images as si
+
+    lines = spark.createDataFrame([("10 0",), ("2255 255",), ("11",), ("",), ("x1 2",), ("11 a",)], "value string")
+    got = si.classify_lines(lines, [1, 2], [[-1.9, -1.9], [2.1, 2.1]]).collect()
+    assert [(r["status"], r["predict"]) for r in got] == [("ok", 1), ("ok", 2)] + [("bad_image", None)] * 4

@@ -138,6 +138,11 @@ def is_shape(pixels: Column, h: int, w: int, c: int) -> Column:
     return (F.size(pixels) == h * w * c) & ~F.exists(pixels, lambda x: x.isNull())
 
 
+def shape_status(pixels: Column, h: int, w: int, c: int) -> Column:
+    """V12 as a status: ``ok``, or ``bad_shape`` for a null or misfit image."""
+    return F.when(pixels.isNotNull() & is_shape(pixels, h, w, c), "ok").otherwise("bad_shape")
+
+
 def argmax(scores: Column) -> Column:
     """0-based index of the largest score; the lowest index wins a tie."""
     return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")

@@ -11,19 +11,28 @@ from pyspark.sql import functions as F
 from vigil.functions import images as fi
 
 
+def _merged_moments(parts: DataFrame, values: str, *keys: str) -> DataFrame:
+    """``n, mean, std`` (population) over all values of the arrays, per ``keys``.
+
+    Each array is folded to its size, mean and mean squared deviation.  Arrays of one size merge by Spark's own
+    mean and variance; the few sizes that occur merge by their deviations from the common mean, so
+    no square of a large mean is ever subtracted."""
+    def mean_of(x):
+        return F.aggregate(x, F.lit(0.0), lambda a, v: a + v.cast("double")) / F.size(values)
+
+    rows = parts.where(F.size(values) > 0).select(*keys, F.size(values).alias("k"), values, mean_of(F.col(values)).alias("m"))
+    rows = rows.select(*keys, "k", "m", mean_of(F.transform(values, lambda v: (v.cast("double") - F.col("m")) * (v.cast("double") - F.col("m")))).alias("q"))
+    sizes = rows.groupBy(*keys, "k").agg(F.count(F.lit(1)).alias("r"), F.avg("m").alias("m"), (F.avg("q") + F.var_pop("m")).alias("q"))
+    sizes = sizes.withColumn("n", F.col("r") * F.col("k"))
+    merged = sizes.groupBy(*keys).agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"),
+                                      F.collect_list(F.struct("n", "m", "q")).alias("s"))  # a row per array size
+    total = F.aggregate("s", F.lit(0.0), lambda a, r: a + r["n"] * (r["q"] + (r["m"] - F.col("mean")) * (r["m"] - F.col("mean"))))
+    return merged.select(*keys, "n", "mean", F.sqrt(total / F.col("n")).alias("std"))
+
+
 def pixel_moments(df: DataFrame, pixels: str = "pixels") -> DataFrame:
-    """V6: global pixel count, mean and population std.  Each row is folded to (n, sum, sum of
-    squares) in place, then summed - fixed-width partial aggregates, no explode."""
-    x = F.col(pixels)
-    per_row = df.select(
-        F.size(x).cast("long").alias("n"),
-        F.aggregate(x, F.lit(0.0), lambda a, v: a + v.cast("double")).alias("s"),
-        F.aggregate(x, F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")).alias("ss"),
-    )
-    tot = per_row.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
-    mean = F.col("s") / F.col("n")
-    var = F.greatest(F.col("ss") / F.col("n") - mean * mean, F.lit(0.0))
-    return tot.select("n", mean.alias("mean"), F.sqrt(var).alias("std"))
+    """V6: global pixel count, mean and population std, in one pass and without explode."""
+    return _merged_moments(df.select(pixels), pixels)
 
 
 def normalise_by_moments(df: DataFrame, pixels: str = "pixels", out: str = "normalised") -> DataFrame:
@@ -51,11 +60,14 @@ def subtract_mean_image(df: DataFrame, pixels: str = "pixels", out: str = "centr
 
 
 def channel_stats(df: DataFrame, channels: int, pixels: str = "pixels") -> DataFrame:
-    """Per-channel mean and population std of HWC images (channel = index mod c).  The
-    exploded pixels feed a partial aggregate in the same stage; only c rows are shuffled per task."""
-    px = df.select(F.posexplode(pixels).alias("i", "x"))
-    return px.groupBy(F.pmod("i", F.lit(channels)).alias("channel")).agg(
-        F.avg(F.col("x").cast("double")).alias("mean"), F.stddev_pop(F.col("x").cast("double")).alias("std"))
+    """Per-channel mean and population std of HWC images (channel = index mod c).  An image gives one
+    row per channel; only the channels' partial sums are shuffled."""
+    def plane(c: int) -> Column:
+        return F.filter(pixels, lambda x, i: F.pmod(i, F.lit(channels)) == c)
+
+    planes = F.array(*[plane(c) for c in range(channels)])
+    px = df.select(F.posexplode(planes).alias("channel", "plane"))
+    return _merged_moments(px, "plane", "channel").select("channel", "mean", "std")
 
 
 def normalise_by_channel(df: DataFrame, channels: int, pixels: str = "pixels", out: str = "normalised",

@@ -173,19 +173,16 @@ def interval_spine(counts: DataFrame, lo: Column | int | None = None, hi: Column
     return out.select("interval_id", n.alias("n_events"), (n == 0).alias("empty"))
 
 
-def run_summary(counts_spine: DataFrame, events_iv: DataFrame, seconds: float) -> DataFrame:
-    """One row of run totals.  Throughput counts only the seconds of non-empty
-    intervals (the reference subtracts the empty intervals' waiting time)."""
-    tot = counts_spine.agg(
-        F.sum(F.when(~F.col("empty"), 1).otherwise(0)).cast("long").alias("n_intervals"),
-        F.sum(F.when(F.col("empty"), 1).otherwise(0)).cast("long").alias("n_empty"),
-        F.sum("n_events").cast("long").alias("n_events"),
-    )
-    span = events_iv.agg(
-        ((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / F.lit(1e6)).alias("span_seconds")).scalar()
+def run_summary(events_iv: DataFrame, seconds: float) -> DataFrame:
+    """One row of run totals, from one pass over the events.  Throughput counts only the seconds of
+    non-empty intervals.  Empty intervals are those between the extremes less those with events, so no
+    row per interval of the span is built."""
+    per = events_iv.groupBy("interval_id").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    tot = per.agg(
+        F.count(F.lit(1)).alias("n_intervals"),
+        (F.max("interval_id") - F.min("interval_id") + 1 - F.count(F.lit(1))).alias("n_empty"),
+        F.sum("n").alias("n_events"),
+        ((F.unix_micros(F.max("hi")) - F.unix_micros(F.min("lo"))) / F.lit(1e6)).alias("span_seconds"))
     active = F.col("n_intervals") * F.lit(float(seconds))
-    return tot.select(
-        "n_intervals", "n_empty", "n_events", span.alias("span_seconds"),
-        active.alias("active_seconds"),
-        (F.col("n_events") / active).alias("events_per_sec"),
-    )
+    return tot.select("n_intervals", "n_empty", "n_events", "span_seconds", active.alias("active_seconds"),
+                      (F.col("n_events") / active).alias("events_per_sec"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from vigil.functions import images as fi
 from vigil.operators.scan import floor_div, global_index, running_totals
 
-# Largest class-mean model (classes x width) that is shipped to every task inside the plan.
+# Largest class-mean model (classes x width) that a network function may carry to the workers.
 MAX_CENTROID_VALUES = 50_000_000
 
 
@@ -27,41 +27,35 @@ def class_means(df: DataFrame, features: str = "features", label: str = "label")
         F.transform("a", lambda r: r["m"]).alias("centroids"))
 
 
-def nearest_mean_scores(x: Column, centroids: Column, decimals: int = 4) -> Column:
-    """Score of each class = -(squared distance to its mean), rounded so that engines agree."""
+def nearest_mean_scores(x: Column, centroids: Column, decimals: int | None = None) -> Column:
+    """Score of each class = -(squared distance to its mean), rounded if ``decimals`` is given."""
     def dist(c):
-        return F.round(F.aggregate(F.zip_with(x, c, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)),
-                                   F.lit(0.0), lambda s, v: s + v), decimals)
+        d = F.aggregate(F.zip_with(x, c, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)),
+                        F.lit(0.0), lambda s, v: s + v)
+        return d if decimals is None else F.round(d, decimals)
     return F.transform(centroids, lambda c: -dist(c))
 
 
 def fitted_model_literals(model: DataFrame) -> tuple[list[int], list[list[float]]]:
-    """Bring a fitted class-mean model (one row) to the driver, checking its size bound - the
-    model then travels with the tasks as literals (a broadcast of proven size)."""
-    r = model.first()
-    classes, cents = list(r["classes"]), [list(c) for c in r["centroids"]]
-    size = len(cents) * (len(cents[0]) if cents else 0)
-    if size > MAX_CENTROID_VALUES:
-        raise ValueError(f"class-mean model has {size} values; above {MAX_CENTROID_VALUES} use a model UDF")
-    return classes, cents
+    """A fitted class-mean model (one row) on the driver, for network functions and streams.  Its
+    size is checked in the task that holds it, before it is sent."""
+    size = F.aggregate("centroids", F.lit(0).cast("long"), lambda n, c: n + F.size(c))
+    large = F.raise_error(F.lit(f"class-mean model of more than {MAX_CENTROID_VALUES} values"))
+    r = model.select(F.when(size > MAX_CENTROID_VALUES, large).otherwise(F.struct("classes", "centroids")).alias("m")).first()["m"]
+    return list(r["classes"]), [list(c) for c in r["centroids"]]
 
 
 def predict_nearest_mean(df: DataFrame, model: DataFrame, features: str = "features",
-                         decimals: int = 4) -> DataFrame:
-    """D3 in JVM form: add ``scores`` and ``predict`` (the class label of the best score).
-    The fitted model is size-checked on the driver and reaches the tasks as literal arrays."""
-    classes, cents = fitted_model_literals(model)
-    return predict_with_means(df, classes, cents, features, decimals)
+                         decimals: int | None = None) -> DataFrame:
+    """D3 in JVM form: add ``scores``, ``predict`` (the class label of the best score) and ``classes`` (the
+    label of each score).  The fitted model is a scalar subquery: it does not pass through the driver's program."""
+    out = df.withColumn("_model", model.select(F.struct("classes", "centroids")).scalar())
+    out = out.withColumn("scores", nearest_mean_scores(F.col(features), F.col("_model.centroids"), decimals))
+    out = out.withColumn("classes", F.col("_model.classes")).drop("_model")
+    return out.withColumn("predict", F.get(F.col("classes"), fi.argmax(F.col("scores"))))
 
 
-def predict_with_means(df: DataFrame, classes, centroids, features: str = "features",
-                       decimals: int = 4) -> DataFrame:
-    """Score and predict with a class-mean model already on the driver."""
-    out = df.withColumn("scores", nearest_mean_scores(F.col(features), F.lit(centroids), decimals))
-    return out.withColumn("predict", F.get(F.lit(classes), fi.argmax(F.col("scores"))))
-
-
-def nearest_mean_predict_fn(centroids, decimals: int = 4):
+def nearest_mean_predict_fn(centroids, decimals: int | None = None):
     """A ``make_predict_fn`` for ``models.network_udf``: the class-mean model as a numpy
     network (one batch of rows -> one batch of class scores), the same scores as
     ``nearest_mean_scores``.  The centroids travel in the closure (bounded: classes x width)."""
@@ -72,7 +66,7 @@ def nearest_mean_predict_fn(centroids, decimals: int = 4):
     def make():
         def predict(x):
             d = ((x[:, None, :] - c[None, :, :]) ** 2).sum(axis=-1)
-            return -np.round(d, decimals)
+            return -(d if decimals is None else np.round(d, decimals))
         return predict
     return make
 

@@ -219,25 +219,25 @@ SELECT count(*) AS n, round(avg(x), 9) AS mean, round(stddev_pop(x), 9) AS std F
 ORACLE["scalar_normalise"] = f"""
 WITH px AS ({_UNNEST}),
 m AS (SELECT avg(x) AS mean, stddev_pop(x) AS std FROM px)
-SELECT vec_id, round(sum((x - (SELECT mean FROM m)) / (SELECT std FROM m)), 4) AS norm_sum FROM px GROUP BY vec_id
+SELECT vec_id, round(sum(i * (x - (SELECT mean FROM m)) / (SELECT std FROM m)), 4) AS norm_sum FROM px GROUP BY vec_id
 """
 
 ORACLE["fixed_normalise"] = f"""
 WITH px AS ({_UNNEST_PIX})
-SELECT vec_id, round(sum((x - 120.70756512369792) / 64.1500758911213), 6) AS norm_sum FROM px GROUP BY vec_id
+SELECT vec_id, round(sum(i * (x - 120.70756512369792) / 64.1500758911213), 6) AS norm_sum FROM px GROUP BY vec_id
 """
 
 ORACLE["mean_vector_subtract"] = f"""
 WITH px AS (SELECT vec_id, x / 255.0 AS x, i FROM ({_UNNEST_PIX})),
 m AS (SELECT i, avg(x) AS m FROM px GROUP BY i)
-SELECT vec_id, round(sum(x - m), 6) AS centred_sum, round(max(CASE WHEN i = 1 THEN x - m END), 6) AS centred_first
+SELECT vec_id, round(sum(i * (x - m)), 6) AS centred_sum, round(max(CASE WHEN i = 1 THEN x - m END), 6) AS centred_first
 FROM px JOIN m USING (i) GROUP BY vec_id
 """
 
 ORACLE["channel_normalise"] = f"""
 WITH px AS (SELECT vec_id, x, i, (i - 1) % 4 AS ch FROM ({_UNNEST_PIX})),
 st AS (SELECT ch, avg(x) AS m, stddev_pop(x) AS s FROM px GROUP BY ch)
-SELECT vec_id, round(sum((x - m) / s), 4) AS norm_sum, round(max(CASE WHEN i = 2 THEN (x - m) / s END), 6) AS norm_second
+SELECT vec_id, round(sum(i * (x - m) / s), 4) AS norm_sum, round(max(CASE WHEN i = 2 THEN (x - m) / s END), 6) AS norm_second
 FROM px JOIN st USING (ch) GROUP BY vec_id
 """
 
@@ -245,7 +245,7 @@ ORACLE["center_crop"] = f"""
 WITH c AS (
   SELECT vec_id, list_filter(p, lambda x, i: (i - 1) // 8 BETWEEN 1 AND 6 AND (i - 1) % 8 BETWEEN 1 AND 6) AS c
   FROM (SELECT vec_id, {PIX} AS p FROM embeddings) WHERE len(p) = 64)
-SELECT vec_id, CAST(len(c) AS INTEGER) AS n_pixels, CAST(list_sum(c) AS BIGINT) AS pixel_sum, c[1] AS first_pixel FROM c
+SELECT vec_id, 'ok' AS status, CAST(len(c) AS INTEGER) AS n_pixels, CAST(list_sum(c) AS BIGINT) AS pixel_sum, c[1] AS first_pixel FROM c
 """
 
 ORACLE["layout_reorder"] = f"""
@@ -321,6 +321,11 @@ SELECT count(*) AS n, round(100.0 * avg(CASE WHEN rank <= 1 THEN 1 ELSE 0 END),
 FROM rk
 """
 
+ORACLE["topk_classes"] = f"""
+WITH {_DIST}
+SELECT vec_id, string_agg(CAST(c AS VARCHAR), ',' ORDER BY rn) AS best FROM ranked WHERE rn <= 5 GROUP BY vec_id
+"""
+
 ORACLE["class_counts"] = """
 SELECT label, count(*) AS n, (SELECT count(DISTINCT label) FROM embeddings) AS n_classes FROM embeddings GROUP BY label
 """
@@ -378,3 +383,40 @@ ORACLE["parse_training_status"] = """
 SELECT CASE vec_id % 10 WHEN 3 THEN 'bad_field' WHEN 6 THEN 'ragged' ELSE 'ok' END AS status, CAST(count(*) AS BIGINT) AS n
 FROM embeddings GROUP BY 1
 """
+
+# ---------------------------------------------------------------- training and files
+ORACLE["train_text_roundtrip"] = f"""
+WITH l AS (
+  SELECT printf('%.5f', CASE WHEN {SCORE} > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) || ',' ||
+         array_to_string(list_transform({VEC}, lambda x: printf('%.5f', x)), ',') AS line
+  FROM embeddings),
+a AS (SELECT list_transform(string_split(line, ','), lambda x: TRY_CAST(x AS DOUBLE)) AS arr FROM l)
+SELECT 'ok' AS status, arr[1] AS label, CAST(len(arr) - 1 AS INTEGER) AS n_values,
+       round(list_sum(list_transform(arr[2:], lambda x, i: x * i)), 5) AS score
+FROM a
+"""
+
+ORACLE["lr_predict"] = f"""
+WITH s AS (SELECT vec_id, 0.25 + list_sum(list_transform({VEC}, lambda x, i: x * (i - 32.5))) AS margin FROM embeddings)
+SELECT vec_id, round(margin, 6) AS margin, CAST(margin > 0 AS INTEGER) AS prediction FROM s
+"""
+
+ORACLE["lr_fit"] = "SELECT count(*) AS n, 64 AS n_coefficients, true AS converged FROM embeddings"
+
+ORACLE["labelled_folder_scan"] = f"""
+SELECT vec_id, CAST(dense_rank() OVER (ORDER BY 'class_' || label) AS INTEGER) AS label,
+       CAST(list_sum(list_transform(p, lambda x, i: CAST(x AS BIGINT) * i)) AS BIGINT) AS checksum
+FROM (SELECT vec_id, CAST(label AS VARCHAR) AS label, {PIX} AS p FROM embeddings)
+"""
+
+ORACLE["binary_file_records"] = ORACLE["binary_image_records"].replace("SELECT vec_id, label, 65 AS n_bytes,", "SELECT label,")
+
+ORACLE["stream_classify_bytes"] = f"""
+WITH px AS (
+  SELECT vec_id, label, i, (x - (120.0 + 2.0 * ((i - 1) % 4))) / (60.0 + 2.0 * ((i - 1) % 4)) AS x FROM ({_UNNEST_PIX})),
+{_DIST_FROM_PX}
+SELECT count(*) AS n, CAST(sum(CASE WHEN label = predict THEN 1 ELSE 0 END) AS BIGINT) AS correct,
+       (SELECT count(*) FROM embeddings WHERE vec_id % 50 = 7) AS rejected,
+       round(100.0 * sum(CASE WHEN label = predict THEN 1 ELSE 0 END) / count(*), 4) AS pct
+FROM pred WHERE vec_id % 50 <> 7
+"""

@@ -135,8 +135,7 @@ def empty_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q7 (A10 A11): run totals and throughput over hourly intervals."""
     _, ev = _events(spark, sf_dir, HOUR)
-    spine = iv.interval_spine(iv.interval_counts(ev))
-    s = iv.run_summary(spine, ev, HOUR)
+    s = iv.run_summary(ev, HOUR)
     return s.select("n_intervals", "n_empty", "n_events", F.round("span_seconds", 3).alias("span_seconds"),
                     "active_seconds", F.round("events_per_sec", 6).alias("events_per_sec"))
 
@@ -235,16 +234,16 @@ def global_mean_std(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("scalar_normalise")
 def scalar_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q15 (V6 V5): normalise by the set's mean and std; per-vector sum."""
+    """Q15 (V6 V5): normalise by the set's mean and std; position-weighted sum per vector."""
     n = oi.normalise_by_moments(_vectors(spark, sf_dir), "features")
-    return n.select("vec_id", F.round(fv.vector_sum(F.col("normalised")), 4).alias("norm_sum"))
+    return n.select("vec_id", F.round(fv.weighted_score(F.col("normalised")), 4).alias("norm_sum"))
 
 
 @register("fixed_normalise")
 def fixed_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V5 with the fixed CIFAR10 constants on 0..255 pixels; per-image sum."""
+    """V5 with the fixed CIFAR10 constants on 0..255 pixels; position-weighted sum per image."""
     p = _pixels(spark, sf_dir)
-    return p.select("vec_id", F.round(fv.vector_sum(fi.normalise(F.col("pixels"), fi.CIFAR_MEAN, fi.CIFAR_STD)), 6)
+    return p.select("vec_id", F.round(fv.weighted_score(fi.normalise(F.col("pixels"), fi.CIFAR_MEAN, fi.CIFAR_STD)), 6)
                     .alias("norm_sum"))
 
 
@@ -253,7 +252,7 @@ def mean_vector_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q16 (V7 V8): pixels / 255, minus the per-position mean image."""
     p = _pixels(spark, sf_dir).withColumn("scaled", fi.scale_255(F.col("pixels")))
     c = oi.subtract_mean_image(p, "scaled")
-    return c.select("vec_id", F.round(fv.vector_sum(F.col("centred")), 6).alias("centred_sum"),
+    return c.select("vec_id", F.round(fv.weighted_score(F.col("centred")), 6).alias("centred_sum"),
                     F.round(F.get(F.col("centred"), 0), 6).alias("centred_first"))
 
 
@@ -262,18 +261,19 @@ def channel_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q17 (V9): 4x4x4 HWC images, per-channel (x - mean_c) / std_c."""
     c = IMAGE_HWC[2]
     n = oi.normalise_by_channel(_pixels(spark, sf_dir), c, "pixels")
-    return n.select("vec_id", F.round(fv.vector_sum(F.col("normalised")), 4).alias("norm_sum"),
+    return n.select("vec_id", F.round(fv.weighted_score(F.col("normalised")), 4).alias("norm_sum"),
                     F.round(F.get(F.col("normalised"), 1), 6).alias("norm_second"))
 
 
 @register("center_crop")
 def center_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q18 (V10 V12): 8x8x1 images cropped to the centre 6x6."""
+    """Q18 (V10 V12): 8x8x1 images cropped to the centre 6x6; misfits keep a row and their status."""
     h, w = CROP_HW
     oh, ow = CROP_OUT
-    p = _pixels(spark, sf_dir).where(fi.is_shape(F.col("pixels"), h, w, 1))
-    cr = fi.center_crop(F.col("pixels"), h, w, 1, oh, ow)
-    return p.select("vec_id", F.size(cr).alias("n_pixels"),
+    status = fi.shape_status(F.col("pixels"), h, w, 1)
+    p = _pixels(spark, sf_dir).withColumn("status", status)
+    cr = F.when(F.col("status") == "ok", fi.center_crop(F.col("pixels"), h, w, 1, oh, ow))
+    return p.select("vec_id", "status", F.size(cr).alias("n_pixels"),
                     F.aggregate(cr, F.lit(0).cast("long"), lambda a, x: a + x).alias("pixel_sum"),
                     F.get(cr, 0).alias("first_pixel"))
 
@@ -331,16 +331,18 @@ def binary_image_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ classification reports
-def _predictions(spark: SparkSession, sf_dir: str):
+DISTANCE_DECIMALS = 4  # distances are rounded so that engines, which sum in different orders, agree on ties
+
+
+def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
-    classes, cents = om.fitted_model_literals(om.class_means(v))
-    return om.predict_with_means(v, classes, cents), classes
+    return om.predict_nearest_mean(v, om.class_means(v), decimals=DISTANCE_DECIMALS)
 
 
 @register("classify_accuracy")
 def classify_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q20 (D3 D5 V14 A4 A5): nearest-class-mean classifier; accuracy."""
-    pred, _ = _predictions(spark, sf_dir)
+    pred = _predictions(spark, sf_dir)
     return om.accuracy(pred).select("n", "correct", F.round("pct", 4).alias("pct"))
 
 
@@ -352,7 +354,7 @@ def classify_accuracy_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigil.operators.models import network_udf
     v = _vectors(spark, sf_dir)
     classes, cents = om.fitted_model_literals(om.class_means(v))
-    net = network_udf(om.nearest_mean_predict_fn(cents), len(classes), (EMB_WIDTH,), batch_size=256)
+    net = network_udf(om.nearest_mean_predict_fn(cents, DISTANCE_DECIMALS), len(classes), (EMB_WIDTH,), batch_size=256)
     pred = v.select("label", net(F.col("features")).alias("scores"))
     pred = pred.select("label", F.get(F.lit(classes), fi.argmax(F.col("scores"))).alias("predict"))
     return om.accuracy(pred).select("n", "correct", F.round("pct", 4).alias("pct"))
@@ -361,8 +363,8 @@ def classify_accuracy_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("topk_accuracy")
 def topk_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q21 (A6 O3): top-1 and top-5 accuracy."""
-    pred, classes = _predictions(spark, sf_dir)
-    t = om.topk_accuracy(pred, F.lit(classes), (1, TOPK))
+    pred = _predictions(spark, sf_dir)
+    t = om.topk_accuracy(pred, F.col("classes"), (1, TOPK))
     return t.select("n", F.round("acc1", 4).alias("acc1"), F.round(f"acc{TOPK}", 4).alias("acc5"))
 
 
@@ -370,12 +372,19 @@ def topk_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def first_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O4 + A6: top-1 / top-5 accuracy on the first batch of 256 images (vec_id order), the
     sample the single-machine loop reports; an error if the set is smaller than one batch."""
-    pred, classes = _predictions(spark, sf_dir)
+    pred = _predictions(spark, sf_dir)
     head = om.first_batch(pred, "vec_id", FIRST_BATCH)
-    t = om.topk_accuracy(head, F.lit(classes), (1, TOPK))
+    t = om.topk_accuracy(head, F.col("classes"), (1, TOPK))
     return t.select("n", F.round("acc1", 4).alias("acc1"), F.round(f"acc{TOPK}", 4).alias("acc5"))
 
 
+@register("topk_classes")
+def topk_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O3: the five best classes of every image, best first."""
+    best = F.transform(fi.topk_classes(F.col("scores"), TOPK), lambda i: F.get(F.col("classes"), i).cast("string"))
+    return _predictions(spark, sf_dir).select("vec_id", F.array_join(best, ",").alias("best"))
+
+
 @register("class_counts")
 def class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q22 (A9)."""
@@ -385,7 +394,7 @@ def class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("count_window_progress")
 def count_window_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q23 (A13): cumulative accuracy reported every 100 images in vec_id order."""
-    pred, _ = _predictions(spark, sf_dir)
+    pred = _predictions(spark, sf_dir)
     p = om.count_window_progress(pred, "vec_id", PROGRESS_EVERY)
     return p.select("report_no", "images", "correct", F.round("pct", 4).alias("pct"))
 

@@ -10,8 +10,9 @@ from vigil.functions import events as fe
 from vigil.functions import images as fi
 from vigil.operators import intervals as iv
 from vigil.operators import metrics as om
-from vigil.plans.common import DAY, HOUR, NEUTRAL, n_sensors, stand_in_model, table
-from vigil.plans.queries import register
+from vigil.plans.common import CROP_HW, DAY, HOUR, IMAGE_HWC, NEUTRAL, n_sensors, stand_in_model, table
+from vigil.operators.models import network_udf
+from vigil.plans.queries import DISTANCE_DECIMALS, register
 from vigil.session import scratch_dir
 from vigil.sources.lines import text_stream
 from vigil.streaming import images as si
@@ -28,8 +29,10 @@ def write_event_line_files(events: DataFrame, path: str) -> None:
     stored table as a stream for the registered check: one write per chunk, so the file
     times follow event time (a single partitioned write would give the files arbitrary times)."""
     ev = events.withColumn("chunk", F.floor(iv.interval_id(F.col("ts"), DAY) / CHUNK_DAYS))
-    keyed = ev.select(fe.encode_event(F.col("ts"), F.col("sensor"), F.col("value")).alias("value"), "chunk")
-    chunks = sorted(r[0] for r in ev.select("chunk").distinct().collect())  # a few chunk ids
+    staged = scratch_dir(events.sparkSession, "chunks")  # the table is read once; a chunk is then one folder
+    ev.select(fe.encode_event(F.col("ts"), F.col("sensor"), F.col("value")).alias("value"), "chunk").write.partitionBy("chunk").parquet(staged)
+    keyed = events.sparkSession.read.parquet(staged)
+    chunks = sorted(r[0] for r in keyed.select("chunk").distinct().collect())  # a few chunk ids
     end = events.agg(F.max("ts").alias("ts")).select(fe.sentinel_line(F.col("ts")).alias("value"))
     for c in chunks:
         part = keyed.where(F.col("chunk") == c).select("value")
@@ -80,7 +83,41 @@ def stream_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     px.select(fi.encode_image_a(F.col("label"), F.col("pixels")).alias("value")).repartition(4) \
       .write.mode("overwrite").text(f"{base}/in")
     lines = text_stream(spark, f"{base}/in", max_files_per_trigger=1)
-    q = si.start_image_classification(lines, classes, cents, f"{base}/out", f"{base}/ckpt", available_now=True)
+    q = si.start_image_classification(lines, classes, cents, f"{base}/out", f"{base}/ckpt", available_now=True,
+                                      score=lambda x: om.nearest_mean_scores(x, F.lit(cents), DISTANCE_DECIMALS))
     q.awaitTermination()
     t = si.run_totals(spark, f"{base}/out")
     return t.select("n", "correct", F.round(F.lit(100.0) * F.col("correct") / F.col("n"), 4).alias("pct"))
+
+
+CHANNEL_MEANS, CHANNEL_STDS = (120.0, 122.0, 124.0, 126.0), (60.0, 62.0, 64.0, 66.0)
+IDLE_REPORT = "spark.sql.streaming.noDataProgressEventInterval"
+
+
+@register("stream_classify_bytes")
+def stream_classify_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image lines of form B, normalised per channel with fixed constants and classified by the
+    class means as a network in Arrow batches; the stream ends at its first empty report.  One line in fifty is
+    cut short and counted as rejected."""
+    e = table(spark, sf_dir, "embeddings")
+    px = e.select("vec_id", "label", fi.quantize(F.transform("embedding", lambda x: x.cast("double"))).alias("pixels"))
+
+    def scale(x):
+        return fi.normalise_channels(x, CHANNEL_MEANS, CHANNEL_STDS, IMAGE_HWC[2])
+
+    classes, cents = om.fitted_model_literals(om.class_means(px.select("label", scale(F.col("pixels")).alias("features"))))
+    net = network_udf(om.nearest_mean_predict_fn(cents, DISTANCE_DECIMALS), len(classes), (len(cents[0]),))
+    line = fi.encode_image_b(F.col("label"), F.concat(fi.size_header(*CROP_HW), fi.to_signed_bytes(F.col("pixels"))))
+    line = F.when(F.pmod("vec_id", F.lit(50)) == 7, F.substring_index(line, ",", 40)).otherwise(line)
+    base = scratch_dir(spark, "image-bytes")
+    px.select(line.alias("value")).write.text(f"{base}/in")
+    before = spark.conf.get(IDLE_REPORT)
+    spark.conf.set(IDLE_REPORT, "500ms")
+    try:
+        q = si.start_image_classification(text_stream(spark, f"{base}/in"), classes, cents, f"{base}/out", f"{base}/ckpt",
+                                          processing_time="0 seconds", form=si.form_b, scale=scale, score=net)
+    finally:
+        spark.conf.set(IDLE_REPORT, before)
+    ss.stop_when_idle(q, timeout=STREAM_TIMEOUT_S)
+    t = si.run_totals(spark, f"{base}/out")
+    return t.select("n", "correct", "rejected", F.round(F.lit(100.0) * F.col("correct") / F.col("n"), 4).alias("pct"))

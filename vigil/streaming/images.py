@@ -3,7 +3,9 @@ per-micro-batch counts of images and correct predictions (K3)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -11,35 +13,62 @@ from vigil.functions import images as fi
 from vigil.operators.metrics import correct, fitted_model_literals, nearest_mean_scores  # noqa: F401
 from vigil.operators.models import transformer_chain
 
+OK, BAD_IMAGE = "ok", "bad_image"
+
+
+def form_a(value: Column) -> dict[str, Column]:
+    """P3."""
+    return fi.parse_image_a(value)
+
+
+def form_b(value: Column) -> dict[str, Column]:
+    """P4 + V13: 1-based label, size header, signed bytes."""
+    p = fi.parse_image_b(value)
+    return {"label": (p["label"] - 1).cast("int"), "pixels": fi.unsigned(fi.strip_header(p["bytes"]))}
+
+
+def classify_lines(lines: DataFrame, classes: list[int], centroids: list[list[float]], form: Callable = form_a,
+                   scale: Callable[[Column], Column] | None = None, score: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Image lines -> status, label, predict (the same expressions work on a static frame).
+
+    The steps form a D6 transformer chain: parse -> normalise -> score -> argmax.  ``form`` reads a line,
+    ``scale`` normalises its pixels (default: the fixed scalar constants) and ``score`` gives a score per class
+    (default: the class means; D4: a ``network_udf``).  A line without a label or with another number of values,
+    or with one that is no number, is a ``bad_image`` without a prediction."""
+    width = len(centroids[0])
+    scale = scale or (lambda x: fi.normalise(x, fi.CIFAR_MEAN, fi.CIFAR_STD))
+    score = score or (lambda x: nearest_mean_scores(x, F.lit(centroids)))
 
-def classify_lines(lines: DataFrame, classes: list[int], centroids: list[list[float]],
-                   mean: float = fi.CIFAR_MEAN, std: float = fi.CIFAR_STD) -> DataFrame:
-    """Form-A image lines -> label, predict (the same expressions work on a static frame).
-    The steps form a D6 transformer chain: parse -> normalise -> score -> argmax."""
     def parse(df: DataFrame) -> DataFrame:
-        p = fi.parse_image_a(F.col("value"))
-        return df.select(p["label"].alias("label"), p["pixels"].alias("pixels"))
+        p = form(F.col("value"))
+        df = df.select(p["label"].alias("label"), p["pixels"].alias("pixels"))
+        fits = F.col("label").isNotNull() & F.col("pixels").isNotNull() & fi.is_shape(F.col("pixels"), width, 1, 1)
+        return df.withColumn("status", F.when(fits, OK).otherwise(BAD_IMAGE))
 
-    def scale(df: DataFrame) -> DataFrame:
-        return df.select("label", fi.normalise(F.col("pixels"), mean, std).alias("x"))
+    def scaled(df: DataFrame) -> DataFrame:
+        blank = F.array_repeat(F.lit(0.0), width)  # a network takes no null
+        return df.select("status", "label", F.when(F.col("status") == OK, scale(F.col("pixels"))).otherwise(blank).alias("x"))
 
-    def score(df: DataFrame) -> DataFrame:
-        return df.select("label", nearest_mean_scores(F.col("x"), F.lit(centroids)).alias("scores"))
+    def scored(df: DataFrame) -> DataFrame:
+        return df.select("status", "label", score(F.col("x")).alias("scores"))
 
     def predict(df: DataFrame) -> DataFrame:
-        return df.select("label", F.get(F.lit(classes), fi.argmax(F.col("scores"))).alias("predict"))
+        best = F.get(F.lit(classes), fi.argmax(F.col("scores")))
+        return df.select("status", "label", F.when(F.col("status") == OK, best).alias("predict"))
 
-    return transformer_chain(lines, parse, scale, score, predict)
+    return transformer_chain(lines, parse, scaled, scored, predict)
 
 
 def start_image_classification(lines: DataFrame, classes, centroids, out_dir: str, checkpoint: str,
-                               available_now: bool = False, processing_time: str | None = None) -> StreamingQuery:
-    """Per micro-batch: one row (batch_id, images, correct) appended under ``out_dir``."""
-    pred = classify_lines(lines, classes, centroids)
+                               available_now: bool = False, processing_time: str | None = None, **steps) -> StreamingQuery:
+    """Per micro-batch: one row (batch_id, images, correct, rejected) appended under ``out_dir``.  ``steps``: the
+    form, scale and score of ``classify_lines``."""
+    pred = classify_lines(lines, classes, centroids, **steps)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        agg = batch.agg(F.count(F.lit(1)).alias("images"),
-                        F.coalesce(F.sum(correct(F.col("label"), F.col("predict"))), F.lit(0)).cast("long").alias("correct"))
+        agg = batch.agg(F.count_if(F.col("status") == OK).alias("images"),
+                        F.coalesce(F.sum(correct(F.col("label"), F.col("predict"))), F.lit(0)).cast("long").alias("correct"),
+                        F.count_if(F.col("status") != OK).alias("rejected"))
         agg.withColumn("batch_id", F.lit(batch_id).cast("long")) \
            .write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/b={batch_id}")
 
@@ -52,10 +81,11 @@ def start_image_classification(lines: DataFrame, classes, centroids, out_dir: st
 
 
 def run_totals(spark: SparkSession, out_dir: str) -> DataFrame:
-    """A10 for the image stream: non-empty intervals, images, correct, percent."""
+    """A10 for the image stream: non-empty intervals, images, correct, rejected lines."""
     b = spark.read.parquet(out_dir)
     return b.agg(F.sum(F.when(F.col("images") > 0, 1).otherwise(0)).cast("long").alias("intervals"),
-                 F.sum("images").cast("long").alias("n"), F.sum("correct").cast("long").alias("correct"))
+                 F.sum("images").cast("long").alias("n"), F.sum("correct").cast("long").alias("correct"),
+                 F.sum("rejected").cast("long").alias("rejected"))
 
 
 def interval_report(spark: SparkSession, out_dir: str) -> DataFrame:

@@ -30,15 +30,18 @@ FAR_FUTURE = "9999-12-31 00:00:00"
 
 def closed_interval_readings(lines: DataFrame, n_sensors: int, seconds: float, delay: str) -> DataFrame:
     """Streaming frame of (window, sensor, value, n_readings) for closed intervals (append mode).
-    Observed metric ``eos`` (any end-of-stream record) and ``lines`` per micro-batch."""
+    Observed metrics per micro-batch: ``eos`` (any end-of-stream record), ``lines`` and ``rejected`` (lines of
+    any other status)."""
     parsed = parse_event_lines(lines, n_sensors)
     parsed = parsed.observe("eos", F.max((F.col("status") == fe.CONTROL).cast("int")).alias("eos"),
-                            F.count(F.lit(1)).alias("lines"))
+                            F.count(F.lit(1)).alias("lines"),
+                            F.count_if(~F.col("status").isin(fe.OK, fe.CONTROL)).alias("rejected"))
     wm_ts = F.when(F.col("status") == fe.CONTROL, F.lit(FAR_FUTURE).cast("timestamp")).otherwise(F.col("ts"))
     keep = parsed.where(F.col("status").isin(fe.OK, fe.CONTROL)).withColumn("ts", wm_ts)
     # without an arrival key (file/socket lines) event time alone orders the readings, and a
     # primitive ordering key lets the stateful aggregate hash instead of sort
-    order = F.struct("ts", "seq") if "seq" in keep.columns else F.col("ts")
+    arrival = [c for c in ("partition", "seq") if c in keep.columns]  # an offset orders its partition only
+    order = F.struct("ts", *arrival) if arrival else F.col("ts")
     # the filter must reference the event-time column, or Catalyst pushes it below the
     # watermark and the end-of-stream record never advances it
     keep = keep.withWatermark("ts", delay).where(F.col("ts") < F.lit(FAR_FUTURE).cast("timestamp"))

@@ -75,3 +75,17 @@ def test_long_text_and_empty(spark):
     got = sorted((r.n_bytes, [(x.a, x.b) for x in r.runs]) for r in remove_repeats(df).collect())
     assert got == [(5, []), (501, [(0, 500)]), (len(long), [(1000, 1500)])]
     assert remove_repeats(df.limit(0)).count() == 0
+
+
+def test_dealt_groups_match_brute_force(spark):
+    """Every group is larger than allowed, so all of them are dealt out by content."""
+    rng = random.Random(11)
+    letters = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage, tail = letters(300), letters(60)
+    texts = corpus(5) + [letters(rng.randint(0, 200)) + passage + letters(rng.randint(0, 200)) for _ in range(30)]
+    texts += [letters(k) + passage + tail + letters(70) for k in range(0, 160, 9)]  # 360 shared bytes
+    texts += [tail + passage + tail + letters(k) for k in range(0, 160, 9)]  # 420 shared bytes
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = brute([(t or "").encode() for t in texts])
+    for r in remove_repeats(df, group_rows=2).collect():
+        assert (r.n_bytes, bytes(r.kept), [(x.a, x.b) for x in r.runs]) == want[r.doc_id], r.doc_id

@@ -14,6 +14,9 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts anywhere
    interleave of the next column.  No context is sorted again.  Runs of equal prefixes at each depth (the
    common-prefix intervals) come out on the way, and a window is repeated if its left and right part
    lie in intervals that another occurrence shares.
+   A group of more contexts than a task holds is dealt out by content first: windows that begin a to a + 15 bytes
+   before the anchor share the a bytes before it and the bytes after it that all of them reach, so each such
+   range of windows makes groups of its own, and none of their repeats is lost.
 3. Covered stretches are joined per document and cut out.
 """
 
@@ -37,6 +40,8 @@ KMER = 256
 #: Windows of LENGTH bytes that hold one KMER, less one: how far a context goes on either side.
 SIDE = LENGTH - KMER
 SHARD, BATCH = 8192, 60_000
+#: Windows of one range, where a group is dealt out by content; most large groups whose list is broadcast.
+RANGE, MAX_BROADCAST = 16, 1_000_000
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -182,11 +187,29 @@ def _emit(ids: pa.Array, texts: list[bytes], spans: list[list]) -> pa.RecordBatc
         names=["id", "n_bytes", "kept", "runs"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+def _dealt(contexts: DataFrame, group_rows: int) -> DataFrame:
+    """``contexts`` with ``part`` in place of ``h``: the group, or for a group of more than ``group_rows`` contexts
+    one part per range of windows and shared bytes."""
+    large = stored(contexts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_rows).select("h"), "repeats-large")
+    found = large.count()
+    if not found:
+        return contexts.withColumnRenamed("h", "part")
+    listed = large.withColumn("large", F.lit(True))
+    contexts = contexts.join(F.broadcast(listed) if found <= MAX_BROADCAST else listed, "h", "left")
+    parts = []
+    for a in range(0, SIDE + 1, RANGE):
+        after = SIDE - min(a + RANGE - 1, SIDE)
+        shared = F.xxhash64("h", F.lit(a), F.substring("left", F.length("left") - a + 1, F.lit(a)), F.substring("right", 1, after))
+        parts.append(F.when((F.length("left") >= a) & (F.length("right") >= after), shared))
+    part = F.when(F.col("large"), F.array_compact(F.array(*parts))).otherwise(F.array("h"))
+    return contexts.select(F.explode(part).alias("part"), "at", "sure", "left", "right", "row")
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, group_rows: int = BATCH) -> DataFrame:
     """One row per document: ``id_col, n_bytes, kept`` (binary), ``runs`` (``array<struct<a, b>>``, removed bytes, end exclusive).
 
     With ``digest`` the kept bytes are given as lowercase SHA-256 (as binary text) instead.  A null text counts as empty.  Equal rows are
-    each other's repeats.  Repeated and null ids keep a row each.  Other columns are not read.  An empty table gives no rows.
+    each other's repeats.  Groups of more than ``group_rows`` different contexts are dealt out; the result does not depend on it.  Repeated and null ids keep a row each.  Other columns are not read.  An empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -280,7 +303,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield judged()
 
     contexts = settled.select("row", F.explode("contexts").alias("c")).select("c.h", "c.at", "c.sure", "c.left", "c.right", "row")
-    late = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(compare, "row bigint, a bigint, b bigint")
+    late = _dealt(contexts, group_rows).repartition("part").sortWithinPartitions("part").mapInArrow(compare, "row bigint, a bigint, b bigint")
     late = late.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("late"))
     out_type = f"id {kind}, n_bytes bigint, kept binary, runs {spans_type}"
     closed = settled.where(~F.col("open")).select("id", "text", "spans").mapInArrow(close, out_type)

@@ -28,7 +28,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
-    return judge_quality(docs, score_col="_score", keep_col="_keep").where("_keep").select(docs.columns)
+    return judge_quality(docs, score_col="_score", keep_col="_keep", labels=table(spark, sf_dir, "labels")).where("_keep").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 import numpy as np
 
-from vigil.llm.quality import judge_quality, label_model, statistics, votes
+from vigil.llm.quality import judge_quality, label_model, mine_lexicon, stem_counts, statistics, votes
 
 
 def test_label_model_finds_accuracies():
@@ -17,8 +17,33 @@ def test_label_model_finds_accuracies():
 
 def test_statistics_and_votes():
     s, plain = statistics("THE Cat, | | the the É 12!".encode())
-    assert s[6] == 8 and abs(s[3] - 3 / 8) < 1e-9 and abs(s[4] - 2 / 8) < 1e-9 and b"cat" in plain
-    assert len(votes(s)) == len(votes(statistics(b"")[0])) == 9
+    assert s[7] == 8 and s[6] != s[6] and abs(s[3] - 3 / 8) < 1e-9 and abs(s[4] - 2 / 8) < 1e-9 and b"cat" in plain
+    assert len(votes(s)) == len(votes(statistics(b"")[0])) == 11
+    assert stem_counts(b"Snarl, snarls snar sna".split())[b"snar"] == 2  # as it stands: the caller lower-cases
+    assert statistics(b"snarling a snarls b", frozenset([b"snarl"]))[0][6] == 0.5 and statistics(b"snarling a b", frozenset([b"snarl"]))[0][6] == 0
+
+
+def test_lexicon_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    plain = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(n))
+    texts = [(i, (plain(60) + (" grümpel grümpig" if i % 4 == 0 else ""))) for i in range(200)]
+    docs = spark.createDataFrame([*texts, (None, "snarl snarl"), (500, None)], "doc_id long, text string")
+    marks = [(i, int(i % 4 == 0)) for i, _ in texts] + [(0, 0), (None, 1), (1, None), (500, 0), (900, 1)]
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    want = {"grümpel".encode()[:k] for k in (4, 5, 6)}  # two words start alike for six bytes: g r ü(2) m p
+    assert mine_lexicon(docs, labels) == want
+    assert mine_lexicon(docs, labels, max_stems=2) == {b"gr\xc3\xbc", b"gr\xc3\xbcm"}
+    assert mine_lexicon(docs, labels.where("toxic = 1")) == mine_lexicon(docs.limit(0), labels) == mine_lexicon(docs, labels.limit(0)) == frozenset()
+
+
+def test_toxic_in_all_languages_held_out(spark):
+    """The lexicon comes from half of the labels; the other half is judged."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    learned = "crc32(cast(doc_id as string)) % 2 = 0"
+    keep = judge_quality(docs, labels=labels.where(learned)).select("doc_id", "keep")
+    rows = labels.where(f"not ({learned})").join(keep, "doc_id").collect()
+    assert np.mean([r.keep for r in rows if r.toxic]) < 0.03 and np.mean([r.keep for r in rows if r.quality and not r.toxic]) > 0.995
 
 
 def test_judge_quality_held_out(spark):

@@ -81,7 +81,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chance that a document is good, and the decision."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return judge_quality(docs).select("doc_id", "score", "keep")
+    return judge_quality(docs, labels=table(spark, sf_dir, "labels")).select("doc_id", "score", "keep")
 
 
 def _remainder(modulus: int):

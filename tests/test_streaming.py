@@ -17,6 +17,14 @@ def test_stream_equals_batch(spark):
     assert batch["status"].tolist() == stream["status"].tolist()
 
 
+def test_stream_rejects_equal_batch(spark):
+    q = E.queries()
+    batch: dict = {}
+    for r in q["parse_rejects"](spark, SF001).collect():
+        batch[r["status"]] = batch.get(r["status"], 0) + r["n"]
+    assert {r["status"]: r["n"] for r in q["stream_rejects"](spark, SF001).collect()} == batch
+
+
 def test_image_stream_totals(spark):
     r = E.queries()["stream_classify"](spark, SF001).first()
     assert r["n"] == 500 and 0 <= r["correct"] <= 500

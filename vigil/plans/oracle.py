@@ -189,6 +189,8 @@ SELECT count(*) AS n, CAST(sum(label) AS BIGINT) AS n_ones, round(avg(label) * 1
 
 ORACLE["score_cutoffs"] = _cutoffs(f"SELECT {SCORE} AS score FROM embeddings")
 
+ORACLE["event_value_cutoffs"] = _cutoffs("SELECT round(CAST(value AS DOUBLE)) AS score FROM events")
+
 ORACLE["encode_vector"] = f"""
 WITH l AS (
   SELECT vec_id, printf('%.5f', CAST(label AS DOUBLE)) || ',' ||
@@ -369,6 +371,8 @@ SELECT interval_id, n_events, CAST(count(*) OVER (ORDER BY interval_id ROWS BETW
 FROM cnt
 """
 
+ORACLE["stream_rejects"] = f"SELECT status, CAST(sum(n) AS BIGINT) AS n FROM ({ORACLE['parse_rejects']}) GROUP BY status"
+
 ORACLE["stream_classify"] = f"""
 WITH px AS (
   SELECT vec_id, label, (CAST(unnest(p) AS DOUBLE) - 120.70756512369792) / 64.1500758911213 AS x, generate_subscripts(p, 1) AS i

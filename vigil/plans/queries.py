@@ -56,7 +56,7 @@ def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("vec_id", "label", fi.quantize(F.col("features")).alias("pixels"))
 
 
-def _line_kinds(ev: DataFrame) -> DataFrame:
+def line_kinds(ev: DataFrame) -> DataFrame:
     """Good and malformed wire lines derived from every event row: one scan, one generator
     (``explode`` of six (kind, line) pairs per row) - no union of six scans."""
     good = fe.encode_event(F.col("ts"), F.col("sensor"), F.col("value"))
@@ -103,7 +103,7 @@ def parse_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = raw.select(iv.utc_instant(raw, "ts").alias("ts"), (F.col("user_id") + 1).cast("int").alias("sensor"),
                     F.col("value").cast("double").alias("value"), F.col("event_id").alias("seq"),
                     "props", "event_type")
-    parsed = oe.parse_event_lines(_line_kinds(ev), n_sensors(raw))
+    parsed = oe.parse_event_lines(line_kinds(ev), n_sensors(raw))
     return parsed.groupBy("kind", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -187,6 +187,13 @@ def score_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ov.score_cutoffs(sc).select("pct", F.round("cutoff", 6).alias("cutoff"))
 
 
+@register("event_value_cutoffs")
+def event_value_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O1 O2 A7 on a column of many ties: the cutoff table of the event values, rounded to whole numbers."""
+    values = table(spark, sf_dir, "events").select(F.round(F.col("value").cast("double")).alias("score"))
+    return ov.score_cutoffs(values)
+
+
 @register("encode_vector")
 def encode_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q13 (P6 P2): vectors to ``%.5f`` CSV lines and back."""

@@ -12,7 +12,7 @@ from vigil.operators import intervals as iv
 from vigil.operators import metrics as om
 from vigil.plans.common import CROP_HW, DAY, HOUR, IMAGE_HWC, NEUTRAL, n_sensors, stand_in_model, table
 from vigil.operators.models import network_udf
-from vigil.plans.queries import DISTANCE_DECIMALS, register
+from vigil.plans.queries import DISTANCE_DECIMALS, line_kinds, register
 from vigil.session import scratch_dir
 from vigil.sources.lines import text_stream
 from vigil.streaming import images as si
@@ -71,6 +71,27 @@ def stream_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("interval_id", "n_events", "interval_no")
 
 
+@register("stream_rejects")
+def stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P1 reject path in streaming form: good and malformed lines of every event, counted by outcome.  Each micro-batch
+    writes the counts so far below its own id (a replayed batch writes the same again); the last one is the answer."""
+    raw = table(spark, sf_dir, "events")
+    ev = raw.select(iv.utc_instant(raw, "ts").alias("ts"), (F.col("user_id") + 1).cast("int").alias("sensor"),
+                    F.col("value").cast("double").alias("value"), F.col("event_id").alias("seq"), "props", "event_type")
+    base = scratch_dir(spark, "rejects")
+    line_kinds(ev).select("value").write.text(f"{base}/in")
+    counts = ss.line_status_counts(text_stream(spark, f"{base}/in"), n_sensors(raw))
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{base}/out/b={batch_id}")
+
+    writer = counts.writeStream.outputMode("complete").foreachBatch(per_batch).option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True)
+    ss.start_with_state_partitions(writer, spark, spark.sparkContext.defaultParallelism).awaitTermination()
+    out = spark.read.parquet(f"{base}/out")
+    last = out.agg(F.max("batch_id").alias("batch_id"))
+    return out.join(last, "batch_id", "left_semi").select("status", "n")
+
+
 @register("stream_classify")
 def stream_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T6 + D4: image lines (form A) streamed, normalised with the fixed constants, classified

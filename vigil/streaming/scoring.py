@@ -50,6 +50,12 @@ def closed_interval_readings(lines: DataFrame, n_sensors: int, seconds: float, d
         F.max_by("value", order).alias("value"), F.count(F.lit(1)).alias("n_readings"))
 
 
+def line_status_counts(lines: DataFrame, n_sensors: int) -> DataFrame:
+    """Streaming frame of (status, n): the lines seen so far by parse outcome.  Grouped by the few statuses only, so
+    the state holds a row for each and no watermark is needed (update or complete mode)."""
+    return parse_event_lines(lines, n_sensors).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
 class IntervalScorer:
     """``foreachBatch`` function: scores the intervals closed in each micro-batch.
 

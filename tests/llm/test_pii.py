@@ -44,6 +44,13 @@ def test_base_spans_match_plain_patterns(spark):
         assert r.b == brute(texts[r.doc_id]) and r.s == r.b, texts[r.doc_id][:80]
 
 
+def test_addresses_with_a_zero_part(spark):
+    texts = ["10.0.0.1 127.0.0.1 192.168.1.0", "0.0.0.0 00.00.00.00 000.0.00.1", "0.1.2.256 00.0.0.0256 0.0.0.00255 1.0.0.300", "1.0.0 x0.0.0.10.0.0.0.0", "100.200.0.020,0010.0.099.9"]
+    got = find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", span_list(F.col("base")).alias("b")).collect()
+    assert {r.doc_id: r.b for r in got} == dict(enumerate(map(brute, texts)))
+    assert brute(texts[0]).count("ip:") == 3 and brute(texts[1]).count("ip:") == 3
+
+
 def test_disclosing_terms(spark):
     contexts = ["call Miraxon about the plan", "when Miraxon came by the", "so the Miraxon said that", "and by Miraxon the house"]
     rows = [(i, f"{c} at mx.12@mail.example.com if the rain is over") for i, c in enumerate(contexts)]

@@ -33,7 +33,8 @@ _PATTERNS = {
 _HINT = {"email": "@", "phone": "+"}
 #: A term: letters and digits, also joined by an apostrophe or a hyphen.
 _WORD = r"[\p{L}\p{N}]++(?:['’-][\p{L}\p{N}]++)*+"
-_BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
+#: A part of an address, which has a digit by the match: zeros, then its value unless that is 0.
+_BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])?"
 
 
 def _no_spans() -> Column:

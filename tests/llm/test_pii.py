@@ -68,6 +68,19 @@ def test_disclosing_terms(spark):
     assert "Miraxon" not in clean[0] and "[EMAIL]" in clean[0] and "@" not in clean[0]
 
 
+def test_terms_of_copies_and_of_far_entities(spark):
+    texts = [f"{w} Miraxon writes to mx.12@mail.example.com today" for w in ("alpha", "beta", "gamma", "delta", "eta")]  # 5 contexts, 40 copies each
+    copied = "Quorvex asks q.v@mail.example.com"  # one text, 30 copies
+    far = [f"Zelbrun {'and so on ' * n}z.b@mail.example.com" for n in (40, 50, 60)]  # header and footer
+    rows = texts * 40 + [copied] * 30 + far + ["alpha beta gamma delta eta writes to today asks and so on mail example com"] * 4000
+    got = find_personal_data(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)).collect()
+    terms = {r.doc_id: {s.value: s.action for s in r.spans if s.kind == "term"} for r in got}
+    for i, t in enumerate(rows):
+        name = next((w for w in ("Miraxon", "Quorvex", "Zelbrun") if w in t), None)
+        assert terms[i].get(name) == ("" if name else None)
+        assert terms[i].keys() <= {"Miraxon", "Quorvex", "Zelbrun"}, t
+
+
 def test_masked_overlaps_and_empty_table(spark):
     spans = "array(named_struct('start',1L,'end',4L,'action','a'), named_struct('start',2L,'end',6L,'action','b'), named_struct('start',8L,'end',9L,'action',''))"
     assert spark.range(1).select(masked(F.lit("0123456789"), F.expr(spans))).first()[0] == "0[A]679"

@@ -1,15 +1,15 @@
 """Personal data: pattern spans, and terms that disclose them by co-occurrence.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers.  Their values are the
-protected entities.  Words near an entity are its context terms; over the whole corpus the pointwise
+protected entities.  The words of its texts are an entity's terms; over the whole corpus the pointwise
 mutual information of a term and an entity, as a share of the entity's own information, says how much
 of the entity the term discloses:
 
     disclosure = log(p(term, entity) / (p(term) p(entity))) / -log p(entity)
 
-Probabilities are shares of texts; texts with equal contexts count once in the joint share.  A term
-seen in at least ``min_support`` different contexts of an entity is removed where its disclosure
-reaches ``remove_at`` and generalised to its kind of word where it reaches ``generalise_at``.
+Probabilities are shares of rows, the joint one too: a text counts as often as it occurs, wherever in it
+term and entity stand.  A term seen in at least ``min_support`` rows of an entity is removed where its
+disclosure reaches ``remove_at`` and generalised to its kind of word where it reaches ``generalise_at``.
 
 Only DataFrame functions are used.  Patterns are possessive forms of the plain ones: each may start
 only where the previous match ended or where no character of its first run precedes, so a long run
@@ -95,36 +95,31 @@ def _kind_of_word(word: Column) -> Column:
     return F.when(word.rlike(r"\p{N}"), F.lit("number")).when(word.rlike(r"^\p{Lu}"), F.lit("name")).otherwise(F.lit("word"))
 
 
-def disclosing_terms(docs: DataFrame, rows: DataFrame, text_col: str = "text", radius: int = 60, min_support: int = 3,
+def disclosing_terms(docs: DataFrame, rows: DataFrame, text_col: str = "text", min_support: int = 3,
                      generalise_at: float = 0.8, remove_at: float = 0.95) -> DataFrame:
     """``entity, term, remove`` of the pairs that reach a threshold.
 
-    ``docs`` is the whole corpus, ``rows`` its rows that have base spans (``_text, _base``).  A context is
-    what stands within ``radius`` code points of a span, whole words only.
+    ``docs`` is the whole corpus, ``rows`` its rows that have base spans (``_key, _text, _base``; equal
+    texts have equal keys).  All counts are numbers of rows; equal texts are split into words once.
     """
-    span = rows.select("_text", F.explode("_base").alias("s")).select("_text", "s.start", "s.end", F.col("s.value").alias("entity"))
-    start, end, size = F.col("start").cast("int"), F.col("end").cast("int"), F.length("_text")
-    left = F.col("_text").substr(F.greatest(start - radius, F.lit(0)) + 1, F.least(start, F.lit(radius)))
-    right = F.col("_text").substr(end + 1, F.lit(radius))
-    before, after = (F.regexp_extract_all(F.lower(side), F.lit(_WORD), F.lit(0)) for side in (left, right))
-    before = F.when((start > radius) & (F.size(before) > 0), F.slice(before, 2, F.greatest(F.size(before), F.lit(1)))).otherwise(before)
-    after = F.when((size > end + radius) & (F.size(after) > 0), F.slice(after, 1, F.size(after) - 1)).otherwise(after)
-    context = span.select("entity", before.alias("before"), after.alias("after")).distinct()
-    joint = (context.select("entity", F.xxhash64("before", "after").alias("context"), F.explode(F.array_distinct(F.concat("before", "after"))).alias("term"))
-             .groupBy("entity", "term").agg(F.countDistinct("context").alias("n_joint")).where(F.col("n_joint") >= min_support))
-    entities = (rows.select(F.explode(F.array_distinct(F.transform("_base", lambda s: s["value"]))).alias("entity"))
-                .groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(_WORD), F.lit(0)))
-    terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    own = (rows.select("_key", F.explode(F.array_distinct(F.transform("_base", lambda s: s["value"]))).alias("entity"))
+           .groupBy("_key", "entity").agg(F.count(F.lit(1)).alias("n")))
+    # a pair cannot reach the support if its entity does not
+    entities = own.groupBy("entity").agg(F.sum("n").alias("n_entity")).where(F.col("n_entity") >= min_support)
+    kept = own.join(entities.select("entity"), "entity", "left_semi").groupBy("_key").agg(F.collect_list("entity").alias("_entities"), F.first("n").alias("n"))
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.col(c)), F.lit(_WORD), F.lit(0)))
+    texts = rows.groupBy("_key").agg(F.first("_text").alias("_text")).join(kept, "_key")
+    joint = (texts.select("n", "_entities", F.explode(words("_text")).alias("term")).select("n", "term", F.explode("_entities").alias("entity"))
+             .groupBy("entity", "term").agg(F.sum("n").alias("n_joint")).where(F.col("n_joint") >= min_support))
+    terms = docs.select(F.explode(words(text_col)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     total = docs.agg(F.count(F.lit(1)).alias("n_all"))
     pairs = joint.join(entities, "entity").join(terms, "term").crossJoin(F.broadcast(total))  # one row
-    share = F.least("n_joint", "n_entity", "n_term")
     information = F.log(F.col("n_all") / F.col("n_entity"))
-    disclosure = F.when(information > 0, F.log(share * F.col("n_all") / (F.col("n_entity") * F.col("n_term"))) / information).otherwise(0.0)
+    disclosure = F.when(information > 0, F.log(F.col("n_joint") * F.col("n_all") / (F.col("n_entity") * F.col("n_term"))) / information).otherwise(0.0)
     return pairs.select("entity", "term", disclosure.alias("d")).where(F.col("d") >= generalise_at).select("entity", "term", (F.col("d") >= remove_at).alias("remove"))
 
 
-def find_personal_data(docs: DataFrame, radius: int = 60, min_support: int = 3, generalise_at: float = 0.8, remove_at: float = 0.95,
+def find_personal_data(docs: DataFrame, min_support: int = 3, generalise_at: float = 0.8, remove_at: float = 0.95,
                        id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
     """``id_col, base, spans`` (their names begin with ``prefix``) and the columns ``keep`` for every row.
 
@@ -141,7 +136,7 @@ def find_personal_data(docs: DataFrame, radius: int = 60, min_support: int = 3,
     found = stored(found.withColumn("_key", F.when(hit, F.sha2("_text", 256))).withColumn("_text", F.when(hit, F.col("_text"))), "pii")
     with_data = found.where(F.col("_key").isNotNull())
 
-    terms = disclosing_terms(docs, with_data, text_col, radius, min_support, generalise_at, remove_at)
+    terms = disclosing_terms(docs, with_data, text_col, min_support, generalise_at, remove_at)
     # a text's flagged terms are those of its own entities
     own = with_data.select("_key", F.explode(F.array_distinct(F.transform("_base", lambda s: s["value"]))).alias("entity")).distinct()
     flagged = (own.join(terms, "entity").groupBy("_key", "term").agg(F.max("remove").alias("remove"))

@@ -22,6 +22,16 @@ def test_ids_equal_those_of_tokenizers():
         assert t.encode(a, add_special_tokens=False).ids == token_ids(VOCAB, a).tolist(), repr(a)
 
 
+def test_very_long_runs():
+    t = Tokenizer.from_file(VOCAB)
+    n = 1_500_000
+    runs = [" " * n, "\n" * n, " \t\n" * (n // 3), "\u3000" * n, "\x85" * n, "x" * n, "12" * (n // 2), ".-" * (n // 2), "中" * n]
+    texts = [a + r + b for r in runs for a, b in (("", ""), ("ab ", "b's"))]
+    texts += [f"it's{' ' * n}\n.{s * 200_000} \x1c{s * 100_001}12{s * 100_000}x{s * 99_999}" for s in (" ", "\n", "\xa0")]
+    for a in texts:
+        assert t.encode(a, add_special_tokens=False).ids == token_ids(VOCAB, a).tolist(), a[:3] + a[-3:]
+
+
 def test_pieces():
     for n in range(1, 5000):
         p = pieces_of(n, 1024, 16)

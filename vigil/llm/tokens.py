@@ -8,6 +8,7 @@ special tokens in a text count as ordinary text.
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from functools import cache
 
@@ -17,6 +18,11 @@ import tiktoken
 #: Fixed value: the splitting rule of byte-level BPE files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: White space as the rule has it.  The rule backtracks over a run of it with a stack of fixed size, so longer
+#: runs than LONG_RUN are cut out first.
+_SPACE = re.compile("[\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+LONG_RUN = 100_000
+
 
 def _byte_of_symbol() -> dict[str, int]:
     """Byte-level files write each byte as a printable character: itself, or one from 256 on."""
@@ -37,6 +43,24 @@ def encoder(vocabulary: str) -> tiktoken.Encoding:
     return tiktoken.Encoding(vocabulary, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@cache
+def _piece_encoder(vocabulary: str) -> tiktoken.Encoding:
+    """The same ranks, a text being one piece."""
+    return tiktoken.Encoding(f"{vocabulary} piece", pat_str=r"(?s:.+)", mergeable_ranks=encoder(vocabulary)._mergeable_ranks, special_tokens={})
+
+
+def _ordinary(vocabulary: str, text: str) -> list[int]:
+    encode, ids, at = encoder(vocabulary).encode_ordinary, [], 0
+    if len(text) > LONG_RUN:
+        for m in _SPACE.finditer(text):
+            if m.end() - m.start() > LONG_RUN:
+                end = m.end() - (m.end() < len(text))  # the last one goes with what follows
+                ids += encode(text[at:m.start()])
+                ids += _piece_encoder(vocabulary).encode_ordinary(text[m.start():end])
+                at = end
+    return ids + encode(text[at:]) if at else encode(text)
+
+
 def token_ids(vocabulary: str, text: str) -> np.ndarray:
     """The ids of one text as unsigned 32-bit values."""
-    return np.frombuffer(array("I", encoder(vocabulary).encode_ordinary(text)), dtype=np.uint32)
+    return np.frombuffer(array("I", _ordinary(vocabulary, text)), dtype=np.uint32)

@@ -7,7 +7,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from vigil.llm.packing import pack, pieces_of
-from vigil.llm.tokens import token_ids
+from vigil.llm.tokens import text_ids, token_ids
 
 VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 ODD = ["", " ", "  ", "a", " a", "a b  c", "a \n b", "x\n\ny ", "it's, don't!! (ok).", "é\u00a0ü  \t z", "a,b.c;d", "中文 字", "<|endoftext|> x", "end. ", "Ab,,  c", "a\x1c b \x1c c", "１２ 3"]
@@ -32,6 +32,18 @@ def test_very_long_runs():
         assert t.encode(a, add_special_tokens=False).ids == token_ids(VOCAB, a).tolist(), a[:3] + a[-3:]
 
 
+def test_added_tokens_have_their_ids(spark):
+    t, rng = Tokenizer.from_file(VOCAB), random.Random(4)
+    texts = ODD + ["a <|endoftext|>b", "<|endoftext|><|endoftext|>", "x  <|endoftext|>  y<|endoftext", "<|endoftext|>" + " " * 300_000 + "<|endoftext|>\n"]
+    texts += ["".join(rng.choice(["<|endoftext|>", "<|", " ", "ab", "\n", "'s", "é"]) for _ in range(rng.randint(0, 30))) for _ in range(500)]
+    want = [t.encode(a, add_special_tokens=False).ids for a in texts]
+    assert any(50256 in ids for ids in want)
+    for a, ids in zip(texts, want):
+        assert ids == text_ids(VOCAB, a).tolist(), repr(a[:80])
+    out = pack(spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string"), VOCAB).collect()
+    assert np.frombuffer(out[0].ids, "<u4").tolist() == t.encode("a <|endoftext|> b", add_special_tokens=False).ids + [0]
+
+
 def test_pieces():
     for n in range(1, 5000):
         p = pieces_of(n, 1024, 16)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.llm.common import stored
-from vigil.llm.tokens import token_ids
+from vigil.llm.tokens import text_ids
 
 #: Sequence ids: task << 32 | number for the tasks' own bins, (SHARED + class) << 32 | number for later ones.
 SHARED = 1 << 30
@@ -57,7 +57,7 @@ def _full_bins(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, sla
                                     ("sequence_id", pa.int64()), ("offset", pa.int64())])
             done = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(token_ids(vocabulary, text.as_py()), np.uint32(end_id)).astype("<u4", copy=False)
+                ids = np.append(text_ids(vocabulary, text.as_py()), np.uint32(end_id)).astype("<u4", copy=False)
                 start = 0
                 for n in pieces_of(len(ids), capacity, slack):
                     k = capacity // n

@@ -68,6 +68,11 @@ def test_gradient_matches_differences():
             assert abs((loss[0] - loss[1]) / 2e-4 - g[i, j]) < 1e-3
 
 
+def test_outputs_tell_words_apart():
+    words = {zlib.crc32(b"word%d" % i) % lm.BUCKETS for i in range(20_000)}
+    assert len(words) == lm.CLASSES * lm.MEMBERS == 1024
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert lm.score_texts(none, F.lit(False)).count() == 0

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -43,3 +45,22 @@ def test_held_out_accuracy_and_edges(spark):
     none = docs.limit(0)
     assert L.train(L.labelled_sample(none, 5, "text", "lang", F.col("doc_id"), 10)) is None
     assert {r.lang_pred for r in L.predict(odd, None).collect()} == {"und"} and L.predict(none, net).count() == 0
+
+
+def test_words_of_whole_sampled_texts(spark):
+    texts = [("a", "common header " * 2000 + "späte wörter" + "z" * 60), ("a", "one two two"), ("a", "one two two"), ("b", " "), (None, "no"), ("b", None)]
+    docs = spark.createDataFrame(texts, "lang string, text string").repartition(3)
+    got = L.labelled_words(docs, 5, "text", "lang", F.xxhash64("text"))
+    assert got == {"a": sum((Counter(L.cut_words(t.encode())) for t in {t for k, t in texts if k == "a"}), Counter())}
+    assert got["a"]["späte".encode()] == 1 and got["a"][b"header"] == 2000 and got["a"][b"two"] == 2
+    assert L.train_counts({}) is None and L.labelled_words(docs.limit(0), 5, "text", "lang", F.xxhash64("text")) == {}
+
+
+def test_query_learns_from_the_end_of_long_texts(spark, monkeypatch):
+    from vigil.llm import queries
+
+    docs = [(i, "0 " * 3000 + ("der hund und die katze " if i % 2 else "the dog and the cat ") * 5, "de" if i % 2 else "en") for i in range(40)]
+    monkeypatch.setattr(queries, "table", lambda *a: spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    lang = {d: k for d, _, k in docs}
+    out = [r for r in queries.op7_language(spark, "").collect() if r.held_out]
+    assert out and all(r.lang_pred == lang[r.doc_id] for r in out)

@@ -174,11 +174,16 @@ def cut_words(text: bytes) -> list[bytes]:
     return words
 
 
-def train(samples: list[tuple[str, bytes]], steps: int = 500, batch: int = 384, rate: float = 0.01, seed: int = 11) -> Network | None:
-    """A network for the languages of ``samples``, by Adam; batches draw languages evenly and words by count."""
+def train(samples: list[tuple[str, bytes]], **options) -> Network | None:
+    """A network for the languages of ``samples``."""
     counts: dict[str, Counter] = {}
     for language, text in samples:
         counts.setdefault(language, Counter()).update(cut_words(text))
+    return train_counts(counts, **options)
+
+
+def train_counts(counts: dict[str, Counter], steps: int = 500, batch: int = 384, rate: float = 0.01, seed: int = 11) -> Network | None:
+    """A network for the languages of ``counts`` (of words), by Adam; batches draw languages evenly and words by count."""
     counts = {k: c for k, c in counts.items() if c}
     if not counts:
         return None
@@ -200,16 +205,37 @@ def train(samples: list[tuple[str, bytes]], steps: int = 500, batch: int = 384,
     return net
 
 
-def labelled_sample(docs: DataFrame, per_language: int, text_col: str, lang_col: str, key: Column, max_bytes: int) -> list[tuple[str, bytes]]:
-    """At most ``per_language`` texts of each language, those of the smallest keys; of a longer text its first
-    ``max_bytes`` bytes are learned from (this bounds the sample only; predictions read whole texts)."""
+def _sampled(docs: DataFrame, per_language: int, text_col: str, lang_col: str, key: Column) -> DataFrame:
+    """``lang, key, text`` of at most ``per_language`` texts of each language, those of the smallest keys."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), key.alias("key"), F.col(text_col).alias("text"))
     ranked = rows.select("lang", "key").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key")))
     chosen = ranked.where(F.col("rank") <= per_language).select("lang", "key")
-    found = rows.join(chosen, ["lang", "key"]).groupBy("lang", "key").agg(F.min(F.substring(F.col("text").cast("binary"), 1, max_bytes)).alias("text"))
+    return rows.join(chosen, ["lang", "key"])
+
+
+def labelled_sample(docs: DataFrame, per_language: int, text_col: str, lang_col: str, key: Column, max_bytes: int) -> list[tuple[str, bytes]]:
+    """The sampled texts' first ``max_bytes`` bytes."""
+    found = _sampled(docs, per_language, text_col, lang_col, key).groupBy("lang", "key").agg(F.min(F.substring(F.col("text").cast("binary"), 1, max_bytes)).alias("text"))
     return sorted((r["lang"], bytes(r["text"])) for r in found.collect())
 
 
+def labelled_words(docs: DataFrame, per_language: int, text_col: str, lang_col: str, key: Column) -> dict[str, Counter]:
+    """Word counts of each language over the sampled texts, which tasks read whole; the driver gets the counts."""
+    found = _sampled(docs, per_language, text_col, lang_col, key).groupBy("lang", "key").agg(F.min("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for language, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                held = Counter(cut_words(text.as_py()))
+                yield pa.RecordBatch.from_arrays([pa.array([language] * len(held), pa.string()), pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["lang", "word", "c"])
+
+    words = found.select("lang", F.col("text").cast("binary").alias("text")).mapInArrow(run, "lang string, word binary, c bigint").groupBy("lang", "word").agg(F.sum("c").alias("c"))
+    counts: dict[str, Counter] = {}
+    for language, word, c in sorted((r["lang"], bytes(r["word"]), r["c"]) for r in words.collect()):
+        counts.setdefault(language, Counter())[word] = c
+    return counts
+
+
 def predict(docs: DataFrame, net: Network | None, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score", unknown: str = "und") -> DataFrame:
     """``docs`` with the predicted language and its mean probability over all bytes of words.
 

@@ -13,7 +13,7 @@ import corpus_pipeline
 from vigil.llm.common import table
 from vigil.llm.decontaminate import contaminated
 from vigil.llm.fingerprint import edit_fingerprints
-from vigil.llm.language import labelled_sample, predict, train
+from vigil.llm.language import labelled_words, predict, train_counts
 from vigil.llm.lm import score_texts
 from vigil.llm.packing import pack
 from vigil.llm.pii import KINDS, find_personal_data, span_list
@@ -93,8 +93,8 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; the network learns from three quarters of the labelled ones."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(_remainder(4) == 2, F.lit(False))
-    sample = labelled_sample(docs.where(~held_out), 300, "text", "lang", F.xxhash64("text"), max_bytes=4000)
-    return predict(docs.select("doc_id", held_out.alias("held_out"), "text"), train(sample)).select("doc_id", "held_out", "lang_pred", "score")
+    words = labelled_words(docs.where(~held_out), 300, "text", "lang", F.xxhash64("text"))
+    return predict(docs.select("doc_id", held_out.alias("held_out"), "text"), train_counts(words)).select("doc_id", "held_out", "lang_pred", "score")
 
 
 @query

@@ -16,6 +16,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cache, cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -295,8 +296,7 @@ class Encoder:
             self.number[mark] = len(self.count)
             self.start, self.count, self.ids = np.append(self.start, len(self.ids)), np.append(self.count, 1), np.append(self.ids, np.int32(mark[0]))
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        number = self.number.__getitem__
-        at = np.fromiter((number(w) for ws in words for w in ws), np.int64, int(sizes.sum()))
+        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
         count = self.count[at]
         ends = np.concatenate([[0], np.cumsum(count)])
         bounds = np.concatenate([[0], np.cumsum(sizes)])

@@ -17,6 +17,7 @@ from vigil.llm.fingerprint import edit_fingerprints
 from vigil.llm.language import labelled_words, predict, train_counts
 from vigil.llm.lm import score_texts
 from vigil.llm.packing import pack
+from vigil.llm.phrases import collocations
 from vigil.llm.pii import KINDS, find_personal_data, span_list
 from vigil.llm.quality import judge_quality
 from vigil.llm.repeats import remove_repeats
@@ -125,3 +126,37 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decode(encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
                       F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of each language."""
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op13_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM words, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+cand AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m >= 2 AND f >= 30),
+cuts AS (SELECT lang, m, phrase, a, w, unnest(range(1, m)) AS k FROM cand),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, p.f AS l, q.f AS r, CAST((2000000::HUGEINT * c.a) // (p.f::HUGEINT + q.f) AS BIGINT) AS score
+  FROM cuts c JOIN f p ON p.lang = c.lang AND p.phrase = array_to_string(c.w[1:c.k], ' ') AND p.m = c.k
+              JOIN f q ON q.lang = c.lang AND q.phrase = array_to_string(c.w[c.k + 1:], ' ') AND q.m = c.m - c.k),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_phrases AS (
+  SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, max(a) AS longest
+  FROM (SELECT lang, w, a, s, unnest(range(1, m - s + 2)) AS i FROM cand, (SELECT unnest([2, 3]) AS s) WHERE s < m) GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank, b.phrase, b.a, b.l, b.r, t.n, b.score
+FROM best b JOIN total t USING (lang) LEFT JOIN inner_phrases i ON i.lang = b.lang AND i.phrase = b.phrase
+WHERE i.longest IS NULL OR 100::HUGEINT * i.longest < 80::HUGEINT * b.a
+QUALIFY rank <= 2000
+"""

@@ -110,6 +110,8 @@ def test_query_tables(spark, library):
     assert sorted(((r["doc_id"] if r["doc_id"] is not None else -1, list(r["ids"])) for r in out), key=str) == want
     text = {i: t or "" for i, t, _ in rows}
     assert all(r["text"] == text[r["doc_id"]] for r in out)
+    both = encode(docs, PATH, decoded="ids_text").where("doc_id is not null").collect()
+    assert len(both) == len(rows) - 1 and all(r["ids_text"] == text[r["doc_id"]] for r in both)
     empty = docs.limit(0)
     assert decode(encode(empty, PATH), PATH).count() == 0
 

@@ -56,9 +56,9 @@ def _splitters() -> tuple[re.Pattern, re.Pattern, regex.Pattern]:
     which Python's own tables lack, and what it takes for neither is neither here."""
     of = {"L": regex.compile(r"\p{L}"), "N": regex.compile(r"\p{N}"), "S": regex.compile(r"\s")}
     low = {k: _ranges(c for c in range(LOW_END) if p.match(chr(c)) and unicodedata.category(chr(c)) != "Cn") for k, p in of.items()}
-    doubtful = regex.findall(r"[\p{L}\p{N}]", "".join(c for c in map(chr, range(LOW_END, 0x110000)) if unicodedata.category(c) == "Cn"))
-    pieces = ByteLevel(add_prefix_space=False).pre_tokenize_str
-    newer = _ranges(ord(c) for c in doubtful if len(pieces(f"a{c}")) > 1 and len(pieces(f"1{c}")) > 1)
+    either, pieces = regex.compile(r"[\p{L}\p{N}]"), ByteLevel(add_prefix_space=False).pre_tokenize_str
+    blocks = ("".join(c for c in map(chr, range(at, at + 0x1000)) if unicodedata.category(c) == "Cn") for at in range(0, 0x110000, 0x1000))
+    newer = _ranges(ord(c) for block in blocks for c in either.findall(block) if len(pieces(f"a{c}")) > 1 and len(pieces(f"1{c}")) > 1)
     less = f"--[{newer}]" if newer else ""
     rule = RULE.replace("[^{S}{L}{N}]", rf"(?:[^\s\p{{L}}\p{{N}}]{f'|[{newer}]' if newer else ''})").replace("[^{S}]", r"\S")
     wide = rule.replace("[{L}]", rf"[\p{{L}}{less}]").replace("[{N}]", rf"[\p{{N}}{less}]").replace("[{S}]", r"\s")
@@ -261,7 +261,7 @@ def _share(spark: SparkSession, data: bytes) -> str:
 class Encoder:
     """Encodes texts with a lexicon; remembers the ids of up to ``held`` distinct words."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon, held: int = 400_000):
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon, held: int = 150_000):
         self.vocabulary, self.lexicon, self.held = vocabulary, lexicon, held
         self._forget()
 
@@ -315,12 +315,23 @@ def _stretches(batch: pa.RecordBatch, column: int, most: int) -> Iterator[tuple[
         yield at, batch.num_rows
 
 
-def encode(docs: DataFrame, vocabulary: str, lexicon_words: int = 100_000, id_col: str = "doc_id", text_col: str = "text", stretch: int = 2_000_000) -> DataFrame:
+def _texts(rules: Vocabulary, counts: np.ndarray, ids: np.ndarray) -> list[str]:
+    """The texts of id sequences that stand one after the other; ids that the file lacks are left out."""
+    known = (ids >= 0) & (ids < len(rules.text_size))
+    at = np.where(known, ids, 0)
+    size = np.where(known, rules.text_size[at], 0)
+    ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])]
+    raw = rules.text[ragged(rules.text_start[at], size)].tobytes()
+    return [raw[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:])]
+
+
+def encode(docs: DataFrame, vocabulary: str, lexicon_words: int = 100_000, id_col: str = "doc_id", text_col: str = "text", decoded: str | None = None, stretch: int = 1 << 19) -> DataFrame:
     """One row per document: ``id_col, ids`` (array of int), the ids of the whole text.
 
-    Added tokens in a text are their ids, as the file's tokenizer has it; truncation and padding are not used.  A null or
-    empty text has no ids.  Repeated ids and texts are encoded row by row, a null id stays; other columns are not
-    read.  An empty table gives no rows.
+    ``decoded`` names a further column: the text that the ids stand for, decoded in the same pass.  Added tokens in a text are
+    their ids, as the file's tokenizer has it; truncation and padding are not used.  A null or empty text has no
+    ids.  Repeated ids and texts are encoded row by row, a null id stays; other columns are not read.  An
+    empty table gives no rows.
     """
     spark, rules = docs.sparkSession, Vocabulary(vocabulary)
     lexicon = lexicon_of(frequent_words(word_counts(docs, text_col, rules.added), lexicon_words), rules)
@@ -328,17 +339,22 @@ def encode(docs: DataFrame, vocabulary: str, lexicon_words: int = 100_000, id_co
     shared = spark.sparkContext.broadcast(rules)  # as large as the vocabulary file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value, Lexicon.mapped(SparkFiles.get(name)))
+        rules = shared.value
+        encoder = Encoder(rules, Lexicon.mapped(SparkFiles.get(name)))
         for batch in batches:
             for a, b in _stretches(batch, 1, stretch):
                 part = batch.slice(a, b - a)
                 count, ids = encoder(part.column(1).to_pylist())
                 offsets = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))], names=["id", "ids"])
+                columns = {"id": part.column(0), "ids": pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))}
+                if decoded:
+                    columns["decoded"] = pa.array(_texts(rules, count, ids), pa.string())
+                yield pa.RecordBatch.from_pydict(columns)
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    out = rows.mapInArrow(run, f"id {kind}, ids array<int>" + (", decoded string" if decoded else ""))
+    return out.select(F.col("id").alias(id_col), "ids", *([F.col("decoded").alias(decoded)] if decoded else []))
 
 
 def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -349,18 +365,12 @@ def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col:
     shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary))  # as large as the vocabulary file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules = shared.value
         for batch in batches:
-            column = batch.column(1)
-            counts = np.asarray(column.value_lengths().fill_null(0), np.int64)
-            flat = column.flatten()
-            ids = np.asarray(flat.fill_null(-1), np.int64)
-            known = (ids >= 0) & (ids < len(rules.text_size))
-            size = np.where(known, rules.text_size[np.where(known, ids, 0)], 0)
-            at = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])]
-            raw = rules.text[ragged(rules.text_start[np.where(known, ids, 0)], size)].tobytes()
-            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), column, pa.array(texts, pa.string())], names=["id", "ids", "text"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                column = part.column(1)
+                counts, ids = np.asarray(column.value_lengths().fill_null(0), np.int64), np.asarray(column.flatten().fill_null(-1), np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), column, pa.array(_texts(shared.value, counts, ids), pa.string())], names=["id", "ids", "text"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
     return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, ids array<int>, text string").withColumnRenamed("id", id_col)

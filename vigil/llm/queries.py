@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 import corpus_pipeline
-from vigil.llm.bpe import decode, encode
+from vigil.llm.bpe import encode
 from vigil.llm.common import table
 from vigil.llm.decontaminate import contaminated
 from vigil.llm.fingerprint import edit_fingerprints
@@ -122,10 +122,9 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and the text that they stand for."""
-    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    out = decode(encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    out = encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), decoded="decoded")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-                      F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+                      F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 @query

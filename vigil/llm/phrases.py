@@ -13,6 +13,7 @@ fixed size, which may let others through but misses none; the counts decide.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from zlib import crc32
@@ -39,24 +40,30 @@ def words_and_marks(text: bytes) -> list[bytes]:
     return text.lower().translate(_TO_MARK).replace(MARK, b" . ").split()
 
 
-class _Numbers:
+class _Numbers(dict):
     """Numbers words as they come and keeps their hashes; BREAK is 0, MARK is 1."""
 
     def __init__(self, held: int = 1_000_000):
+        super().__init__()
         self.held = held
-        self._forget()
+        self.clear()
 
-    def _forget(self) -> None:
-        self.number, self.hash = {BREAK: 0, MARK: 1}, np.zeros(2, np.uint64)
+    def clear(self) -> None:
+        super().clear()
+        self.update({BREAK: 0, MARK: 1})
+        self.hashes = array("Q", [0, 0])
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        if len(self.number) > self.held:
-            self._forget()
-        new = [*set(words).difference(self.number)]
-        if new:
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
-            self.hash = np.concatenate([self.hash, np.fromiter(map(crc32, new), np.uint64, len(new))])
-        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        self.hashes.append(crc32(word))
+        return number
+
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of words, and the hash of each number."""
+        if len(self) > self.held:
+            self.clear()
+        ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return ids, np.array(self.hashes, np.uint64)
 
 
 def _phrase_hashes(h: np.ndarray, size: int, seed: int) -> np.ndarray:
@@ -78,12 +85,12 @@ def _to_next(stop: np.ndarray) -> np.ndarray:
 
 def chunks(words: list[bytes], number: _Numbers, overlap: int, period: int) -> Iterator[bytes]:
     """The chunks of a stretch of words and marks."""
-    ids = number(words)
+    ids, hash_of = number.of(words)
     mark = ids == 1
     left = _to_next(mark)
     first = ~mark & np.concatenate([[True], mark[:-1]])
     trigger = np.zeros(len(ids), bool)
-    hashes = _phrase_hashes(number.hash[ids], overlap, 1)
+    hashes = _phrase_hashes(hash_of[ids], overlap, 1)
     trigger[:len(hashes)] = hashes % np.uint64(period) == 0
     trigger &= (left > overlap) & ~first
     starts = np.flatnonzero(first | trigger)
@@ -141,61 +148,77 @@ def _distinct_phrases(ids: np.ndarray, at: np.ndarray, size: int, weight: np.nda
     return at[order[first]], np.add.reduceat(weight[order], first)
 
 
-def phrase_counts(parse: DataFrame, size: int, overlap: int, frequent: np.ndarray | None, together: int = 1 << 23) -> DataFrame:
-    """``group, phrase`` (binary), ``f``: counts of the phrases of ``size`` words over a dictionary.
+PACKED = "group string, words array<binary>, ids binary, uses binary"
+
+
+def packed(parse: DataFrame, together: int = 8 << 20) -> DataFrame:
+    """``PACKED``: chunks of a group side by side (about ``together`` bytes a row), as numbers of the row's own ``words``.
+
+    ``ids`` (32 bits each) hold a BREAK between chunks, ``uses`` (64 bits each) the chunks' frequencies."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = defaultdict(lambda: ([], [])), Counter()
+
+        def row(group: str) -> pa.RecordBatch:
+            parts, uses = waiting.pop(group)
+            size[group], number = 0, _Numbers()
+            ids, _ = number.of(b" .. ".join(parts).split())
+            return pa.RecordBatch.from_arrays([pa.array([group], pa.string()), pa.array([[*number]], pa.list_(pa.binary())), pa.array([ids.astype(np.int32).tobytes()], pa.binary()),
+                                               pa.array([np.array(uses, np.int64).tobytes()], pa.binary())], names=["group", "words", "ids", "uses"])
+
+        for b in batches:
+            for group, part, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                parts, uses = waiting[group]
+                parts.append(part)
+                uses.append(n)
+                size[group] += len(part)
+                if size[group] >= together:
+                    yield row(group)
+        for group in [*waiting]:
+            yield row(group)
+
+    return parse.mapInArrow(run, PACKED)
+
+
+def phrase_counts(parse: DataFrame, size: int, overlap: int, frequent: np.ndarray | None) -> DataFrame:
+    """``group, phrase`` (binary), ``f``: counts of the phrases of ``size`` words over a packed dictionary.
 
     With ``frequent`` (a bit table) only phrases whose two parts of one word less are in it are counted.  For
     single words a row with an empty phrase holds the number of all words of the group."""
     shared = parse.sparkSession.sparkContext.broadcast(frequent) if frequent is not None else None  # of fixed size
 
+    def count(group: str, words: list[bytes], ids: np.ndarray, uses: np.ndarray, bits: np.ndarray | None) -> pa.RecordBatch | None:
+        chunk = np.cumsum(ids == 0)
+        offset = np.arange(len(ids)) - np.concatenate([[0], np.flatnonzero(ids == 0) + 1])[chunk]  # in its chunk; a mark stands at 0
+        goes_on = np.zeros(chunk[-1] + 1, bool)
+        goes_on[chunk[ids == 1]] = True
+        own = (_to_next(ids < 2) >= size) & (~goes_on[chunk] | (offset - 1 + size > overlap))
+        if bits is not None:
+            h = np.fromiter(map(crc32, words), np.uint64, len(words))[ids]
+            place = _phrase_hashes(h, size - 1, crc32(group.encode())) % np.uint64(8 * len(bits))
+            known = ((bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+            both = np.zeros(len(ids), bool)
+            if len(known) > 1:
+                both[:len(known) - 1] = known[:-1] & known[1:]
+            own &= both
+        at = np.flatnonzero(own)
+        if not len(at):
+            return None
+        weight = uses[chunk[at]]
+        rows, sums = _distinct_phrases(ids, at, size, weight)
+        phrases = [b" ".join([words[i] for i in row]) for row in ids[rows[:, None] + np.arange(size)].tolist()]
+        if size == 1:
+            phrases, sums = phrases + [b""], np.append(sums, weight.sum())
+        return pa.RecordBatch.from_arrays([pa.array([group] * len(phrases), pa.string()), pa.array(phrases, pa.binary()), pa.array(sums, pa.int64())], names=["group", "phrase", "f"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, waiting, bytes_held = _Numbers(), defaultdict(lambda: ([], [])), 0
         bits = shared.value if shared is not None else None
-
-        def count(group: str, parts: list[bytes], uses: list[int]) -> pa.RecordBatch | None:
-            words = b" .. ".join(parts).split()
-            ids = number(words)
-            h = number.hash[ids]
-            chunk = np.cumsum(ids == 0)
-            offset = np.arange(len(ids)) - np.concatenate([[0], np.flatnonzero(ids == 0) + 1])[chunk]  # in its chunk; a mark stands at 0
-            goes_on = np.zeros(chunk[-1] + 1, bool)
-            goes_on[chunk[ids == 1]] = True
-            own = (_to_next(ids < 2) >= size) & (~goes_on[chunk] | (offset - 1 + size > overlap))
-            if bits is not None:
-                parted = _phrase_hashes(h, size - 1, crc32(group.encode()))
-                parted %= np.uint64(8 * len(bits))
-                known = (bits[parted >> np.uint64(3)] >> (parted & np.uint64(7)).astype(np.uint8)) & 1
-                both = np.zeros(len(ids), bool)
-                if len(known) > 1:
-                    both[:len(known) - 1] = (known[:-1] & known[1:]).astype(bool)
-                own &= both
-            at = np.flatnonzero(own)
-            if not len(at):
-                return None
-            weight = np.array(uses, np.int64)[chunk[at]]
-            rows, sums = _distinct_phrases(ids, at, size, weight)
-            phrases = [b" ".join(words[i:i + size]) for i in rows.tolist()]
-            if size == 1:
-                phrases, sums = phrases + [b""], np.append(sums, weight.sum())
-            return pa.RecordBatch.from_arrays([pa.array([group] * len(phrases), pa.string()), pa.array(phrases, pa.binary()), pa.array(sums, pa.int64())], names=["group", "phrase", "f"])
-
-        def count_all() -> Iterator[pa.RecordBatch]:
-            for group in [*waiting]:
-                out = count(group, *waiting.pop(group))
+        for b in batches:
+            for i in range(b.num_rows):
+                ids, uses = (np.frombuffer(b.column(c)[i].as_buffer(), t) for c, t in ((2, np.int32), (3, np.int64)))
+                out = count(b.column(0)[i].as_py(), b.column(1)[i].as_py(), ids.astype(np.int64), uses, bits)
                 if out is not None:
                     yield out
 
-        for b in batches:
-            for group, part, uses in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                parts, counts = waiting[group]
-                parts.append(part)
-                counts.append(uses)
-                bytes_held += len(part)
-            if bytes_held >= together:
-                yield from count_all()
-                bytes_held = 0
-        yield from count_all()
-
     return parse.mapInArrow(run, "group string, phrase binary, f bigint").groupBy("group", "phrase").agg(F.sum("f").alias("f"))
 
 
@@ -227,7 +250,7 @@ def collocations(docs: DataFrame, group_col: str = "lang", text_col: str = "text
     if max_words < 2:
         raise ValueError("phrases of two words or more are needed")
     overlap = max_words - 1
-    parse = stored(dictionary(docs, group_col, text_col, overlap, period, none_group), "phrases-dictionary")
+    parse = stored(packed(dictionary(docs, group_col, text_col, overlap, period, none_group)), "phrases-dictionary")
     levels, frequent = [], None
     for size in range(1, max_words + 1):
         counted = phrase_counts(parse, size, overlap, frequent).where((F.col("f") >= min_count) | (F.length("phrase") == 0))

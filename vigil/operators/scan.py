@@ -112,19 +112,3 @@ def global_index(df: DataFrame, order_cols: Sequence[str | Column], index_col: s
     out = s.join(F.broadcast(offsets), "_pid")
     local = F.col("_mid") - F.shiftleft(F.col("_pid"), 33)
     return out.withColumn(index_col, F.col("_off") + local).drop("_mid", "_pid", "_off")
-
-
-def weighted_index(df: DataFrame, order_col: str, weight_col: str, index_col: str = "idx", partitions: int | None = None) -> DataFrame:
-    """Adds the 0-based position of a row's first unit in ``order_col`` order, a row counting ``weight_col`` times.
-
-    ``order_col`` is distinct.  Rows are range-partitioned; windows run inside one partition of distinct values, and
-    the offsets table has one row per partition.  The numbered rows are checkpointed, so a
-    retry cannot deal them out differently.
-    """
-    p = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    s = _materialize(df.repartitionByRange(p, order_col).withColumn("_pid", F.spark_partition_id()))
-    before = Window.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = s.groupBy("_pid").agg(F.sum(weight_col).alias("_n")).select(
-        "_pid", F.coalesce(F.sum("_n").over(before.orderBy("_pid")), F.lit(0)).alias("_off"))
-    inside = F.coalesce(F.sum(weight_col).over(before.partitionBy("_pid").orderBy(order_col)), F.lit(0))
-    return s.join(F.broadcast(offsets), "_pid").withColumn(index_col, F.col("_off") + inside).drop("_pid", "_off")  # a row per partition

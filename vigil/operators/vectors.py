@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions import vectors as fv
-from vigil.operators.scan import weighted_index
+from vigil.operators.quantiles import values_at
 
 # Fixed values of the integer hash behind the generator: multiply-add steps mod 2^31 with
 # xor-shift mixing in between (affine steps alone would leave the values of one row in an
@@ -92,18 +92,13 @@ def score_cutoffs(df: DataFrame, score: str = "score", steps: int = 100) -> Data
     step = floor(n / steps), row ``k * step`` (0-based, k = 1..steps-1) is the cutoff that
     leaves ``steps - k`` percent of the rows above it.  Fewer than ``steps`` rows is an error.
 
-    Equal scores are counted before the shuffle, so a score that most rows share is one row
-    from there on.  The distinct scores are range-sorted and get the positions of their rows from running
-    counts per partition and one offset per partition.
+    The table is not sorted: a sketch brackets the asked rows and only what lies inside the brackets is
+    (``vigil.operators.quantiles``).
     """
-    counts = df.groupBy(F.col(score).cast("double").alias("score")).agg(F.count(F.lit(1)).alias("n"))
-    placed = weighted_index(counts, "score", "n")
-    n = placed.agg(F.sum("n")).first()[0] or 0
-    if n < steps:
-        raise ValueError(f"a cutoff table of {steps} steps needs at least {steps} rows, not {n}")
-    step = n // steps
-    first = F.greatest(F.call_function("div", F.col("idx") + F.lit(step - 1), F.lit(step)), F.lit(1))
-    last = F.least(F.call_function("div", F.col("idx") + F.col("n") - 1, F.lit(step)), F.lit(steps - 1))
-    picked = placed.select("score", first.alias("first"), last.alias("last")).where("first <= last")
-    picked = picked.select("score", F.explode(F.sequence("first", "last")).alias("k"))
-    return picked.select((F.lit(steps) - F.col("k")).cast("int").alias("pct"), F.col("score").alias("cutoff"))
+    def positions(n: int) -> list[int]:
+        if n < steps:
+            raise ValueError(f"a cutoff table of {steps} steps needs at least {steps} rows, not {n}")
+        return [k * (n // steps) for k in range(1, steps)]
+
+    picked = values_at(df, score, positions)
+    return picked.select((F.lit(steps) - F.col("k")).cast("int").alias("pct"), F.col("value").alias("cutoff"))

@@ -91,6 +91,41 @@ def validity_ranges(last: DataFrame) -> DataFrame:
     return out.select("sensor", F.col("interval_id").alias("interval_from"), "interval_to", "value")
 
 
+def dyadic_blocks(lo: str, hi: str) -> Column:
+    """Array of (level, block): the fewest blocks ``[block << level, (block + 1) << level)`` that make up ``[lo, hi)``
+    of two BIGINT columns, two per level at most."""
+    first, end = f"-shiftright(-{lo}, l)", f"shiftright({hi}, l)"
+    piece = "named_struct('level', l, 'block', {})"
+    left = f"if({first} < {end} AND pmod({first}, 2) = 1, {piece.format(first)}, NULL)"
+    right = f"if({first} < {end} AND pmod({end}, 2) = 1, {piece.format(f'{end} - 1')}, NULL)"
+    return F.expr(f"filter(flatten(transform(sequence(0, length(bin({hi} - {lo})) - 1), l -> array({left}, {right}))), x -> x IS NOT NULL)")
+
+
+def state_at(ranges: DataFrame, asked: DataFrame, instant: str = "instant", neutral: float | None = None) -> DataFrame:
+    """T2 as a readable grid: the state of every sensor at every asked interval.
+
+    ``ranges`` are ``validity_ranges``; ``asked`` has a BIGINT column ``instant`` of interval ids (repeated ones count once,
+    null ones are left out).  One row per instant and sensor with a value then: ``instant, sensor, value, since``.
+    With ``neutral``, a sensor has that value (``since`` null) before its first reading.
+
+    A range is cut into aligned blocks of powers of two, and an instant lies in one block of each size, so the
+    point-in-range join is an equality join on (size, block) that makes no row too many: a long range is a few
+    rows, and neither the intervals between nor pairs of instants and ranges that do not meet are built.
+    """
+    points = asked.select(F.col(instant).cast("long").alias("instant")).where("instant is not null").distinct()
+    bounds = points.agg(F.min("instant").alias("lo"), F.max("instant").alias("hi")).first()  # two numbers
+    lo, hi = (0, -1) if bounds["lo"] is None else (bounds["lo"], bounds["hi"])
+    held = ranges.select("sensor", F.col("interval_from").alias("since"), F.col("interval_from").alias("a"), F.col("interval_to").alias("b"), "value")
+    if neutral is not None:
+        before = ranges.groupBy("sensor").agg(F.min("interval_from").alias("b"))
+        held = held.unionByName(before.select("sensor", F.lit(None).cast("long").alias("since"), F.lit(lo).cast("long").alias("a"), "b", F.lit(float(neutral)).alias("value")))
+    held = held.select("sensor", "since", "value", F.greatest("a", F.lit(lo)).alias("a"), F.least(F.coalesce("b", F.lit(hi + 1)), F.lit(hi + 1)).alias("b")).where("a < b")
+    blocks = held.select("sensor", "value", "since", F.explode(dyadic_blocks("a", "b")).alias("x")).select("sensor", "value", "since", "x.level", "x.block")
+    top = max(1, hi - lo + 1).bit_length() - 1
+    points = points.select("instant", F.explode(F.sequence(F.lit(0), F.lit(top))).alias("level")).select("instant", "level", F.expr("shiftright(instant, level)").alias("block"))
+    return blocks.join(points, ["level", "block"]).select(F.col("instant").alias(instant), "sensor", "value", "since")
+
+
 @dataclass(frozen=True)
 class LinearModel:
     """Binary linear classifier over sensors 1..n: margin = intercept + sum_s w_s x_s."""
@@ -114,12 +149,16 @@ class LinearModel:
         return cls([float(x) for x in model.coefficients.toArray()], float(model.intercept))
 
 
-def join_weights(df: DataFrame, model: LinearModel) -> DataFrame:
+def with_weights(df: DataFrame, model: LinearModel, how: str = "inner") -> DataFrame:
     """Attach w_s.  The weights table is broadcast only when the model is small enough."""
     w = model.weights_frame(df.sparkSession)
     if model.n <= BROADCAST_MAX_WEIGHTS:
         w = F.broadcast(w)
-    return df.join(w, "sensor")
+    return df.join(w, "sensor", how)
+
+
+def join_weights(df: DataFrame, model: LinearModel) -> DataFrame:
+    return with_weights(df, model)
 
 
 def status_of(margin: Column) -> Column:

@@ -24,6 +24,7 @@ from vigil.operators import vectors as ov
 from vigil.operators.scan import global_index, running_totals
 from vigil.plans.common import (CROP_HW, CROP_OUT, DAY, HOUR, IMAGE_HWC, NEUTRAL, PROGRESS_EVERY,
                                 REPLICAS, TOPK, EMB_WIDTH, GEN_SENSORS, FIRST_BATCH, n_sensors, stand_in_model, table)
+from vigil.session import materialize
 from vigil.sources.images import bytes_to_ints, byte_at, with_class_rank
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,6 +141,18 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "active_seconds", F.round("events_per_sec", 6).alias("events_per_sec"))
 
 
+@register("sensor_state_daily")
+def sensor_state_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2 as a readable grid: every sensor's value at the end of each day, by a point-in-range join."""
+    _, ev = _events(spark, sf_dir, HOUR)
+    last = materialize(iv.last_per_sensor(ev))
+    hours = DAY // HOUR
+    days = last.agg((F.min("interval_id") - F.pmod(F.min("interval_id"), F.lit(hours))).alias("lo"), F.max("interval_id").alias("hi"))
+    asked = days.select(F.explode(F.sequence(F.col("lo") + hours - 1, F.col("hi") + hours - 1, F.lit(hours).cast("long"))).alias("hour"))
+    state = iv.state_at(iv.validity_ranges(last), asked, "hour", NEUTRAL)
+    return state.select(F.expr(f"hour div {hours}").alias("day"), "sensor", "value", F.coalesce(F.col("hour") - F.col("since"), F.lit(-1)).alias("hours_old"))
+
+
 @register("carry_forward")
 def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q8 (T2): the carry-forward state as validity ranges per sensor (daily intervals)."""

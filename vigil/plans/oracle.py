@@ -371,6 +371,32 @@ SELECT interval_id, n_events, CAST(count(*) OVER (ORDER BY interval_id ROWS BETW
 FROM cnt
 """
 
+ORACLE["stream_interval_report"] = f"""
+WITH {EV_HOUR},
+chunked AS (SELECT *, CAST(floor(floor(epoch_us(ts) / 86400000000) / 7) AS BIGINT) AS chunk FROM ev),
+late AS (SELECT count(*) AS n_late FROM chunked WHERE seq % 97 = 5 AND chunk + 2 <= (SELECT max(chunk) FROM chunked)),
+lines AS (SELECT * FROM ev WHERE interval_id % 11 <> 5),
+ok AS (SELECT * FROM lines WHERE interval_id % 7 <> 3),
+nn AS (SELECT max(sensor) AS n FROM ev),
+base AS (SELECT -(n * (n + 1) / 2.0) AS b FROM nn),
+spine AS (SELECT unnest(range(min(interval_id), max(interval_id) + 1)) AS interval_id FROM lines),
+cnt AS (SELECT interval_id, count(*) AS n_lines FROM lines GROUP BY interval_id),
+good AS (SELECT interval_id, count(*) AS n_events FROM ok GROUP BY interval_id),
+lastv AS (SELECT interval_id, sensor, arg_max(value, seq) AS v FROM ok GROUP BY interval_id, sensor),
+d AS (SELECT interval_id, sensor * (v - coalesce(lag(v) OVER (PARTITION BY sensor ORDER BY interval_id), 50.0)) AS d FROM lastv),
+per AS (SELECT interval_id, sum(d) AS d FROM d GROUP BY interval_id),
+tab AS (
+  SELECT interval_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_events, 0) AS n_events, coalesce(d, 0.0) AS d
+  FROM spine LEFT JOIN cnt USING (interval_id) LEFT JOIN good USING (interval_id) LEFT JOIN per USING (interval_id)),
+cum AS (
+  SELECT *, (SELECT b FROM base) + sum(d) OVER w AS m, sum(CASE WHEN n_lines > 0 THEN 1 ELSE 0 END) OVER w AS no
+  FROM tab WINDOW w AS (ORDER BY interval_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT interval_id, CASE WHEN n_lines > 0 THEN CAST(no AS BIGINT) ELSE 0 END AS interval_no, CAST(n_events AS BIGINT) AS n_events, CAST(n_lines AS BIGINT) AS n_lines,
+       CASE WHEN n_lines > 0 THEN round(m, 4) END AS margin,
+       CASE WHEN n_lines > 0 THEN CASE WHEN m > 0 THEN 'Attention needed' ELSE 'Everything is OK' END END AS status, n_lines = 0 AS empty, (SELECT n_late FROM late) AS n_late
+FROM cum
+"""
+
 ORACLE["stream_rejects"] = f"SELECT status, CAST(sum(n) AS BIGINT) AS n FROM ({ORACLE['parse_rejects']}) GROUP BY status"
 
 ORACLE["stream_classify"] = f"""
@@ -415,6 +441,8 @@ FROM (SELECT vec_id, CAST(label AS VARCHAR) AS label, {PIX} AS p FROM embeddings
 
 ORACLE["binary_file_records"] = ORACLE["binary_image_records"].replace("SELECT vec_id, label, 65 AS n_bytes,", "SELECT label,")
 
+ORACLE["record_file_scan"] = ORACLE["binary_file_records"]
+
 ORACLE["stream_classify_bytes"] = f"""
 WITH px AS (
   SELECT vec_id, label, i, (x - (120.0 + 2.0 * ((i - 1) % 4))) / (60.0 + 2.0 * ((i - 1) % 4)) AS x FROM ({_UNNEST_PIX})),
@@ -424,3 +452,20 @@ SELECT count(*) AS n, CAST(sum(CASE WHEN label = predict THEN 1 ELSE 0 END) AS B
        round(100.0 * sum(CASE WHEN label = predict THEN 1 ELSE 0 END) / count(*), 4) AS pct
 FROM pred WHERE vec_id % 50 <> 7
 """
+
+# The state of each sensor at each day's end: the last reading of the hours up to then.
+ORACLE["sensor_state_daily"] = f"""
+WITH {EV_HOUR},
+lastv AS (SELECT interval_id, sensor, arg_max(value, seq) AS v FROM ev GROUP BY interval_id, sensor),
+days AS (SELECT unnest(range(CAST(floor(min(interval_id) / 24) AS BIGINT), CAST(floor(max(interval_id) / 24) AS BIGINT) + 1)) AS day FROM ev),
+grid AS (SELECT day, sensor, day * 24 + 23 AS hour FROM days, (SELECT DISTINCT sensor FROM ev))
+SELECT day, g.sensor, coalesce(v, 50.0) AS value, coalesce(hour - interval_id, -1) AS hours_old
+FROM grid g ASOF LEFT JOIN lastv l ON g.sensor = l.sensor AND g.hour >= l.interval_id
+"""
+
+# Every event is sent twice at one millisecond; the second line counts.
+ORACLE["stream_ties"] = f"""
+WITH {EV_DAY},
+lastv AS (SELECT interval_id, sensor, arg_max(CAST(value AS DOUBLE) + 1.0, seq) AS v, 2 * count(*) AS n_readings FROM ev GROUP BY interval_id, sensor)
+SELECT interval_id, sensor, round(v, 5) AS value, CAST(n_readings AS BIGINT) AS n_readings FROM lastv
+"""

@@ -13,9 +13,11 @@ from vigil.operators import metrics as om
 from vigil.plans.common import CROP_HW, DAY, HOUR, IMAGE_HWC, NEUTRAL, n_sensors, stand_in_model, table
 from vigil.operators.models import network_udf
 from vigil.plans.queries import DISTANCE_DECIMALS, line_kinds, register
-from vigil.session import scratch_dir
+from vigil.session import materialize, scratch_dir
 from vigil.sources.lines import text_stream
+from vigil.sources.records import placed_lines
 from vigil.streaming import images as si
+from vigil.streaming import keyed
 from vigil.streaming import scoring as ss
 
 CHUNK_DAYS = 7      # one group of input files per 7 days of events (one micro-batch each)
@@ -41,6 +43,29 @@ def write_event_line_files(events: DataFrame, path: str) -> None:
         part.repartition(FILES_PER_CHUNK).write.mode("append").text(path)
 
 
+def write_chunks(lines: DataFrame, path: str) -> None:
+    """(value, chunk) lines as text files written chunk after chunk, so that the file times follow the chunk numbers; each chunk is one micro-batch."""
+    staged = scratch_dir(lines.sparkSession, "chunks")
+    lines.write.partitionBy("chunk").parquet(staged)
+    keyed = lines.sparkSession.read.parquet(staged)
+    for c in sorted(r[0] for r in keyed.select("chunk").distinct().collect()):  # a few chunk ids
+        keyed.where(F.col("chunk") == c).select("value").repartition(FILES_PER_CHUNK).write.mode("append").text(path)
+
+
+def disturbed_lines(events: DataFrame) -> DataFrame:
+    """(value, chunk): the events' lines with hours that have no line (every 11th), hours of lines without a value
+    only (every 7th), and lines that are sent again two chunks later, when their hour is over (every 97th)."""
+    ev = events.withColumn("hour", iv.interval_id(F.col("ts"), HOUR)).withColumn("chunk", F.floor(iv.interval_id(F.col("ts"), DAY) / CHUNK_DAYS))
+    good = fe.encode_event(F.col("ts"), F.col("sensor"), F.col("value"))
+    bad = F.concat(F.concat_ws(",", fe.format_ts_utc(F.col("ts")), F.col("sensor").cast("string"), fe.sensor_name(F.col("sensor"))), F.lit(","))
+    last = F.broadcast(ev.agg(F.max("chunk").alias("last"), F.max("ts").alias("end")))  # one row
+    ev = ev.join(last)
+    sent = F.array(F.struct(F.when(F.col("hour") % 11 != 5, F.when(F.col("hour") % 7 == 3, bad).otherwise(good)).alias("value"), F.col("chunk").alias("chunk")),
+                   F.struct(F.when((F.col("seq") % 97 == 5) & (F.col("chunk") + 2 <= F.col("last")), good).alias("value"), (F.col("chunk") + 2).alias("chunk")))
+    end = last.select(fe.sentinel_line(F.col("end")).alias("value"), F.col("last").alias("chunk"))
+    return ev.select(F.explode(sent).alias("s")).select("s.value", "s.chunk").where("value is not null").unionByName(end)
+
+
 def _score_stream(spark: SparkSession, sf_dir: str, seconds: float) -> DataFrame:
     raw = table(spark, sf_dir, "events")
     events = iv.events_from_table(raw)
@@ -71,6 +96,53 @@ def stream_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("interval_id", "n_events", "interval_no")
 
 
+@register("stream_interval_report")
+def stream_interval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T3 (rule q8), T7, T8 on a stream: every hour as its timer closes it, scored if it had any line (also malformed ones
+    only), reported as empty if not; lines that came after their hour was over are counted (``n_late``)."""
+    raw = table(spark, sf_dir, "events")
+    base = scratch_dir(spark, "report")
+    write_chunks(disturbed_lines(iv.events_from_table(raw)), f"{base}/in")
+    lines = text_stream(spark, f"{base}/in", max_files_per_trigger=FILES_PER_CHUNK)
+    q = ss.start_interval_scoring(lines, stand_in_model(n_sensors(raw)), NEUTRAL, HOUR, f"{base}/out", f"{base}/ckpt", delay="1 day",
+                                  processing_time="0 seconds", state_partitions=spark.sparkContext.defaultParallelism)
+    if not ss.stop_on_sentinel(q, timeout=STREAM_TIMEOUT_S):
+        raise TimeoutError("event stream did not reach its end-of-stream record")
+    late = ss.read_totals(spark, f"{base}/ckpt").select("n_late")  # one row
+    out = ss.read_intervals(spark, f"{base}/out").join(F.broadcast(late))
+    number = F.coalesce("interval_no", F.lit(0)).alias("interval_no")
+    return out.select("interval_id", number, "n_events", "n_lines", F.round("margin", 4).alias("margin"), "status", (F.col("n_empty") > 0).alias("empty"), "n_late")
+
+
+@register("stream_ties")
+def stream_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S2/S3 contract, A3, q9: every event is sent twice at one millisecond, so only the arrival order tells the readings apart.
+    The files come in two parts and the query is started anew for each, from its checkpoint."""
+    raw = table(spark, sf_dir, "events")
+    ev = iv.events_from_table(raw).withColumn("day", iv.interval_id(F.col("ts"), DAY))
+    twice = F.array(*[F.struct(F.lit(i).alias("i"), fe.encode_event(F.col("ts"), F.col("sensor"), F.col("value") + i).alias("value")) for i in (0, 1)])
+    base = scratch_dir(spark, "ties")
+    lines = materialize(ev.select("seq", "day", F.explode(twice).alias("l")).select("seq", "day", "l.i", "l.value"))
+    days = ev.agg(F.expr("(min(day) + max(day)) div 2").alias("middle")).first()  # one number
+    end = ev.agg(F.max("ts").alias("ts")).select(fe.sentinel_line(F.col("ts")).alias("value"))
+
+    def part(late: bool) -> DataFrame:
+        return lines.where((F.col("day") > days["middle"]) == late).repartitionByRange(FILES_PER_CHUNK, "seq").sortWithinPartitions("seq", "i").select("value")
+
+    def collect(batch: DataFrame, batch_id: int) -> None:
+        batch.where(F.col("kind") == keyed.READING).select("interval_id", "sensor", F.round("value", 5).alias("value"), F.col("n").alias("n_readings")) \
+            .write.mode("overwrite").parquet(f"{base}/out/b={batch_id}")
+
+    for number, lot in enumerate([part(False), part(True), end, end]):  # the record's watermark holds from the batch after it on
+        lot.write.text(f"{base}/in/{number:05d}")
+        if number == 1:
+            continue  # goes with the record
+        closed = keyed.closed_intervals(placed_lines(spark, f"{base}/in"), n_sensors(raw), DAY, "1 day")
+        w = closed.writeStream.outputMode("append").foreachBatch(collect).option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True)
+        keyed.with_store(spark, lambda: ss.start_with_state_partitions(w, spark, spark.sparkContext.defaultParallelism)).awaitTermination()
+    return spark.read.parquet(f"{base}/out").drop("b")
+
+
 @register("stream_rejects")
 def stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P1 reject path in streaming form: good and malformed lines of every event, counted by outcome.  Each micro-batch

@@ -15,8 +15,9 @@ from vigil.plans.common import EMB_WIDTH, IMAGE_HWC
 from vigil.plans.queries import _checksum, _pixels, _vectors, register
 from vigil.session import materialize, scratch_dir
 from vigil.sinks import write_lines
-from vigil.sources.images import binary_records, decode_planar_record, labelled_folder
+from vigil.sources.images import binary_records, bytes_to_ints, decode_planar_record, labelled_folder
 from vigil.sources.lines import read_lines
+from vigil.sources.records import record_file
 
 ROWS_PER_FILE = 10_000  # bounds a file, and with it the row that holds a whole file
 GRADIENT_BOUND = 1e-3   # largest entry of the mean gradient at the fitted weights
@@ -90,3 +91,18 @@ def binary_file_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = binary_records(spark, path, 2 + h * w * c).select(
         rec["label"].alias("label"), fi.planar_to_interleaved(rec["planar"], h, w, c, reverse_channels=False).alias("px"))
     return px.select("label", F.aggregate("px", F.lit(0).cast("long"), lambda a, x: a + x).alias("pixel_sum"), _checksum(F.col("px")).alias("checksum"))
+
+
+RANGE_RECORDS = 64  # records in a byte range of the file below
+
+
+@register("record_file_scan")
+def record_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S5 V13 in splits: all records (label byte, planar bytes, a closing newline) in one file that is read in byte ranges."""
+    path = scratch_dir(spark, "record-file")
+    hexed = F.concat(F.lpad(F.hex(F.col("label")), 2, "0"), F.array_join(F.transform("pixels", lambda x: F.lpad(F.hex(x), 2, "0")), ""))
+    _pixels(spark, sf_dir).select(F.unhex(hexed).cast("string").alias("value")).coalesce(1).write.text(path)  # one file is what is read here
+    rec = record_file(spark, path, 2 + EMB_WIDTH, range_bytes=RANGE_RECORDS * (2 + EMB_WIDTH))
+    h, w, c = IMAGE_HWC
+    px = rec.select("label", fi.planar_to_interleaved(bytes_to_ints(F.col("planar"), 0, EMB_WIDTH), h, w, c, reverse_channels=False).alias("px"))
+    return px.select("label", F.aggregate("px", F.lit(0).cast("long"), lambda a, x: a + x).alias("pixel_sum"), _checksum(F.col("px")).alias("checksum"))

@@ -1,16 +1,11 @@
-"""Streaming interval scorer (T1-T5, T8, K3): event lines -> scored event-time intervals.
-
-Stateful layout
----------------
-1. ``parse_event_lines`` on the stream; the end-of-stream record (sensor < 0) is moved to the
-   far future before the watermark, so it closes every open interval, then dropped.
-2. Built-in windowed aggregate with a watermark: the last reading of each sensor per interval
-   (``max_by`` over (ts, seq)) - Spark's state store keeps only the open windows.
-3. ``foreachBatch`` receives the *closed* (interval, sensor) rows of each micro-batch and runs
-   the same steps as the static query (carry-forward delta, weight join, running sums).  The
-   carried state is one small table written per batch id under the shared checkpoint folder:
-   the last value of each sensor plus the running weighted change and interval count.
-   Rewriting a batch id is idempotent, so a replayed batch after a failure gives the same rows.
+"""Streaming interval scorer (T1-T5, T7, T8, K3): event lines -> scored event-time intervals.
+
+1. ``keyed.closed_intervals``: keyed state per sensor and a clock; event-time timers send out the readings, line counts and
+   empty intervals that the watermark has passed.  The end-of-stream record (sensor < 0) moves the watermark to the far
+   future, so it closes every open interval.
+2. ``foreachBatch``: weighted change per interval, running sums, status.  Besides the scores a micro-batch
+   writes one row of run totals (``IntervalLedger``).  Rewriting a batch id is idempotent, so a replayed batch after a
+   failure gives the same rows.
 """
 
 from __future__ import annotations
@@ -21,33 +16,9 @@ from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from vigil.functions import events as fe
 from vigil.operators.events import parse_event_lines
-from vigil.operators.intervals import LinearModel, interval_id, join_weights, status_of
-
-FAR_FUTURE = "9999-12-31 00:00:00"
-
-
-def closed_interval_readings(lines: DataFrame, n_sensors: int, seconds: float, delay: str) -> DataFrame:
-    """Streaming frame of (window, sensor, value, n_readings) for closed intervals (append mode).
-    Observed metrics per micro-batch: ``eos`` (any end-of-stream record), ``lines`` and ``rejected`` (lines of
-    any other status)."""
-    parsed = parse_event_lines(lines, n_sensors)
-    parsed = parsed.observe("eos", F.max((F.col("status") == fe.CONTROL).cast("int")).alias("eos"),
-                            F.count(F.lit(1)).alias("lines"),
-                            F.count_if(~F.col("status").isin(fe.OK, fe.CONTROL)).alias("rejected"))
-    wm_ts = F.when(F.col("status") == fe.CONTROL, F.lit(FAR_FUTURE).cast("timestamp")).otherwise(F.col("ts"))
-    keep = parsed.where(F.col("status").isin(fe.OK, fe.CONTROL)).withColumn("ts", wm_ts)
-    # without an arrival key (file/socket lines) event time alone orders the readings, and a
-    # primitive ordering key lets the stateful aggregate hash instead of sort
-    arrival = [c for c in ("partition", "seq") if c in keep.columns]  # an offset orders its partition only
-    order = F.struct("ts", *arrival) if arrival else F.col("ts")
-    # the filter must reference the event-time column, or Catalyst pushes it below the
-    # watermark and the end-of-stream record never advances it
-    keep = keep.withWatermark("ts", delay).where(F.col("ts") < F.lit(FAR_FUTURE).cast("timestamp"))
-    win = F.window("ts", f"{int(round(seconds * 1_000_000))} microseconds")
-    return keep.groupBy(win.alias("w"), "sensor").agg(
-        F.max_by("value", order).alias("value"), F.count(F.lit(1)).alias("n_readings"))
+from vigil.operators.intervals import LinearModel, status_of, with_weights
+from vigil.streaming import keyed
 
 
 def line_status_counts(lines: DataFrame, n_sensors: int) -> DataFrame:
@@ -56,73 +27,54 @@ def line_status_counts(lines: DataFrame, n_sensors: int) -> DataFrame:
     return parse_event_lines(lines, n_sensors).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-class IntervalScorer:
-    """``foreachBatch`` function: scores the intervals closed in each micro-batch.
+class IntervalLedger:
+    """``foreachBatch`` function: scores the intervals that were closed in each micro-batch.
 
-    Per micro-batch: one job writes the scores (the batch totals come back as observed
-    metrics of that job), one job writes the new state.  The windows
-    here run over one micro-batch's closed intervals only (bounded by the trigger), so a
-    plain ``Window`` is the right tool; the carried state table has one row per sensor.
+    The windows here run over one micro-batch's closed intervals only (bounded by the trigger), so a plain
+    ``Window`` is the right tool.  An interval of malformed lines only is scored on the state as it was; an empty one
+    gets a row without number, margin and status.  The run totals after a batch are one row in a folder of its
+    id; a restarted query reads the row of the batch before.
     """
 
-    STATE_SCHEMA = "sensor INT, value DOUBLE, d_cum DOUBLE, n_cum BIGINT"
+    TOTALS = "d_cum DOUBLE, n_cum BIGINT, n_empty BIGINT, n_late BIGINT"
 
-    def __init__(self, model: LinearModel, neutral: float, seconds: float, out_dir: str, state_dir: str):
-        self.model, self.neutral, self.seconds = model, float(neutral), float(seconds)
-        self.out_dir, self.state_dir = out_dir.rstrip("/"), state_dir.rstrip("/")
+    def __init__(self, model: LinearModel, neutral: float, out_dir: str, totals_dir: str):
+        self.model, self.neutral = model, float(neutral)
+        self.out_dir, self.totals_dir = out_dir.rstrip("/"), totals_dir.rstrip("/")
         self.base = float(model.intercept) + self.neutral * float(sum(model.weights))
-        self._totals: tuple[int, float, int] | None = None  # (batch_id, d_cum, n_cum) after that batch
+        self._held: tuple[int, tuple] | None = None  # batch id, totals after that batch
 
-    def _state(self, spark: SparkSession, batch_id: int) -> DataFrame:
+    def _totals(self, spark: SparkSession, batch_id: int) -> tuple:
         if batch_id == 0:
-            return spark.createDataFrame([], self.STATE_SCHEMA)
-        return spark.read.schema(self.STATE_SCHEMA).parquet(f"{self.state_dir}/b={batch_id - 1}")  # missing: an error
+            return 0.0, 0, 0, 0
+        if self._held is not None and self._held[0] == batch_id - 1:
+            return self._held[1]
+        return tuple(spark.read.schema(self.TOTALS).parquet(f"{self.totals_dir}/b={batch_id - 1}").first())  # missing: an error
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select(interval_id(F.col("w.start"), self.seconds).alias("interval_id"),
-                            "sensor", "value", "n_readings").persist()
-        try:
-            self._score(spark, rows, batch_id)
-        finally:
-            rows.unpersist()
-
-    def _run_totals(self, state: DataFrame, batch_id: int) -> tuple[float, int]:
-        """Running (weighted change, interval count) before this batch: kept in memory between
-        consecutive batches, read back from the state table after a restart or replay."""
-        if self._totals is not None and self._totals[0] == batch_id - 1:
-            return self._totals[1], self._totals[2]
-        r = state.agg(F.max("d_cum").alias("d"), F.max("n_cum").alias("n")).first()  # one row
-        return float(r["d"] or 0.0), int(r["n"] or 0)
-
-    def _score(self, spark: SparkSession, rows: DataFrame, batch_id: int) -> None:
-        state = self._state(spark, batch_id)
-        d0, n0 = self._run_totals(state, batch_id)
-
-        by_sensor = Window.partitionBy("sensor").orderBy("interval_id")
-        prev = rows.join(state.select("sensor", F.col("value").alias("state_value")), "sensor", "left")
-        prev = prev.withColumn("prev_value", F.coalesce(F.lag("value").over(by_sensor), F.col("state_value"),
-                                                        F.lit(self.neutral)))
-        delta = F.col("weight") * (F.col("value") - F.col("prev_value"))
-        per_iv = join_weights(prev, self.model).groupBy("interval_id").agg(
-            F.sum(delta).alias("d"), F.sum("n_readings").alias("n_events"))
-        # the batch totals ride along with the scores write as observed metrics (no extra job)
-        obs = Observation(f"scorer_totals_{batch_id}")
-        per_iv = per_iv.observe(obs, F.coalesce(F.sum("d"), F.lit(0.0)).alias("d"), F.count(F.lit(1)).alias("n"))
+        d0, n0, empty0, late0 = self._totals(spark, batch_id)
+        kind, n = F.col("kind"), F.col("n")
+        late = Observation(f"late_{batch_id}")
+        batch = batch.observe(late, F.coalesce(F.sum(F.when(kind == keyed.LATE, F.col("n_lines"))), F.lit(0)).alias("n"))
+        change = F.col("weight") * (F.col("value") - F.coalesce("prev", F.lit(self.neutral)))
+        per = with_weights(batch, self.model, "left").where(kind != keyed.LATE).groupBy("interval_id").agg(
+            F.coalesce(F.sum(F.when(kind == keyed.READING, change)), F.lit(0.0)).alias("d"),
+            F.sum(F.when(kind == keyed.INTERVAL, n)).alias("n_events"), F.sum(F.when(kind == keyed.INTERVAL, F.col("n_lines"))).alias("n_lines"),
+            F.sum(F.when(kind == keyed.EMPTY, 1).when(kind == keyed.GAP, n)).alias("n_empty"))
+        totals = Observation(f"totals_{batch_id}")
+        per = per.observe(totals, F.coalesce(F.sum("d"), F.lit(0.0)).alias("d"), F.count("n_lines").alias("n"), F.coalesce(F.sum("n_empty"), F.lit(0)).alias("empty"))
         upto = Window.orderBy("interval_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        empty = F.col("n_lines").isNull()
         margin = F.lit(self.base + d0) + F.sum("d").over(upto)
-        scores = per_iv.select("interval_id", (F.count(F.lit(1)).over(upto) + F.lit(n0)).alias("interval_no"),
-                               "n_events", margin.alias("margin"), status_of(margin).alias("status"))
-        scores.write.mode("overwrite").parquet(f"{self.out_dir}/b={batch_id}")
-        t = obs.get
-        d1, n1 = d0 + float(t["d"] or 0.0), n0 + int(t["n"])
-
-        latest = rows.groupBy("sensor").agg(F.max_by("value", "interval_id").alias("value"))
-        kept = state.select("sensor", "value").join(latest, "sensor", "left_anti")
-        new_state = latest.unionByName(kept).select(
-            "sensor", "value", F.lit(d1).alias("d_cum"), F.lit(n1).cast("long").alias("n_cum"))
-        new_state.write.mode("overwrite").parquet(f"{self.state_dir}/b={batch_id}")
-        self._totals = (batch_id, d1, n1)
+        rows = per.select("interval_id", (F.count("n_lines").over(upto) + F.lit(n0)).alias("interval_no"), "n_events", "n_lines", margin.alias("margin"), "n_empty")
+        rows = rows.select("interval_id", *[F.when(~empty, F.col(c)).alias(c) for c in ("interval_no", "margin")], F.when(~empty, status_of(F.col("margin"))).alias("status"),
+                           *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_events", "n_lines", "n_empty")])
+        rows.write.mode("overwrite").parquet(f"{self.out_dir}/b={batch_id}")
+        t = totals.get
+        after = (d0 + float(t["d"] or 0.0), n0 + int(t["n"]), empty0 + int(t["empty"] or 0), late0 + int(late.get["n"] or 0))
+        spark.createDataFrame([after], self.TOTALS).coalesce(1).write.mode("overwrite").parquet(f"{self.totals_dir}/b={batch_id}")
+        self._held = (batch_id, after)
 
 
 def start_with_state_partitions(writer, spark: SparkSession, state_partitions: int | None) -> StreamingQuery:
@@ -142,24 +94,39 @@ def start_with_state_partitions(writer, spark: SparkSession, state_partitions: i
 def start_interval_scoring(lines: DataFrame, model: LinearModel, neutral: float, seconds: float,
                            out_dir: str, checkpoint: str, delay: str = "0 seconds",
                            available_now: bool = False, processing_time: str | None = None,
-                           state_partitions: int | None = None) -> StreamingQuery:
-    """Start the scorer; results accumulate under ``out_dir`` (one folder per batch id).
-    ``state_partitions`` sizes the state store (default: the session's shuffle partitions)."""
-    readings = closed_interval_readings(lines, model.n, seconds, delay)
-    scorer = IntervalScorer(model, neutral, seconds, out_dir, f"{checkpoint.rstrip('/')}/scorer-state")
-    w = (readings.writeStream.outputMode("append").foreachBatch(scorer)
-         .option("checkpointLocation", f"{checkpoint.rstrip('/')}/query"))
+                           state_partitions: int | None = None, longest_gap: int = 10_000) -> StreamingQuery:
+    """Start the scorer; results accumulate under ``out_dir`` (one folder per batch id), run totals and
+    the query's checkpoint under ``checkpoint``.  ``state_partitions`` sizes the state store (default: the session's
+    shuffle partitions); ``longest_gap`` bounds the rows that a jump in time gives."""
+    root = checkpoint.rstrip("/")
+    closed = keyed.closed_intervals(lines, model.n, seconds, delay, longest_gap)
+    w = (closed.writeStream.outputMode("append").foreachBatch(IntervalLedger(model, neutral, out_dir, f"{root}/totals"))
+         .option("checkpointLocation", f"{root}/query"))
     if available_now:
         w = w.trigger(availableNow=True)
     elif processing_time:
         w = w.trigger(processingTime=processing_time)  # T1 cadence: the reporting interval
-    return start_with_state_partitions(w, lines.sparkSession, state_partitions)
+    spark = lines.sparkSession
+    return keyed.with_store(spark, lambda: start_with_state_partitions(w, spark, state_partitions))
 
 
-def read_scores(spark: SparkSession, out_dir: str) -> DataFrame:
+def read_intervals(spark: SparkSession, out_dir: str) -> DataFrame:
+    """All reported intervals: ``interval_id, interval_no, margin, status, n_events, n_lines, n_empty`` (the number of
+    empty intervals that the row stands for, 0 for one with lines)."""
     return spark.read.parquet(out_dir).drop("b")
 
 
+def read_scores(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The scored intervals."""
+    return read_intervals(spark, out_dir).where("n_lines > 0").select("interval_id", "interval_no", "n_events", "n_lines", "margin", "status")
+
+
+def read_totals(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """One row: the run totals after the last micro-batch (``n_intervals, n_empty, n_late``)."""
+    rows = spark.read.schema(f"{IntervalLedger.TOTALS}, b BIGINT").parquet(f"{checkpoint.rstrip('/')}/totals")
+    return rows.groupBy().agg(F.max_by(F.struct("n_cum", "n_empty", "n_late"), "b").alias("t")).select(F.col("t.n_cum").alias("n_intervals"), "t.n_empty", "t.n_late")
+
+
 def stop_on_sentinel(query: StreamingQuery, poll: float = 0.2, timeout: float | None = None) -> bool:
     """T4: stop once the micro-batch that carried the end-of-stream record has been followed by
     one more completed batch (the batch that emits the intervals the record closed).

@@ -56,7 +56,7 @@ def test_gradient_matches_differences():
     seen = {}
     model._move = lambda name, g, rate: seen.setdefault(name, g)
     model.step(feats, buckets, 1.0)
-    for name in ("wc", "wm"):
+    for name in ("w0", "w1", "w2"):
         g = seen[name]
         for _ in range(5):
             i, j = rng.integers(g.shape[0]), rng.choice(np.flatnonzero(g.any(axis=0)))
@@ -70,7 +70,7 @@ def test_gradient_matches_differences():
 
 def test_outputs_tell_words_apart():
     words = {zlib.crc32(b"word%d" % i) % lm.BUCKETS for i in range(20_000)}
-    assert len(words) == lm.CLASSES * lm.MEMBERS == 1024
+    assert len(words) == lm.BUCKETS == np.prod(lm.WIDTHS) == 1024
 
 
 def test_empty(spark):

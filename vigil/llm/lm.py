@@ -2,9 +2,9 @@
 
 Tokens are lower-cased words and an end.  A word falls into a bucket (hash), buckets into classes, and
 
-    p(word | history) = p(class | history) p(bucket | class, history) p(word | bucket)
+    p(word | history) = p(class | history) p(subclass | class, history) p(bucket | subclass, history) p(word | bucket)
 
-The first two are softmax layers over hashed features of the history: the word before, the pair before
+The first three are softmax layers over hashed features of the history: the word before, the pair before
 and the word before that (skip).  The last is the add-one share of the word among its bucket's training
 counts, one share being left for words not seen.  The layers start from the bucket counts; in each
 round every task runs gradient steps over its rows of a slice of the training texts, and the mean of the
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from vigil.llm.common import stored, text_bytes
 
 END = b"\n"
-CLASSES, MEMBERS = 32, 32
-BUCKETS = CLASSES * MEMBERS
+WIDTHS = (8, 8, 16)  # classes, subclasses of a class, buckets of a subclass
+BUCKETS = 8 * 8 * 16
 ROWS = 1 << 13  # hashed rows of each layer
 FEATURES = 3
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -57,47 +57,56 @@ def history(words: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Weights: ``wc`` (CLASSES, ROWS), ``wm`` (MEMBERS, ROWS), biases ``bc`` (CLASSES, 1), ``bm`` (MEMBERS, CLASSES)."""
+    """Weights of each layer k: ``wk`` (its width, ROWS) and biases ``bk`` (its width, outputs of the layers above it)."""
 
     def __init__(self, bucket_counts: np.ndarray):
-        share = (bucket_counts.reshape(CLASSES, MEMBERS) + 1.0) / (bucket_counts.sum() + BUCKETS)
-        self.w = {"wc": np.zeros((CLASSES, ROWS), np.float32), "wm": np.zeros((MEMBERS, ROWS), np.float32),
-                  "bc": np.log(share.sum(axis=1, keepdims=True)).astype(np.float32), "bm": np.log(share / share.sum(axis=1, keepdims=True)).astype(np.float32).T.copy()}
+        self.w, above, share = {}, 1, (bucket_counts + 1.0) / (bucket_counts.sum() + BUCKETS)
+        for k, width in enumerate(WIDTHS):
+            own = share.reshape(above, width, -1).sum(axis=2)
+            self.w[f"w{k}"] = np.zeros((width, ROWS), np.float32)
+            self.w[f"b{k}"] = np.log(own / own.sum(axis=1, keepdims=True)).astype(np.float32).T.copy()
+            above *= width
         self.seen = {k: np.zeros_like(v) for k, v in self.w.items()}
 
-    def _layer(self, w: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
-        """Softmax (outputs, tokens)."""
-        logits = w.take(rows[0], axis=1)
-        for r in rows[1:]:
-            logits += w.take(r, axis=1)
-        logits += bias
-        logits -= logits.max(axis=0)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(axis=0)
-        return logits
-
-    def _layers(self, rows: np.ndarray, bucket: np.ndarray):
-        c, m = bucket // MEMBERS, bucket % MEMBERS
-        outer = [np.ascontiguousarray(r) for r in rows.T]
-        inner = [(r * 31 + c * 977) % ROWS for r in outer]
-        yield "wc", "bc", outer, c, None, self._layer(self.w["wc"], outer, self.w["bc"])
-        yield "wm", "bm", inner, m, c, self._layer(self.w["wm"], inner, self.w["bm"].take(c, axis=1))
+    def _layers(self, rows: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]]:
+        """For each layer: its number, feature rows, the outputs chosen above and in it, logits (outputs, tokens) with 0 as the largest."""
+        outer, below = [np.ascontiguousarray(r) for r in rows.T], BUCKETS
+        above = np.zeros(len(bucket), np.int64)
+        for k, width in enumerate(WIDTHS):
+            below //= width
+            chosen = bucket // below % width
+            at = [(r * 31 + (above + k) * 977) & (ROWS - 1) for r in outer] if k else outer
+            w = self.w[f"w{k}"]
+            logits = w.take(at[0], axis=1)
+            for r in at[1:]:
+                logits += w.take(r, axis=1)
+            logits += self.w[f"b{k}"].take(above, axis=1)
+            logits -= logits.max(axis=0)
+            yield k, at, above, chosen, logits
+            above = above * width + chosen
 
     def log10(self, rows: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         """log10 p(bucket | history) of each token."""
-        at = np.arange(len(bucket))
-        return sum(np.log10(p[y, at]) for _, _, _, y, _, p in self._layers(rows, bucket)).astype(np.float64)
+        at, out = np.arange(len(bucket)), np.zeros(len(bucket))
+        for _, _, _, y, logits in self._layers(rows, bucket):
+            picked = logits[y, at].astype(np.float64)
+            np.exp(logits, out=logits)
+            out += picked - np.log(logits.sum(axis=0))
+        return out / np.log(10)
 
     def step(self, rows: np.ndarray, bucket: np.ndarray, rate: float) -> None:
         """One AdaGrad step on the log-loss of a mini-batch."""
         at = np.arange(len(bucket))
-        for w, b, r, y, c, p in self._layers(rows, bucket):
+        for k, r, above, y, p in self._layers(rows, bucket):
+            np.exp(p, out=p)
+            p /= p.sum(axis=0)
             p[y, at] -= 1
-            flat, g = np.concatenate(r), np.empty(self.w[w].shape, np.float32)
+            w, b = self.w[f"w{k}"], self.w[f"b{k}"]
+            flat, g = np.concatenate(r), np.empty(w.shape, np.float32)
             for j, error in enumerate(p):
                 g[j] = np.bincount(flat, np.tile(error, FEATURES), ROWS)
-            self._move(w, g, rate)
-            self._move(b, p.sum(axis=1, keepdims=True) if c is None else np.stack([np.bincount(c, e, CLASSES) for e in p]).astype(np.float32), rate * 0.1)
+            self._move(f"w{k}", g, rate)
+            self._move(f"b{k}", np.stack([np.bincount(above, e, b.shape[1]) for e in p]).astype(np.float32), rate * 0.1)
 
     def _move(self, name: str, g: np.ndarray, rate: float) -> None:
         seen = self.seen[name]
@@ -199,6 +208,13 @@ def train(docs: DataFrame, bucket_counts: np.ndarray, text_col: str, rounds: int
     return model
 
 
+class _Head(dict):
+    """Counts of the frequent words; 0 for any other."""
+
+    def __missing__(self, word: bytes) -> int:
+        return 0
+
+
 def _frequent(vocabulary: DataFrame, most: int) -> dict[bytes, int]:
     """The words of the highest count classes (eighths of a power of two) that hold at most ``most`` words together;
     the driver gets the classes' sizes and these words only."""
@@ -240,6 +256,7 @@ def score_texts(docs: DataFrame, held_out: Column, head_words: int = 200_000, ro
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, model, of_bucket = shared.value
+        count = _Head(head).__getitem__
         task, number = TaskContext.get().partitionId(), 0
         for batch in batches:
             at = 0
@@ -250,7 +267,7 @@ def score_texts(docs: DataFrame, held_out: Column, head_words: int = 200_000, ro
                 inner = np.add.reduceat(each, starts)
                 known, logs, rare = [], [], []
                 for ws in words:
-                    c = np.fromiter((head.get(w, 0) for w in ws), dtype=np.int64, count=len(ws))
+                    c = np.fromiter(map(count, ws), dtype=np.int64, count=len(ws))
                     seen = c > 0
                     known.append(int(seen.sum()))
                     logs.append(float(np.log10(c + 1.0).sum()))

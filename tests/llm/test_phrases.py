@@ -70,23 +70,24 @@ def test_filter_that_lets_all_through(spark):
 def test_parse_covers_each_word_and_shares_passages():
     r = random.Random(4)
     passage = [b"%d" % r.randrange(500) for _ in range(400)]
+    passage[30] = passage[90] = b"."
     number = _Numbers()
 
     def parse(words):
         return list(chunks(words, number, 3, 8))
 
-    one = parse([b"x", b"y"] + passage + [b".", b"z"])
+    one = parse([b"x", b"y"] + passage + [b"..", b"z", b"..", b"..", b"."])
     two = parse([b"q"] + passage)
     assert len(set(one) & set(two)) >= len(two) - 3
     back = []
     for c in one:
         ws = c.split()
-        back += [b"|"] * (ws[0] != b"." and bool(back)) + (ws[4:] if ws[0] == b"." else ws)
-    assert back == [b"x", b"y"] + passage + [b"|", b"z"]
+        back += [b".."] * (ws[0] != b"..." and bool(back)) + (ws[4:] if ws[0] == b"..." else ws)
+    assert back == [b"x", b"y"] + passage + [b"..", b"z", b"..", b"."]
 
 
 def test_words():
-    assert words_and_marks("Ab\tÇd.e,F\x0cg  h".encode()) == ["ab".encode(), "Çd".encode(), b".", b"e", b".", b"f", b".", b"g", b"h"]
+    assert words_and_marks(["Ab\tÇd.e,F\x0cg  h".encode(), b"", b"..a"]) == [b"ab", "Çd".encode(), b".", b"e", b".", b"f", b".", b"g", b"h", b"..", b"..", b".", b".", b"a"]
 
 
 def test_empty_table(spark):

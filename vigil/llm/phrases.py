@@ -1,11 +1,11 @@
 """Collocations (scored phrases) counted over a prefix-free parse of the texts.
 
-A text is cut into pieces at separators, a piece into words.  A window of ``max_words - 1`` words whose hash is a
-multiple of ``period`` is a trigger: a chunk ends with it and the next one begins with it, wherever it
-stands, so equal passages have equal chunks except at their ends.  The distinct chunks (the dictionary) are
-stored with how often the parse uses them.  Phrases are counted inside the distinct chunks, weighted by that.
-Of two chunks that share a trigger the earlier one counts the phrases that lie wholly inside it; a chunk that goes on a piece
-is marked and leaves those out.
+A text is cut into pieces at separators, a piece into words; a mark stands between pieces.  A window of ``max_words - 1``
+words and marks whose hash is a multiple of ``period`` is a trigger: a chunk ends with it and the next one begins with
+it, wherever it stands, so equal passages have equal chunks except at their ends.  The distinct chunks (the dictionary)
+are stored with how often the parse uses them.  Phrases are counted inside the distinct chunks, weighted by that.  Of two
+chunks that share a trigger the earlier one counts the phrases that lie wholly inside it; a chunk that goes on a text says
+so and leaves those out.
 
 Phrases of m words are counted only where both phrases of m - 1 words inside are frequent.  That test reads a bit table of
 fixed size, which may let others through but misses none; the counts decide.
@@ -25,23 +25,21 @@ from pyspark.sql import functions as F
 
 from vigil.llm.common import stored, text_bytes
 
-#: Between pieces, and before the words of a chunk that goes on a piece; no word holds it.
-MARK = b"."
-#: Between chunks that are read together.
-BREAK = b".."
+#: Between pieces; before a chunk that goes on a text; between texts or chunks that are read together.  No word holds a dot.
+MARK, GOES_ON, BREAK = b".", b"...", b".."
 #: Fixed value: the separators of pieces.
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 _TO_MARK = bytes.maketrans(SEPARATORS, MARK * len(SEPARATORS))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def words_and_marks(text: bytes) -> list[bytes]:
-    """The words of a text, A-Z lower-cased, with marks between its pieces."""
-    return text.lower().translate(_TO_MARK).replace(MARK, b" . ").split()
+def words_and_marks(texts: list[bytes]) -> list[bytes]:
+    """The words of texts, A-Z lower-cased, with marks between pieces and breaks between texts."""
+    return b" .. ".join(t.lower().translate(_TO_MARK).replace(MARK, b" . ") for t in texts).split()
 
 
 class _Numbers(dict):
-    """Numbers words as they come and keeps their hashes; BREAK is 0, MARK is 1."""
+    """Numbers words as they come and keeps their hashes; BREAK is 0, GOES_ON is 1, MARK is 2."""
 
     def __init__(self, held: int = 1_000_000):
         super().__init__()
@@ -50,8 +48,8 @@ class _Numbers(dict):
 
     def clear(self) -> None:
         super().clear()
-        self.update({BREAK: 0, MARK: 1})
-        self.hashes = array("Q", [0, 0])
+        self.update({BREAK: 0, GOES_ON: 1, MARK: 2})
+        self.hashes = array("Q", [0, 0, crc32(MARK)])
 
     def __missing__(self, word: bytes) -> int:
         number = self[word] = len(self)
@@ -84,11 +82,11 @@ def _to_next(stop: np.ndarray) -> np.ndarray:
 
 
 def chunks(words: list[bytes], number: _Numbers, overlap: int, period: int) -> Iterator[bytes]:
-    """The chunks of a stretch of words and marks."""
+    """The chunks of texts."""
     ids, hash_of = number.of(words)
-    mark = ids == 1
-    left = _to_next(mark)
-    first = ~mark & np.concatenate([[True], mark[:-1]])
+    apart = ids == 0
+    left = _to_next(apart)
+    first = ~apart & np.concatenate([[True], apart])[:-1]
     trigger = np.zeros(len(ids), bool)
     hashes = _phrase_hashes(hash_of[ids], overlap, 1)
     trigger[:len(hashes)] = hashes % np.uint64(period) == 0
@@ -96,10 +94,10 @@ def chunks(words: list[bytes], number: _Numbers, overlap: int, period: int) -> I
     starts = np.flatnonzero(first | trigger)
     head = first[starts]
     ends = starts + left[starts]
-    on = ~head[1:]  # the next chunk goes on the same piece
+    on = ~head[1:]  # the next chunk goes on the same text
     ends[:-1][on] = starts[1:][on] + overlap
     for a, b, h in zip(starts.tolist(), ends.tolist(), head.tolist()):
-        yield b" ".join(words[a:b]) if h else b". " + b" ".join(words[a:b])
+        yield b" ".join(words[a:b]) if h else b"... " + b" ".join(words[a:b])
 
 
 def dictionary(docs: DataFrame, group_col: str, text_col: str, overlap: int, period: int, none_group: str, stretch: int = 1 << 20, flush: int = 200_000) -> DataFrame:
@@ -108,7 +106,7 @@ def dictionary(docs: DataFrame, group_col: str, text_col: str, overlap: int, per
         number, held, waiting, size = _Numbers(), Counter(), defaultdict(list), Counter()
 
         def count(group: str) -> None:
-            words = words_and_marks(MARK.join(waiting.pop(group)))
+            words = words_and_marks(waiting.pop(group))
             size[group] = 0
             held.update((group, c) for c in chunks(words, number, overlap, period))
 
@@ -188,10 +186,10 @@ def phrase_counts(parse: DataFrame, size: int, overlap: int, frequent: np.ndarra
 
     def count(group: str, words: list[bytes], ids: np.ndarray, uses: np.ndarray, bits: np.ndarray | None) -> pa.RecordBatch | None:
         chunk = np.cumsum(ids == 0)
-        offset = np.arange(len(ids)) - np.concatenate([[0], np.flatnonzero(ids == 0) + 1])[chunk]  # in its chunk; a mark stands at 0
+        offset = np.arange(len(ids)) - np.concatenate([[0], np.flatnonzero(ids == 0) + 1])[chunk]  # in its chunk; GOES_ON stands at 0
         goes_on = np.zeros(chunk[-1] + 1, bool)
         goes_on[chunk[ids == 1]] = True
-        own = (_to_next(ids < 2) >= size) & (~goes_on[chunk] | (offset - 1 + size > overlap))
+        own = (_to_next(ids < 3) >= size) & (~goes_on[chunk] | (offset - 1 + size > overlap))
         if bits is not None:
             h = np.fromiter(map(crc32, words), np.uint64, len(words))[ids]
             place = _phrase_hashes(h, size - 1, crc32(group.encode())) % np.uint64(8 * len(bits))
@@ -237,7 +235,7 @@ def bit_table(phrases: DataFrame, bits: int) -> np.ndarray:
 
 
 def collocations(docs: DataFrame, group_col: str = "lang", text_col: str = "text", max_words: int = 4, min_count: int = 30, contained: int = 80, top: int | None = 2000,
-                 period: int = 16, none_group: str = "und", filter_bits: int = 1 << 26) -> DataFrame:
+                 period: int = 24, none_group: str = "und", filter_bits: int = 1 << 26) -> DataFrame:
     """One row per phrase: ``group_col, rank, phrase, a, l, r, n, score``.
 
     A candidate is a phrase of 2 to ``max_words`` words that occurs ``a >= min_count`` times in its group; overlapping occurrences

@@ -32,7 +32,7 @@ from vigil.llm.common import stored, text_bytes
 END = b"\n"
 WIDTHS = (8, 8, 16)  # classes, subclasses of a class, buckets of a subclass
 BUCKETS = 8 * 8 * 16
-ROWS = 1 << 13  # hashed rows of each layer
+ROWS = 1 << 15  # hashed rows of each layer
 FEATURES = 3
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -46,7 +46,7 @@ def _hashed(x: np.ndarray, salt: int) -> np.ndarray:
     x = (x + np.uint64(salt)) * _A
     x ^= x >> np.uint64(29)
     x *= _B
-    return (x >> np.uint64(64 - 13)).astype(np.int64)
+    return (x >> np.uint64(65 - ROWS.bit_length())).astype(np.int64)
 
 
 def history(words: np.ndarray) -> np.ndarray:
@@ -111,7 +111,7 @@ class Model:
     def _move(self, name: str, g: np.ndarray, rate: float) -> None:
         seen = self.seen[name]
         seen += g * g
-        self.w[name] -= np.float32(rate) * g / np.sqrt(seen + np.float32(1.0))
+        self.w[name] -= np.float32(rate) * g / np.sqrt(seen + np.float32(4.0))  # rare features move little
 
     def flat(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.w.values()])
@@ -175,7 +175,7 @@ def _mean_change(changes: DataFrame, fan_in: int = 16) -> np.ndarray | None:
     return np.concatenate([np.frombuffer(r["part"], np.float32) / max(1, r["tokens"]) for r in blocks]) if blocks else None
 
 
-def train(docs: DataFrame, bucket_counts: np.ndarray, text_col: str, rounds: int = 2, rate: float = 0.15, minibatch: int = 8192, block: int = 1 << 16) -> Model:
+def train(docs: DataFrame, bucket_counts: np.ndarray, text_col: str, rounds: int = 2, rate: float = 0.5, minibatch: int = 16384, block: int = 1 << 16) -> Model:
     """The model after ``rounds`` distributed updates, each over the texts of one slice."""
     model = Model(bucket_counts)
     spark = docs.sparkSession

@@ -86,12 +86,17 @@ def replicate(df: DataFrame, times: int, copy_col: str = "copy") -> DataFrame:
     return df.withColumn(copy_col, F.explode(F.sequence(F.lit(1), F.lit(times))))
 
 
+#: Positions that a row emits from one array.
+REPLAY_STRETCH = 4096
+
+
 def replay(df: DataFrame, index_col: str, total: int, n: int | Column, out_col: str = "i") -> DataFrame:
     """Rows i = 0..total-1 take row ``i mod n`` of an indexed set (wrap-around replay).
-    Each source row emits its own positions (idx, idx+n, idx+2n, ...) - a generator on the
-    row, no join and no cross product."""
+    Each source row emits its own positions (idx, idx+n, idx+2n, ...), in stretches of ``REPLAY_STRETCH``: generators
+    on the row, no join, no cross product and no array of all positions."""
     nn = n if isinstance(n, Column) else F.lit(int(n))
-    k = F.floor((F.lit(total) - 1 - F.col(index_col)) / nn)
-    positions = F.when(F.col(index_col) < F.lit(total),
-                       F.sequence(F.col(index_col), F.col(index_col) + k * nn, nn)).otherwise(F.array())
-    return df.withColumn(out_col, F.explode(positions.cast("array<long>")))
+    k = F.floor((F.lit(total) - 1 - F.col(index_col)) / nn)  # the last round that the row has, below 0 if none
+    rounds = F.when(k >= 0, F.sequence(F.lit(0).cast("long"), k, F.lit(REPLAY_STRETCH).cast("long"))).otherwise(F.expr("cast(array() as array<bigint>)"))
+    begun = df.withColumn("_round", F.explode(rounds))
+    inner = F.sequence(F.col("_round"), F.least(k, F.col("_round") + REPLAY_STRETCH - 1))
+    return begun.withColumn("_round", F.explode(inner)).withColumn(out_col, (F.col(index_col) + F.col("_round") * nn).cast("long")).drop("_round")

@@ -143,22 +143,26 @@ class LinearModel:
         rows = [(i + 1, float(w)) for i, w in enumerate(self.weights)]
         return spark.createDataFrame(rows, schema)
 
+    def base(self, neutral: float) -> Column:
+        """The margin of the neutral state."""
+        return F.lit(float(self.intercept) + float(neutral) * float(sum(self.weights)))
+
+    def attach(self, df: DataFrame, how: str = "inner") -> DataFrame:
+        """``df`` with the ``weight`` of its ``sensor``.  The weights table is broadcast only when the model is small enough."""
+        w = self.weights_frame(df.sparkSession)
+        if self.n <= BROADCAST_MAX_WEIGHTS:
+            w = F.broadcast(w)
+        return df.join(w, "sensor", how)
+
     @classmethod
     def from_spark_ml(cls, model) -> "LinearModel":
         """From a fitted ``pyspark.ml.classification.LogisticRegressionModel``."""
         return cls([float(x) for x in model.coefficients.toArray()], float(model.intercept))
 
 
-def with_weights(df: DataFrame, model: LinearModel, how: str = "inner") -> DataFrame:
-    """Attach w_s.  The weights table is broadcast only when the model is small enough."""
-    w = model.weights_frame(df.sparkSession)
-    if model.n <= BROADCAST_MAX_WEIGHTS:
-        w = F.broadcast(w)
-    return df.join(w, "sensor", how)
-
-
-def join_weights(df: DataFrame, model: LinearModel) -> DataFrame:
-    return with_weights(df, model)
+def join_weights(df: DataFrame, model) -> DataFrame:
+    """Attach w_s of a ``LinearModel`` or a ``blocks.BlockModel``."""
+    return model.attach(df)
 
 
 def status_of(margin: Column) -> Column:
@@ -166,9 +170,9 @@ def status_of(margin: Column) -> Column:
     return F.when(margin > 0, F.lit(ATTENTION)).otherwise(F.lit(ALL_OK))
 
 
-def score_intervals(events_iv: DataFrame, model: LinearModel, neutral: float,
+def score_intervals(events_iv: DataFrame, model, neutral: float,
                     counts: DataFrame | None = None) -> DataFrame:
-    """T3 + K4: one scored row per non-empty interval.
+    """T3 + K4: one scored row per non-empty interval, by a ``LinearModel`` or a ``blocks.BlockModel``.
 
     ``events_iv`` holds valid readings (sensor in 1..n) with ``interval_id``.  ``counts`` may
     supply the per-interval event count when it differs from the valid readings (raw lines,
@@ -186,26 +190,28 @@ def score_intervals(events_iv: DataFrame, model: LinearModel, neutral: float,
     tab = per_iv.select("interval_id", "n_events", F.coalesce("d", F.lit(0.0)).alias("d"),
                         F.lit(1).cast("long").alias("one"))
     cum = running_totals(tab, "interval_id", ["d", "one"])
-    base = float(model.intercept) + float(neutral) * float(sum(model.weights))
-    margin = F.lit(base) + F.col("d_cum")
+    cum = cum.withColumn("margin", model.base(neutral) + F.col("d_cum"))
+    margin = F.col("margin")
     return cum.select(
         "interval_id",
         F.col("one_cum").alias("interval_no"),
         "n_events",
-        margin.alias("margin"),
+        "margin",
         status_of(margin).alias("status"),
     )
 
 
-def interval_spine(counts: DataFrame, lo: Column | int | None = None, hi: Column | int | None = None) -> DataFrame:
+def interval_spine(counts: DataFrame, lo: Column | int | None = None, hi: Column | int | None = None, most_empty: int = 50_000_000) -> DataFrame:
     """Every interval between the first and last non-empty one, with ``n_events`` 0 for
-    the empty ones.  The spine is ``spark.range`` (distributed), bounded by two scalars."""
+    the empty ones.  The spine is ``spark.range`` (distributed), bounded by two scalars.  More than ``most_empty`` empty
+    intervals are an error that names the extremes: a single wrong time far from the others is the usual cause."""
     spark = counts.sparkSession
+    r = counts.agg(F.min("interval_id").alias("lo"), F.max("interval_id").alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    lo, hi = r["lo"] if lo is None else lo, r["hi"] if hi is None else hi
     if lo is None or hi is None:
-        r = counts.agg(F.min("interval_id").alias("lo"), F.max("interval_id").alias("hi")).first()
-        lo, hi = r["lo"], r["hi"]
-    if lo is None:
         return counts.select("interval_id", "n_events", F.lit(False).alias("empty")).limit(0)
+    if int(hi) - int(lo) + 1 - r["n"] > most_empty:
+        raise ValueError(f"{int(hi) - int(lo) + 1 - r['n']} empty intervals from {lo} to {hi}, more than {most_empty}")
     spine = spark.range(int(lo), int(hi) + 1).withColumnRenamed("id", "interval_id")
     out = spine.join(counts, "interval_id", "left")
     n = F.coalesce(F.col("n_events"), F.lit(0).cast("long"))

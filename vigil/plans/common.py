@@ -32,8 +32,12 @@ def n_sensors(events: DataFrame) -> int:
     return int(events.agg(F.max("user_id")).first()[0]) + 1
 
 
+def stand_in_intercept(n: int, neutral: float = NEUTRAL, offset: float = ATTENTION_OFFSET) -> float:
+    """-(neutral + offset) * (1 + 2 + ... + n)."""
+    return -(neutral + offset) * (n * (n + 1) / 2)
+
+
 def stand_in_model(n: int, neutral: float = NEUTRAL, offset: float = ATTENTION_OFFSET) -> LinearModel:
     """A fixed linear model over sensors 1..n: w_s = s, intercept = -(neutral + offset) * sum(w).
     margin > 0  <=>  the s-weighted mean of the current readings exceeds neutral + offset."""
-    w = [float(s) for s in range(1, n + 1)]
-    return LinearModel(w, -(neutral + offset) * sum(w))
+    return LinearModel([float(s) for s in range(1, n + 1)], stand_in_intercept(n, neutral, offset))

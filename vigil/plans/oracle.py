@@ -31,6 +31,8 @@ SELECT interval_id, CAST(interval_no AS BIGINT) AS interval_no, CAST(n_events AS
 FROM cum
 """
 
+ORACLE["interval_attention_blocks"] = ORACLE["interval_attention"]
+
 # ---------------------------------------------------------------- shared SQL fragments
 _EV = """ev AS (
   SELECT ts, CAST(user_id + 1 AS INTEGER) AS sensor, value, event_id AS seq, props, event_type,
@@ -469,3 +471,30 @@ WITH {EV_DAY},
 lastv AS (SELECT interval_id, sensor, arg_max(CAST(value AS DOUBLE) + 1.0, seq) AS v, 2 * count(*) AS n_readings FROM ev GROUP BY interval_id, sensor)
 SELECT interval_id, sensor, round(v, 5) AS value, CAST(n_readings AS BIGINT) AS n_readings FROM lastv
 """
+
+ORACLE["stream_count_windows"] = f"""
+WITH px AS (
+  SELECT vec_id, label, (CAST(unnest(p) AS DOUBLE) - 120.70756512369792) / 64.1500758911213 AS x, generate_subscripts(p, 1) AS i
+  FROM (SELECT vec_id, label, {PIX} AS p FROM embeddings)),
+{_DIST_FROM_PX},
+g AS (SELECT (row_number() OVER (ORDER BY vec_id) - 1) // 100 AS report, CASE WHEN label = predict THEN 1 ELSE 0 END AS c FROM pred),
+per AS (SELECT report, count(*) AS images, sum(c) AS correct FROM g GROUP BY report),
+cum AS (SELECT report, sum(images) OVER w AS images, sum(correct) OVER w AS correct FROM per
+        WINDOW w AS (ORDER BY report ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT CAST(report + 1 AS BIGINT) AS report_no, CAST(images AS BIGINT) AS images, CAST(correct AS BIGINT) AS correct, round(100.0 * correct / images, 4) AS pct
+FROM cum
+"""
+
+# The lines of the disturbed stream: sent in time (good or without a value), and sent again two weeks later.
+_SENT = f"""{EV_HOUR},
+chunked AS (SELECT *, CAST(floor(floor(epoch_us(ts) / 86400000000) / 7) AS BIGINT) AS chunk FROM ev),
+sent AS (
+  SELECT CASE WHEN interval_id % 7 = 3 THEN 'bad_type' ELSE 'good' END AS reason, chunk FROM chunked WHERE interval_id % 11 <> 5
+  UNION ALL SELECT 'late', chunk + 2 FROM chunked WHERE seq % 97 = 5 AND chunk + 2 <= (SELECT max(chunk) FROM chunked))"""
+
+ORACLE["stream_dead_letters"] = f"WITH {_SENT} SELECT reason, count(*) AS n FROM sent GROUP BY reason"
+
+ORACLE["stream_run_report"] = f"""
+WITH {_SENT}
+SELECT count(DISTINCT chunk) AS n_batches, count(*) + 1 AS n_rows, count(*) + 1 AS n_lines, count(*) FILTER (reason = 'bad_type') AS n_rejected, true AS busy FROM sent
+"""

@@ -21,10 +21,11 @@ from vigil.operators import images as oi
 from vigil.operators import intervals as iv
 from vigil.operators import metrics as om
 from vigil.operators import vectors as ov
+from vigil.operators.blocks import BlockModel
 from vigil.operators.scan import global_index, running_totals
 from vigil.plans.common import (CROP_HW, CROP_OUT, DAY, HOUR, IMAGE_HWC, NEUTRAL, PROGRESS_EVERY,
-                                REPLICAS, TOPK, EMB_WIDTH, GEN_SENSORS, FIRST_BATCH, n_sensors, stand_in_model, table)
-from vigil.session import materialize
+                                REPLICAS, TOPK, EMB_WIDTH, GEN_SENSORS, FIRST_BATCH, n_sensors, stand_in_intercept, stand_in_model, table)
+from vigil.session import materialize, scratch_dir
 from vigil.sources.images import bytes_to_ints, byte_at, with_class_rank
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +88,18 @@ def interval_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.round("margin", 4).alias("margin"), "status")
 
 
+@register("interval_attention_blocks")
+def interval_attention_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q1 with the model as a table: the weights (w_s = s) are written as blocks of sensors, read back and joined by block."""
+    raw, ev = _events(spark, sf_dir, DAY)
+    n = n_sensors(raw)
+    path = scratch_dir(spark, "weights")
+    weights = spark.range(1, n + 1).select(F.col("id").alias("sensor"), F.col("id").cast("double").alias("weight"))
+    BlockModel.write(weights, path, size=64)
+    out = iv.score_intervals(ev, BlockModel.read(spark, path, stand_in_intercept(n)), NEUTRAL)
+    return out.select("interval_id", "interval_no", "n_events", F.round("margin", 4).alias("margin"), "status")
+
+
 @register("parse_events")
 def parse_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q2 (P5 P10 P1): encode every event as a wire line and parse it back."""

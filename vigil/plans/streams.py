@@ -5,12 +5,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from vigil.functions import events as fe
 from vigil.functions import images as fi
 from vigil.operators import intervals as iv
 from vigil.operators import metrics as om
-from vigil.plans.common import CROP_HW, DAY, HOUR, IMAGE_HWC, NEUTRAL, n_sensors, stand_in_model, table
+from vigil.plans.common import CROP_HW, DAY, HOUR, IMAGE_HWC, NEUTRAL, PROGRESS_EVERY, n_sensors, stand_in_model, table
 from vigil.operators.models import network_udf
 from vigil.plans.queries import DISTANCE_DECIMALS, line_kinds, register
 from vigil.session import materialize, scratch_dir
@@ -19,6 +20,8 @@ from vigil.sources.records import placed_lines
 from vigil.streaming import images as si
 from vigil.streaming import keyed
 from vigil.streaming import scoring as ss
+from vigil.streaming.letters import dead_letters, good_readings, start_line_sorting
+from vigil.streaming.report import RunReport
 
 CHUNK_DAYS = 7      # one group of input files per 7 days of events (one micro-batch each)
 FILES_PER_CHUNK = 2
@@ -183,6 +186,50 @@ def stream_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("n", "correct", F.round(F.lit(100.0) * F.col("correct") / F.col("n"), 4).alias("pct"))
 
 
+@register("stream_count_windows")
+def stream_count_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A13 on a stream: progress of each 100 images in arrival order, over two runs of one query."""
+    e = table(spark, sf_dir, "embeddings")
+    px = e.select("vec_id", "label", fi.quantize(F.transform("embedding", lambda x: x.cast("double"))).alias("pixels"))
+    classes, cents = si.fitted_model_literals(om.class_means(px.select("label", fi.normalise(F.col("pixels"), fi.CIFAR_MEAN, fi.CIFAR_STD).alias("features"))))
+    base, middle = scratch_dir(spark, "windows"), e.agg(F.expr("(min(vec_id) + max(vec_id)) div 2")).first()[0]  # one number
+    for number, part in enumerate((px.where(F.col("vec_id") <= middle), px.where(F.col("vec_id") > middle))):
+        lines = part.repartitionByRange(FILES_PER_CHUNK, "vec_id").sortWithinPartitions("vec_id").select(fi.encode_image_a(F.col("label"), F.col("pixels")).alias("value"))
+        lines.write.text(f"{base}/in/{number:05d}")
+        si.start_count_windows(placed_lines(spark, f"{base}/in"), classes, cents, PROGRESS_EVERY, f"{base}/out", f"{base}/ckpt",
+                               score=lambda x: om.nearest_mean_scores(x, F.lit(cents), DISTANCE_DECIMALS)).awaitTermination()
+    return si.count_window_report(spark, f"{base}/out").select("report_no", "images", "correct", F.round("pct", 4).alias("pct"))
+
+
+def _sort_lines(spark: SparkSession, sf_dir: str) -> tuple[str, StreamingQuery]:
+    """Sorts the disturbed lines by fate, a week per micro-batch; where they are, and the query."""
+    raw = table(spark, sf_dir, "events")
+    base = scratch_dir(spark, "letters")
+    write_chunks(disturbed_lines(iv.events_from_table(raw)), f"{base}/in")
+    q = start_line_sorting(text_stream(spark, f"{base}/in", FILES_PER_CHUNK), n_sensors(raw), HOUR, DAY, f"{base}/out", f"{base}/ckpt")
+    q.awaitTermination()
+    return f"{base}/out", q
+
+
+@register("stream_dead_letters")
+def stream_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P1 and K3 on a stream: good lines and dead letters (rejected, late) in two tables, counted by reason."""
+    out, _ = _sort_lines(spark, sf_dir)
+    good = good_readings(spark, out).select(F.lit("good").alias("reason"))
+    return good.unionByName(dead_letters(spark, out).select("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("stream_run_report")
+def stream_run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10, A11, T8 on a stream: the totals of a run from the rows that a listener writes per micro-batch."""
+    with RunReport(spark) as report:
+        _, q = _sort_lines(spark, sf_dir)
+        report.wait_for(q)
+    rows = report.batches().where(F.col("run_id") == str(q.runId))
+    return rows.agg(F.count_if(F.col("n_rows") > 0).alias("n_batches"), F.sum("n_rows").alias("n_rows"), F.sum("n_lines").alias("n_lines"), F.sum("n_rejected").alias("n_rejected"),
+                    (F.sum("busy_ms") > 0).alias("busy"))
+
+
 CHANNEL_MEANS, CHANNEL_STDS = (120.0, 122.0, 124.0, 126.0), (60.0, 62.0, 64.0, 66.0)
 IDLE_REPORT = "spark.sql.streaming.noDataProgressEventInterval"
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.operators.scan import global_index
+from vigil.sources.records import record_file
 
 # Fixed value: CIFAR10 binary record = 1 label byte + 3 x 1024 planar bytes (R, G, B).
 CIFAR_RECORD = 1 + 3 * 32 * 32
@@ -43,13 +44,9 @@ def binary_records(spark: SparkSession, path: str, record_len: int = CIFAR_RECOR
 
     Default: each file is read whole and cut in the JVM (path, record, data); one task per
     file, for sets of many moderate files (a row holds at most 2 GB).  ``splittable=True``
-    uses Hadoop's fixed-length input format (``binaryRecords``), which splits one large file
-    over many tasks at the price of handing each record through Python once (data only)."""
+    reads byte ranges of large files in many tasks (``records.record_file``)."""
     if splittable:
-        from pyspark.sql import types as T
-
-        rdd = spark.sparkContext.binaryRecords(path, record_len).map(lambda b: (bytes(b),))
-        return spark.createDataFrame(rdd, T.StructType([T.StructField("data", T.BinaryType())]))
+        return record_file(spark, path, record_len, label_bytes=0).select("path", "record", F.col("planar").alias("data"))
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return split_records(files, "content", record_len)
 

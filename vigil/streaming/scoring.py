@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vigil.operators.events import parse_event_lines
-from vigil.operators.intervals import LinearModel, status_of, with_weights
+from vigil.operators.intervals import LinearModel, status_of
 from vigil.streaming import keyed
 
 
@@ -41,7 +41,6 @@ class IntervalLedger:
     def __init__(self, model: LinearModel, neutral: float, out_dir: str, totals_dir: str):
         self.model, self.neutral = model, float(neutral)
         self.out_dir, self.totals_dir = out_dir.rstrip("/"), totals_dir.rstrip("/")
-        self.base = float(model.intercept) + self.neutral * float(sum(model.weights))
         self._held: tuple[int, tuple] | None = None  # batch id, totals after that batch
 
     def _totals(self, spark: SparkSession, batch_id: int) -> tuple:
@@ -58,7 +57,7 @@ class IntervalLedger:
         late = Observation(f"late_{batch_id}")
         batch = batch.observe(late, F.coalesce(F.sum(F.when(kind == keyed.LATE, F.col("n_lines"))), F.lit(0)).alias("n"))
         change = F.col("weight") * (F.col("value") - F.coalesce("prev", F.lit(self.neutral)))
-        per = with_weights(batch, self.model, "left").where(kind != keyed.LATE).groupBy("interval_id").agg(
+        per = self.model.attach(batch, "left").where(kind != keyed.LATE).groupBy("interval_id").agg(
             F.coalesce(F.sum(F.when(kind == keyed.READING, change)), F.lit(0.0)).alias("d"),
             F.sum(F.when(kind == keyed.INTERVAL, n)).alias("n_events"), F.sum(F.when(kind == keyed.INTERVAL, F.col("n_lines"))).alias("n_lines"),
             F.sum(F.when(kind == keyed.EMPTY, 1).when(kind == keyed.GAP, n)).alias("n_empty"))
@@ -66,7 +65,7 @@ class IntervalLedger:
         per = per.observe(totals, F.coalesce(F.sum("d"), F.lit(0.0)).alias("d"), F.count("n_lines").alias("n"), F.coalesce(F.sum("n_empty"), F.lit(0)).alias("empty"))
         upto = Window.orderBy("interval_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         empty = F.col("n_lines").isNull()
-        margin = F.lit(self.base + d0) + F.sum("d").over(upto)
+        margin = self.model.base(self.neutral) + F.lit(d0) + F.sum("d").over(upto)
         rows = per.select("interval_id", (F.count("n_lines").over(upto) + F.lit(n0)).alias("interval_no"), "n_events", "n_lines", margin.alias("margin"), "n_empty")
         rows = rows.select("interval_id", *[F.when(~empty, F.col(c)).alias(c) for c in ("interval_no", "margin")], F.when(~empty, status_of(F.col("margin"))).alias("status"),
                            *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_events", "n_lines", "n_empty")])

@@ -87,3 +87,20 @@ def test_masked_overlaps_and_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string, base string")
     assert find_personal_data(none).count() == 0 and sanitise(none).columns == none.columns
     assert set(base_spans(F.lit("x"))) == set(KINDS)
+
+
+def test_spans_of_long_texts_in_proportion(spark):
+    """A million words and a hundred thousand addresses in one text each."""
+    import time
+
+    from vigil.llm.pii import _PATTERNS, _WORD, match_spans
+
+    words = spark.range(1).select(F.expr("array_join(transform(sequence(1, 1000000), i -> concat('w', i)), ' ')").alias("text"))
+    mails = spark.range(1).select(F.expr("array_join(transform(sequence(1, 100000), i -> concat('a', i, '@b.org')), ', ')").alias("text"))
+    began = time.time()
+    for df, pattern, n in ((words, _WORD, 1_000_000), (mails, _PATTERNS["email"], 100_000)):
+        spans = df.select("text", match_spans(F.col("text"), pattern).alias("s"))
+        got = spans.select(F.size("s").alias("n"), F.expr("forall(slice(s, 1, 100), x -> substring(text, cast(x.start + 1 as int), cast(x.end - x.start as int)) = x.value)").alias("right"),
+                           (F.element_at("s", -1)["end"] == F.length("text")).alias("whole")).first()
+        assert tuple(got) == (n, True, True)
+    assert time.time() - began < 120

@@ -37,23 +37,49 @@ _WORD = r"[\p{L}\p{N}]++(?:['’-][\p{L}\p{N}]++)*+"
 _BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])?"
 
 
+#: Steps of a block in which spans are located.
+_BLOCK = 512
+
+
 def _no_spans() -> Column:
     return F.expr("cast(array() as array<struct<start:bigint,end:bigint,value:string>>)")
 
 
-def match_spans(text: Column, pattern: str) -> Column:
-    """``array<struct<start, end, value>>`` of the leftmost non-overlapping matches, in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.slice(F.split(text, pattern, -1), 1, F.greatest(F.size(found), F.lit(0)))
-    steps = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).cast("long").alias("gap"), F.length(m).cast("long").alias("size"), m.alias("value")))
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _located(steps: Column) -> Column:
+    """Spans of (gap before, size, value) steps.  An append copies its array, so sums run within blocks of ``_BLOCK`` steps
+    and over the blocks, and the work grows in proportion to the text."""
+    zero, length = F.lit(0).cast("long"), lambda x: x["gap"] + x["size"]
+
+    def ahead(acc: Column, block: Column) -> Column:
+        return F.struct((acc["at"] + F.aggregate(block, zero, lambda n, x: n + length(x))).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
 
     def add(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         span = F.struct(start.alias("start"), (start + x["size"]).alias("end"), x["value"].alias("value"))
         return F.struct((start + x["size"]).alias("at"), F.array_append(acc["out"], span).alias("out"))
 
-    spans = F.aggregate(steps, F.struct(F.lit(0).cast("long").alias("at"), _no_spans().alias("out")), add, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), spans).otherwise(_no_spans())
+    def within(block: Column, at: Column) -> Column:
+        return F.aggregate(block, F.struct(at.alias("at"), _no_spans().alias("out")), add, lambda acc: acc["out"])
+
+    def all_blocks(blocks: Column) -> Column:
+        starts = F.aggregate(blocks, F.struct(zero.alias("at"), F.expr("cast(array() as array<bigint>)").alias("out")), ahead, lambda acc: acc["out"])
+        return F.flatten(F.zip_with(blocks, starts, within))
+
+    cut = lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / _BLOCK).cast("int")), lambda b: F.slice(s, b * _BLOCK + 1, F.lit(_BLOCK)))
+    return F.when(F.size(steps) > 0, _let(_let(steps, cut), all_blocks)).otherwise(_no_spans())
+
+
+def match_spans(text: Column, pattern: str) -> Column:
+    """``array<struct<start, end, value>>`` of the leftmost non-overlapping matches, in code points."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.slice(F.split(text, pattern, -1), 1, F.greatest(F.size(found), F.lit(0)))
+    steps = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).cast("long").alias("gap"), F.length(m).cast("long").alias("size"), m.alias("value")))
+    return F.when(text.rlike(pattern), _let(steps, _located)).otherwise(_no_spans())
 
 
 def _digits(value: Column) -> Column:
@@ -183,5 +209,8 @@ def masked(text: Column, spans: Column) -> Column:
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
     """The rows and columns of ``docs`` with personal data and disclosing terms masked in the text."""
     columns = tuple(c for c in docs.columns if c != id_col)
-    found = find_personal_data(docs, id_col=id_col, text_col=text_col, keep=columns, prefix="_", **thresholds)
-    return found.select(*[masked(F.col(c), F.col("_spans")).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    prefix = "_"
+    while {f"{prefix}base", f"{prefix}spans"} & set(docs.columns):
+        prefix += "_"
+    found = find_personal_data(docs, id_col=id_col, text_col=text_col, keep=columns, prefix=prefix, **thresholds)
+    return found.select(*[masked(F.col(c), F.col(f"{prefix}spans")).alias(c) if c == text_col else F.col(c) for c in docs.columns])

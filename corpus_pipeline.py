@@ -2,7 +2,8 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as Parquet and read again
 as the next one's ``docs``.  All but the last return the columns of ``docs``.  Rows are told apart by id and text,
-so repeated and null ids are safe; identical rows fall under the same decision.
+so repeated and null ids are safe; identical rows fall under the same decision.  Columns that a stage works with get
+names that ``docs`` lacks, so further columns of any name are kept as they are.
 """
 
 from __future__ import annotations
@@ -18,33 +19,42 @@ from vigil.llm.pii import sanitise
 from vigil.llm.quality import judge_quality
 from vigil.llm.simhash import simhash_components
 
-KEY = "_key"
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as make it a column that ``docs`` lacks."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    return name
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with the struct of id and text hash that tells rows apart."""
-    return docs.withColumn(KEY, F.struct(F.col("doc_id"), F.xxhash64("text").alias("text_hash")))
+def _key(docs: DataFrame) -> tuple[str, DataFrame]:
+    """A free name, and ``docs`` with the struct of id and text hash, which tells rows apart, in it."""
+    key = _free(docs, "_key")
+    return key, docs.withColumn(key, F.struct(F.col("doc_id"), F.xxhash64("text").alias("text_hash")))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
-    return judge_quality(docs, score_col="_score", keep_col="_keep", labels=table(spark, sf_dir, "labels")).where("_keep").select(docs.columns)
+    score, keep = _free(docs, "_score"), _free(docs, "_keep")
+    judged = judge_quality(docs, score_col=score, keep_col=keep, labels=table(spark, sf_dir, "labels"))
+    return judged.where(F.col(keep)).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays, the one of the smallest id."""
-    groups = simhash_components(_keyed(docs), shingle=4, max_bits=4, id_col=KEY).select(KEY, "component_id")
-    first = groups.where(F.col(KEY) == F.col("component_id")).groupBy(KEY).agg(F.count(F.lit(1)).alias("_n"))
-    kept = _keyed(docs).join(stored(first, "pipeline-first"), KEY)
-    once, again = kept.where("_n = 1"), kept.where("_n > 1").dropDuplicates([KEY])
+    key, keyed = _key(docs)
+    groups = simhash_components(keyed.select(key, "text"), shingle=4, max_bits=4, id_col=key).select(key, "component_id")
+    times = _free(keyed, "_n")
+    first = groups.where(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count(F.lit(1)).alias(times))
+    kept = keyed.join(stored(first, "pipeline-first"), key)
+    once, again = kept.where(F.col(times) == 1), kept.where(F.col(times) > 1).dropDuplicates([key])
     return once.unionByName(again).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    keyed = _keyed(docs)
-    found = contaminated(keyed, table(spark, sf_dir, "benchmark"), min_match=5, coverage=0.8, id_col=KEY, item_id="item_id")
-    return keyed.join(stored(found.select(KEY).distinct(), "pipeline-contaminated"), KEY, "left_anti").select(docs.columns)
+    key, keyed = _key(docs)
+    found = contaminated(keyed.select(key, "text"), table(spark, sf_dir, "benchmark"), min_match=5, coverage=0.8, id_col=key, item_id="item_id")
+    return keyed.join(stored(found.select(key).distinct(), "pipeline-contaminated"), key, "left_anti").select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

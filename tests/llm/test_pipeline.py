@@ -15,7 +15,7 @@ def test_stages_match_brute_force(spark):
     extra = [(900_001, None, "en", "s", 0), (900_002, "", "en", "s", 0), (None, "a clean text of a few words that is by the way for all of you", "en", "s", 9),
              (900_003, "mail me at some.one@mail.example.com or call +1 (212) 555-0100 for the rest of it", "en", "s", 9), (900_003, "mail me at some.one@mail.example.com or call +1 (212) 555-0100 for the rest of it", "en", "t", 9),
              (900_004, " ".join(bench[0][len(bench[0]) // 2:] + bench[0][:len(bench[0]) // 2]) + " and the rest of the text is by an author", "en", "s", 9)]
-    docs = docs.unionByName(spark.createDataFrame(extra, docs.schema)).withColumnRenamed("source", "source")
+    docs = docs.unionByName(spark.createDataFrame(extra, docs.schema))
     clean = cp.quality(spark, docs, d)
     assert clean.columns == docs.columns
     kept = rows_of(clean)
@@ -59,3 +59,24 @@ def test_empty(spark):
     for _, stage in cp.STAGES:
         docs = stage(spark, docs, d)
     assert docs.count() == 0
+
+
+def test_clashing_columns_are_kept(spark):
+    d = "/root/testdata/sf0.001"
+    names = ["_key", "_n", "_score", "_keep", "_base", "_spans", "kept", "__key", "text_hash"]
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    marked = docs.selectExpr("*", *[f"concat('{n}', doc_id) AS `{n}`" for n in names])
+    for (_, stage), last in zip(cp.STAGES, [False] * 4 + [True]):
+        plain, marked = stage(spark, docs, d), stage(spark, marked, d)
+        if last:
+            break
+        assert marked.columns == plain.columns + names
+        rows = marked.collect()
+        assert rows_of(marked) == rows_of(plain)
+        assert all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+        docs = plain
+    assert rows_count(marked) == rows_count(plain)
+
+
+def rows_count(df):
+    return sorted((r.doc_id, r.start, r.length) for r in df.select("doc_id", "start", "length").collect())

@@ -37,7 +37,7 @@ def test_absent_sensors_weigh_nothing(spark):
     model = stored_model(spark, [(2, 3.0), (9, 1.0)], 1.0, 4)
     assert spark.range(1).select(model.base(2.0)).first()[0] == 1.0 + 2.0 * 4.0
     got = model.attach(spark.createDataFrame([(s, 0) for s in (1, 2, 8, 9, 40)], "sensor int, interval_id long"), "left").collect()
-    assert {r["sensor"]: r["weight"] for r in got} == {1: 0.0, 2: 3.0, 8: 0.0, 9: 1.0, 40: None}
+    assert {r["sensor"]: r["weight"] for r in got} == {1: 0.0, 2: 3.0, 8: 0.0, 9: 1.0, 40: 0.0}
 
 
 def test_a_million_sensors_without_a_list(spark):

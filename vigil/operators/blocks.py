@@ -45,10 +45,12 @@ class BlockModel:
         total = self.table.agg(F.coalesce(F.sum(F.aggregate("weights", F.lit(0.0), lambda a, w: a + w)), F.lit(0.0)))
         return F.lit(float(self.intercept)) + F.lit(float(neutral)) * total.scalar()
 
-    def attach(self, df: DataFrame, how: str = "inner") -> DataFrame:
-        """``df`` with the ``weight`` of its ``sensor``; the rows of a block are dealt to ``parts`` parts and its weights copied to each."""
+    def attach(self, df: DataFrame, how: str = "left") -> DataFrame:
+        """``df`` with the ``weight`` of its ``sensor``, 0 if the table lacks it (so every row stays, whatever ``how``); the rows of a
+        block are dealt to ``parts`` parts and its weights copied to each."""
         block, part = F.expr(f"cast((sensor - 1) div {self.size} as bigint)"), F.pmod(F.xxhash64("sensor", "interval_id"), F.lit(self.parts)).cast("int")
         copies = self.table.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(self.parts - 1))))
         keyed = df.withColumn("block", block).withColumn("_part", part)
-        out = keyed.join(copies, ["block", "_part"], how)
-        return out.withColumn("weight", F.get("weights", F.pmod(F.col("sensor") - 1, F.lit(self.size)).cast("int"))).drop("block", "_part", "weights")
+        out = keyed.join(copies, ["block", "_part"], "left")
+        weight = F.get("weights", F.pmod(F.col("sensor") - 1, F.lit(self.size)).cast("int"))
+        return out.withColumn("weight", F.coalesce(weight, F.lit(0.0))).drop("block", "_part", "weights")

@@ -7,8 +7,9 @@ are stored with how often the parse uses them.  Phrases are counted inside the d
 chunks that share a trigger the earlier one counts the phrases that lie wholly inside it; a chunk that goes on a text says
 so and leaves those out.
 
-Phrases of m words are counted only where both phrases of m - 1 words inside are frequent.  That test reads a bit table of
-fixed size, which may let others through but misses none; the counts decide.
+Before phrases are told apart as text, their hashes are counted, a size at a time: phrases of m words only where both
+phrases of m - 1 words inside may be frequent.  Hashes that are frequent go into a bit table of fixed size, which may let
+other phrases through but misses none.  Phrases that all tables let through are then counted as text, and these counts decide.
 """
 
 from __future__ import annotations
@@ -140,10 +141,16 @@ def _distinct_phrases(ids: np.ndarray, at: np.ndarray, size: int, weight: np.nda
     code, kinds = ids[at], int(ids.max()) + 1
     for j in range(1, size):
         code = np.unique(code, return_inverse=True)[1].astype(np.int64) * kinds + ids[at + j]
+    first, sums = _sums(code, weight)
+    return at[first], sums
+
+
+def _sums(code: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each distinct code, and the sum of its weights."""
     order = np.argsort(code, kind="stable")
     code = code[order]
-    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-    return at[order[first]], np.add.reduceat(weight[order], first)
+    begins = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    return order[begins], np.add.reduceat(weight[order], begins)
 
 
 PACKED = "group string, words array<binary>, ids binary, uses binary"
@@ -177,65 +184,94 @@ def packed(parse: DataFrame, together: int = 8 << 20) -> DataFrame:
     return parse.mapInArrow(run, PACKED)
 
 
-def phrase_counts(parse: DataFrame, size: int, overlap: int, frequent: np.ndarray | None) -> DataFrame:
-    """``group, phrase`` (binary), ``f``: counts of the phrases of ``size`` words over a packed dictionary.
+class _Row:
+    """A row of ``PACKED``: which phrases its chunks count, and how often."""
 
-    With ``frequent`` (a bit table) only phrases whose two parts of one word less are in it are counted.  For
-    single words a row with an empty phrase holds the number of all words of the group."""
-    shared = parse.sparkSession.sparkContext.broadcast(frequent) if frequent is not None else None  # of fixed size
+    def __init__(self, batch: pa.RecordBatch, i: int, overlap: int):
+        self.group, self.words, self.overlap = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), overlap
+        self.ids = np.frombuffer(batch.column(2)[i].as_buffer(), np.int32).astype(np.int64)
+        self.chunk = np.cumsum(self.ids == 0)
+        self.uses = np.frombuffer(batch.column(3)[i].as_buffer(), np.int64)
+        self.offset = np.arange(len(self.ids)) - np.concatenate([[0], np.flatnonzero(self.ids == 0) + 1])[self.chunk]  # in its chunk; GOES_ON stands at 0
+        self.goes_on = np.zeros(self.chunk[-1] + 1, bool)
+        self.goes_on[self.chunk[self.ids == 1]] = True
+        self.left = _to_next(self.ids < 3)
+        self.hash = np.fromiter(map(crc32, self.words), np.uint64, len(self.words))[self.ids]
 
-    def count(group: str, words: list[bytes], ids: np.ndarray, uses: np.ndarray, bits: np.ndarray | None) -> pa.RecordBatch | None:
-        chunk = np.cumsum(ids == 0)
-        offset = np.arange(len(ids)) - np.concatenate([[0], np.flatnonzero(ids == 0) + 1])[chunk]  # in its chunk; GOES_ON stands at 0
-        goes_on = np.zeros(chunk[-1] + 1, bool)
-        goes_on[chunk[ids == 1]] = True
-        own = (_to_next(ids < 3) >= size) & (~goes_on[chunk] | (offset - 1 + size > overlap))
-        if bits is not None:
-            h = np.fromiter(map(crc32, words), np.uint64, len(words))[ids]
-            place = _phrase_hashes(h, size - 1, crc32(group.encode())) % np.uint64(8 * len(bits))
-            known = ((bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-            both = np.zeros(len(ids), bool)
-            if len(known) > 1:
-                both[:len(known) - 1] = known[:-1] & known[1:]
-            own &= both
-        at = np.flatnonzero(own)
-        if not len(at):
-            return None
-        weight = uses[chunk[at]]
-        rows, sums = _distinct_phrases(ids, at, size, weight)
-        phrases = [b" ".join([words[i] for i in row]) for row in ids[rows[:, None] + np.arange(size)].tolist()]
-        if size == 1:
-            phrases, sums = phrases + [b""], np.append(sums, weight.sum())
-        return pa.RecordBatch.from_arrays([pa.array([group] * len(phrases), pa.string()), pa.array(phrases, pa.binary()), pa.array(sums, pa.int64())], names=["group", "phrase", "f"])
+    def hashes(self, size: int) -> np.ndarray:
+        return _phrase_hashes(self.hash, size, crc32(self.group.encode()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value if shared is not None else None
-        for b in batches:
-            for i in range(b.num_rows):
-                ids, uses = (np.frombuffer(b.column(c)[i].as_buffer(), t) for c, t in ((2, np.int32), (3, np.int64)))
-                out = count(b.column(0)[i].as_py(), b.column(1)[i].as_py(), ids.astype(np.int64), uses, bits)
-                if out is not None:
-                    yield out
+    def known(self, size: int, bits: np.ndarray) -> np.ndarray:
+        """Whether the phrase at each position is in the bit table; False where none fits."""
+        place, out = self.hashes(size) & np.uint64(8 * len(bits) - 1), np.zeros(len(self.ids), bool)
+        out[:len(place)] = (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1
+        return out
+
+    def own(self, size: int) -> np.ndarray:
+        """Whether a phrase begins at each position that its chunk counts."""
+        return (self.left >= size) & (~self.goes_on[self.chunk] | (self.offset - 1 + size > self.overlap))
 
-    return parse.mapInArrow(run, "group string, phrase binary, f bigint").groupBy("group", "phrase").agg(F.sum("f").alias("f"))
+    def weight(self, at: np.ndarray) -> np.ndarray:
+        return self.uses[self.chunk[at]]
 
 
-def bit_table(phrases: DataFrame, bits: int) -> np.ndarray:
-    """The bit table of ``group, phrase``: ``bits`` bits at any number of phrases."""
+def hash_counts(parse: DataFrame, size: int, overlap: int, frequent: np.ndarray | None) -> DataFrame:
+    """``h, f``: counts by hash of the phrases of ``size`` words over a packed dictionary, with ``frequent`` (a bit
+    table) of those whose two parts of one word less are in it."""
+    shared = parse.sparkSession.sparkContext.broadcast(frequent) if frequent is not None else None  # of fixed size
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [int(_phrase_hashes(np.fromiter(map(crc32, ws := p.split()), np.uint64, len(ws)), len(ws), crc32(g.encode()))[0]) % bits + 1 for g, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["bit"])
-
-    rows = phrases.mapInArrow(run, "bit bigint").groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+            for i in range(b.num_rows):
+                row = _Row(b, i, overlap)
+                own = row.own(size)
+                if shared is not None:
+                    known = row.known(size - 1, shared.value)
+                    own &= known & np.append(known[1:], False)
+                at = np.flatnonzero(own)
+                if len(at):
+                    h = row.hashes(size)[at].view(np.int64)
+                    first, sums = _sums(h, row.weight(at))
+                    yield pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(sums)], names=["h", "f"])
+
+    return parse.mapInArrow(run, "h bigint, f bigint").groupBy("h").agg(F.sum("f").alias("f"))
+
+
+def bit_table(hashes: DataFrame, bits: int) -> np.ndarray:
+    """The bit table of ``h``: ``bits`` bits (a power of two) at any number of hashes."""
+    bit = F.col("h").bitwiseAND(F.lit(bits - 1).cast("long")) + 1
+    rows = hashes.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
     table = np.zeros(bits // 8, np.uint8)
     for r in rows.collect():  # bits / 32768 rows at most
         table[(r["bucket"] - 1) * 4096:r["bucket"] * 4096] = np.frombuffer(r["bits"], np.uint8)
     return table
 
 
+def phrase_counts(parse: DataFrame, overlap: int, tables: list[np.ndarray]) -> DataFrame:
+    """``group, phrase`` (binary), ``size, f``: exact counts of the phrases of 1, 2, ... words that the bit table of their
+    size lets through.  A row of size 0 with an empty phrase holds the number of all words of the group."""
+    shared = parse.sparkSession.sparkContext.broadcast(tables)  # of fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                row = _Row(b, i, overlap)
+                phrases, sizes, counts = [b""], [0], [int(row.weight(np.flatnonzero(row.own(1))).sum())]
+                for size, bits in enumerate(shared.value, 1):
+                    at = np.flatnonzero(row.own(size) & row.known(size, bits))
+                    if len(at):
+                        first, sums = _distinct_phrases(row.ids, at, size, row.weight(at))
+                        phrases += [b" ".join([row.words[w] for w in ws]) for ws in row.ids[first[:, None] + np.arange(size)].tolist()]
+                        sizes += [size] * len(sums)
+                        counts += sums.tolist()
+                yield pa.RecordBatch.from_arrays([pa.array([row.group] * len(sizes), pa.string()), pa.array(phrases, pa.binary()), pa.array(sizes, pa.int32()), pa.array(counts, pa.int64())],
+                                                 names=["group", "phrase", "size", "f"])
+
+    return parse.mapInArrow(run, "group string, phrase binary, size int, f bigint").groupBy("group", "phrase", "size").agg(F.sum("f").alias("f"))
+
+
 def collocations(docs: DataFrame, group_col: str = "lang", text_col: str = "text", max_words: int = 4, min_count: int = 30, contained: int = 80, top: int | None = 2000,
-                 period: int = 24, none_group: str = "und", filter_bits: int = 1 << 26) -> DataFrame:
+                 period: int = 24, none_group: str = "und", filter_bits: int = 1 << 25) -> DataFrame:
     """One row per phrase: ``group_col, rank, phrase, a, l, r, n, score``.
 
     A candidate is a phrase of 2 to ``max_words`` words that occurs ``a >= min_count`` times in its group; overlapping occurrences
@@ -249,21 +285,14 @@ def collocations(docs: DataFrame, group_col: str = "lang", text_col: str = "text
         raise ValueError("phrases of two words or more are needed")
     overlap = max_words - 1
     parse = stored(packed(dictionary(docs, group_col, text_col, overlap, period, none_group)), "phrases-dictionary")
-    levels, frequent = [], None
+    tables: list[np.ndarray] = []
     for size in range(1, max_words + 1):
-        counted = phrase_counts(parse, size, overlap, frequent).where((F.col("f") >= min_count) | (F.length("phrase") == 0))
-        counted = stored(counted.select("group", F.col("phrase").cast("string").alias("phrase"), F.lit(size).alias("size"), "f"), f"phrases-{size}")
-        levels.append(counted)
-        if size < max_words:
-            frequent = bit_table(counted.where((F.col("phrase") != "") & (F.col("f") >= min_count)).select("group", F.col("phrase").cast("binary").alias("phrase")), filter_bits)
-
-    words = levels[0].where("phrase = ''").select("group", F.col("f").alias("n"))
-    known = levels[0].where("phrase <> ''")
-    for level in levels[1:]:
-        known = known.unionByName(level)
-    candidates = levels[1]
-    for level in levels[2:]:
-        candidates = candidates.unionByName(level)
+        counted = hash_counts(parse, size, overlap, tables[-1] if tables else None)
+        tables.append(bit_table(counted.where(F.col("f") >= min_count).select("h"), filter_bits))
+    counts = phrase_counts(parse, overlap, tables).where((F.col("f") >= min_count) | (F.col("size") == 0))
+    counts = stored(counts.select("group", F.col("phrase").cast("string").alias("phrase"), "size", "f"), "phrases-counts")
+    words = counts.where("size = 0").select("group", F.col("f").alias("n"))
+    known, candidates = counts.where(F.col("size").between(1, max_words - 1)), counts.where("size > 1")
 
     cuts = candidates.select("group", "phrase", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
     cuts = cuts.withColumn("first", F.expr("substring_index(phrase, ' ', k)")).withColumn("rest", F.expr("substring(phrase, length(first) + 2)"))

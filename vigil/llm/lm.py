@@ -68,8 +68,12 @@ class Model:
             above *= width
         self.seen = {k: np.zeros_like(v) for k, v in self.w.items()}
 
-    def _layers(self, rows: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]]:
-        """For each layer: its number, feature rows, the outputs chosen above and in it, logits (outputs, tokens) with 0 as the largest."""
+    def bounded(self) -> bool:
+        """Whether no logit can be too large for ``exp`` as it is."""
+        return all(FEATURES * np.abs(self.w[f"w{k}"]).max() + np.abs(self.w[f"b{k}"]).max() < 80 for k in range(len(WIDTHS)))
+
+    def _layers(self, rows: np.ndarray, bucket: np.ndarray, shift: bool = True) -> Iterator[tuple[int, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]]:
+        """For each layer: its number, feature rows, the outputs chosen above and in it, logits (outputs, tokens), with ``shift`` 0 as the largest."""
         outer, below = [np.ascontiguousarray(r) for r in rows.T], BUCKETS
         above = np.zeros(len(bucket), np.int64)
         for k, width in enumerate(WIDTHS):
@@ -81,14 +85,15 @@ class Model:
             for r in at[1:]:
                 logits += w.take(r, axis=1)
             logits += self.w[f"b{k}"].take(above, axis=1)
-            logits -= logits.max(axis=0)
+            if shift:
+                logits -= logits.max(axis=0)
             yield k, at, above, chosen, logits
             above = above * width + chosen
 
-    def log10(self, rows: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-        """log10 p(bucket | history) of each token."""
+    def log10(self, rows: np.ndarray, bucket: np.ndarray, shift: bool = True) -> np.ndarray:
+        """log10 p(bucket | history) of each token; a ``bounded`` model needs no ``shift``."""
         at, out = np.arange(len(bucket)), np.zeros(len(bucket))
-        for _, _, _, y, logits in self._layers(rows, bucket):
+        for _, _, _, y, logits in self._layers(rows, bucket, shift):
             picked = logits[y, at].astype(np.float64)
             np.exp(logits, out=logits)
             out += picked - np.log(logits.sum(axis=0))
@@ -111,7 +116,10 @@ class Model:
     def _move(self, name: str, g: np.ndarray, rate: float) -> None:
         seen = self.seen[name]
         seen += g * g
-        self.w[name] -= np.float32(rate) * g / np.sqrt(seen + np.float32(4.0))  # rare features move little
+        size = np.sqrt(seen + np.float32(4.0))  # rare features move little
+        g *= np.float32(rate)
+        g /= size
+        self.w[name] -= g
 
     def flat(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.w.values()])
@@ -175,7 +183,7 @@ def _mean_change(changes: DataFrame, fan_in: int = 16) -> np.ndarray | None:
     return np.concatenate([np.frombuffer(r["part"], np.float32) / max(1, r["tokens"]) for r in blocks]) if blocks else None
 
 
-def train(docs: DataFrame, bucket_counts: np.ndarray, text_col: str, rounds: int = 2, rate: float = 0.5, minibatch: int = 16384, block: int = 1 << 16) -> Model:
+def train(docs: DataFrame, bucket_counts: np.ndarray, text_col: str, rounds: int = 2, rate: float = 0.5, minibatch: int = 32768, block: int = 1 << 16) -> Model:
     """The model after ``rounds`` distributed updates, each over the texts of one slice."""
     model = Model(bucket_counts)
     spark = docs.sparkSession
@@ -186,7 +194,7 @@ def train(docs: DataFrame, bucket_counts: np.ndarray, text_col: str, rounds: int
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own, total, start = None, 0, None
             texts = (t.as_py() for b in batches for t in b.column(0))
-            for feats, buckets, sizes, _ in _encoded(texts, 2 * minibatch):
+            for feats, buckets, sizes, _ in _encoded(texts, minibatch):
                 if own is None:
                     own = Model(np.zeros(BUCKETS))
                     start = shared.value.flat()
@@ -256,12 +264,12 @@ def score_texts(docs: DataFrame, held_out: Column, head_words: int = 200_000, ro
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, model, of_bucket = shared.value
-        count = _Head(head).__getitem__
+        count, shift = _Head(head).__getitem__, not model.bounded()
         task, number = TaskContext.get().partitionId(), 0
         for batch in batches:
             at = 0
             for feats, buckets, sizes, words in _encoded(t.as_py() for t in batch.column(2)):
-                parts = [model.log10(feats[i:i + 8192], buckets[i:i + 8192]) for i in range(0, len(buckets), 8192)]
+                parts = [model.log10(feats[i:i + 8192], buckets[i:i + 8192], shift) for i in range(0, len(buckets), 8192)]
                 each = np.concatenate(parts) - of_bucket[buckets]
                 starts = np.cumsum(sizes) - sizes
                 inner = np.add.reduceat(each, starts)

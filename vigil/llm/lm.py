@@ -116,7 +116,7 @@ class Model:
     def _move(self, name: str, g: np.ndarray, rate: float) -> None:
         seen = self.seen[name]
         seen += g * g
-        size = np.sqrt(seen + np.float32(4.0))  # rare features move little
+        size = np.sqrt(seen + np.float32(100.0))  # rare features move little
         g *= np.float32(rate)
         g /= size
         self.w[name] -= g
@@ -183,7 +183,7 @@ def _mean_change(changes: DataFrame, fan_in: int = 16) -> np.ndarray | None:
     return np.concatenate([np.frombuffer(r["part"], np.float32) / max(1, r["tokens"]) for r in blocks]) if blocks else None
 
 
-def train(docs: DataFrame, bucket_counts: np.ndarray, text_col: str, rounds: int = 2, rate: float = 0.5, minibatch: int = 32768, block: int = 1 << 16) -> Model:
+def train(docs: DataFrame, bucket_counts: np.ndarray, text_col: str, rounds: int = 2, rate: float = 1.0, minibatch: int = 32768, block: int = 1 << 16) -> Model:
     """The model after ``rounds`` distributed updates, each over the texts of one slice."""
     model = Model(bucket_counts)
     spark = docs.sparkSession

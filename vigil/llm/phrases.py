@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -215,10 +216,21 @@ class _Row:
         return self.uses[self.chunk[at]]
 
 
-def hash_counts(parse: DataFrame, size: int, overlap: int, frequent: np.ndarray | None) -> DataFrame:
-    """``h, f``: counts by hash of the phrases of ``size`` words over a packed dictionary, with ``frequent`` (a bit
-    table) of those whose two parts of one word less are in it."""
+#: Bits of a phrase's hash that are counted.
+HASH_BITS = 40
+
+
+def frequent_hashes(parse: DataFrame, size: int, overlap: int, frequent: np.ndarray | None, min_count: int, buckets: int) -> DataFrame:
+    """``h``: the hashes of the phrases of ``size`` words over a packed dictionary that come to ``min_count``, with
+    ``frequent`` (a bit table) of those whose two parts of one word less are in it.
+
+    A row's hashes are sorted and dealt to ``buckets`` (a power of two, 256 at least) ranges of hashes, side by side in one value per range;
+    a group adds up one range."""
     shared = parse.sparkSession.sparkContext.broadcast(frequent) if frequent is not None else None  # of fixed size
+    low = HASH_BITS - (buckets.bit_length() - 1)  # at most 32
+
+    def binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+        return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * 4).astype(np.int32).tobytes()), pa.py_buffer(values.astype(np.uint32).tobytes())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -230,11 +242,19 @@ def hash_counts(parse: DataFrame, size: int, overlap: int, frequent: np.ndarray
                     own &= known & np.append(known[1:], False)
                 at = np.flatnonzero(own)
                 if len(at):
-                    h = row.hashes(size)[at].view(np.int64)
+                    h = (row.hashes(size)[at] & np.uint64((1 << HASH_BITS) - 1)).astype(np.int64)
                     first, sums = _sums(h, row.weight(at))
-                    yield pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(sums)], names=["h", "f"])
+                    h = h[first]  # ascending
+                    begins = np.flatnonzero(np.concatenate([[True], (h[1:] >> low) != (h[:-1] >> low)]))
+                    ends = np.append(begins, len(h))
+                    yield pa.RecordBatch.from_arrays([pa.array((h[begins] >> low).astype(np.int32)), binary(h & ((1 << low) - 1), ends), binary(np.minimum(sums, (1 << 32) - 1), ends)], names=["range", "at", "f"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        at, f = (np.frombuffer(b"".join(pdf[c]), np.uint32).astype(np.int64) for c in ("at", "f"))
+        first, sums = _sums(at, f)
+        return pd.DataFrame({"h": (np.int64(pdf["range"].iloc[0]) << low) | at[first[sums >= min_count]]})
 
-    return parse.mapInArrow(run, "h bigint, f bigint").groupBy("h").agg(F.sum("f").alias("f"))
+    return parse.mapInArrow(run, "range int, at binary, f binary").groupBy("range").applyInPandas(add, "h bigint")
 
 
 def bit_table(hashes: DataFrame, bits: int) -> np.ndarray:
@@ -286,9 +306,10 @@ def collocations(docs: DataFrame, group_col: str = "lang", text_col: str = "text
     overlap = max_words - 1
     parse = stored(packed(dictionary(docs, group_col, text_col, overlap, period, none_group)), "phrases-dictionary")
     tables: list[np.ndarray] = []
+    buckets = 1 << min(16, max(8, parse.count().bit_length()))  # by the rows of some megabytes
     for size in range(1, max_words + 1):
-        counted = hash_counts(parse, size, overlap, tables[-1] if tables else None)
-        tables.append(bit_table(counted.where(F.col("f") >= min_count).select("h"), filter_bits))
+        found = frequent_hashes(parse, size, overlap, tables[-1] if tables else None, min(min_count, (1 << 32) - 1), buckets)
+        tables.append(bit_table(found, filter_bits))
     counts = phrase_counts(parse, overlap, tables).where((F.col("f") >= min_count) | (F.col("size") == 0))
     counts = stored(counts.select("group", F.col("phrase").cast("string").alias("phrase"), "size", "f"), "phrases-counts")
     words = counts.where("size = 0").select("group", F.col("f").alias("n"))

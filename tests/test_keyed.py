@@ -117,6 +117,49 @@ def test_ties_go_by_arrival_and_partials_merge():
     assert out[out["key"] == 0]["n_lines"].tolist() == [2, 1]
 
 
+def test_sensors_share_keys_and_keep_their_own_values(spark):
+    """600 sensors over three runs of a query are a few keys, and each reading goes out with its sensor's value before."""
+    n, out = 600, []
+    sent = [[(3 + 10 * b + s % 2, s, float(s + 1000 * b)) for s in range(1, n + 1) if (s + b) % 3] for b in range(4)]
+    base = folder(spark, [[line(*r) for r in lines] + [line(1 + 10 * b, 70, -1.0)] for b, lines in enumerate(sent)], end=False)  # sensor 70 has an earlier reading in each interval, too
+
+    def collect(batch, batch_id):
+        out.extend((batch_id, *r) for r in batch.where("kind = 'reading'").select("interval_id", "sensor", "value", "prev", "n").collect())
+
+    def run():
+        closed = keyed.closed_intervals(text_stream(spark, f"{base}/in"), n, 10, "5 seconds")
+        w = closed.writeStream.outputMode("append").foreachBatch(collect).option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True)
+        q = keyed.with_store(spark, lambda: ss.start_with_state_partitions(w, spark, 2))
+        q.awaitTermination()
+        return [p.stateOperators[0].numRowsUpdated for p in q.recentProgress if p.numInputRows > 0]
+
+    first = run()
+    blocks = -(-(n - keyed.SINGLE) // keyed.BLOCK)
+    assert first and max(first) <= 2 * (1 + keyed.SINGLE + blocks) < n / 3
+    for second in (99, 199):
+        add(base, second, [line(second, -1, 0.0)])
+        run()
+    start_at = min(r[1] for r in out)
+    got = sorted((r[1] - start_at, *r[2:]) for r in out)
+    held, expected = {}, []
+    for b, lines in enumerate(sent):
+        for _, s, v in lines:
+            expected.append((b, s, v, held.get(s), 2 if s == 70 else 1))
+            held[s] = v
+        if not any(s == 70 for _, s, _ in lines):
+            expected.append((b, 70, -1.0, held.get(70), 1))
+            held[70] = -1.0
+    assert got == sorted(expected)
+
+
+def test_state_keys(spark):
+    from pyspark.sql import functions as F
+
+    keys = [r[0] for r in spark.range(0, 2000).select(keyed.state_key(F.col("id").cast("int"))).collect()]
+    assert keys[:keyed.SINGLE + 1] == list(range(keyed.SINGLE + 1))
+    assert keys[keyed.SINGLE + 1:] == [keyed.SINGLE + 1 + i // keyed.BLOCK for i in range(2000 - keyed.SINGLE - 1)]
+
+
 @pytest.fixture(autouse=True)
 def _no_left_over(spark):
     yield

@@ -128,3 +128,23 @@ def test_bad_image_lines_are_rejected_not_misclassified(spark):
     lines = spark.createDataFrame([("10 0",), ("2255 255",), ("11",), ("",), ("x1 2",), ("11 a",)], "value string")
     got = si.classify_lines(lines, [1, 2], [[-1.9, -1.9], [2.1, 2.1]]).collect()
     assert [(r["status"], r["predict"]) for r in got] == [("ok", 1), ("ok", 2)] + [("bad_image", None)] * 4
+
+
+def test_chunks_have_files_by_their_lines(spark, monkeypatch):
+    """Every chunk has the same number of files, which grows with the lines (it was two, so two tasks wrote all)."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    from vigil.plans import streams as st
+    from vigil.session import scratch_dir
+
+    monkeypatch.setattr(st, "LINES_PER_FILE", 100)
+    lines = spark.range(0, 900).select(F.concat(F.lit("line "), F.col("id").cast("string")).alias("value"), (F.col("id") % 3).alias("chunk"))
+    path = scratch_dir(spark, "files").removeprefix("file:")
+    files = st.write_chunks(lines, path, spark.createDataFrame([("end",)], "value string"))
+    assert files == min(3, max(2, spark.sparkContext.defaultParallelism))
+    parts = sorted((os.stat(f"{path}/{f}").st_mtime_ns, f) for f in os.listdir(path) if f.startswith("part-"))
+    chunks = [{int(x.split()[1]) % 3 for x in open(f"{path}/{f}") if x != "end\n"} for _, f in parts]
+    assert [c for c in chunks] == [{0}] * files + [{1}] * files + [{2}] * files
+    assert sum(len(open(f"{path}/{f}").readlines()) for _, f in parts) == 901

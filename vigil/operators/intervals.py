@@ -21,6 +21,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -140,7 +141,7 @@ class LinearModel:
     def weights_frame(self, spark: SparkSession) -> DataFrame:
         schema = T.StructType([T.StructField("sensor", T.IntegerType(), False),
                                T.StructField("weight", T.DoubleType(), False)])
-        rows = [(i + 1, float(w)) for i, w in enumerate(self.weights)]
+        rows = pa.table({"sensor": pa.array(range(1, self.n + 1), pa.int32()), "weight": pa.array([float(w) for w in self.weights], pa.float64())})
         return spark.createDataFrame(rows, schema)
 
     def base(self, neutral: float) -> Column:

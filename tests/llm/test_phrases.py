@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 
+from vigil.llm import phrases as ph
 from vigil.llm.phrases import _Numbers, chunks, collocations, words_and_marks
 
 
@@ -96,3 +97,15 @@ def test_empty_table(spark):
     assert collocations(docs).count() == 0
     with pytest.raises(ValueError):
         collocations(docs, max_words=1)
+
+
+def test_dealt_rows_do_not_grow_with_the_packed_rows(spark):
+    """Many small packed rows in a task come to a value per range, not one per range and row (the rows grew with the square of the
+    packed rows, as the ranges followed their number, too)."""
+    parse = ph.dictionary(spark.range(0, 400).selectExpr("concat('g', id % 40) as lang", "concat('a b c ', id, ' d e f ', id % 7, ' g h') as text"), "lang", "text", 3, 24, "und")
+    few, many = ph.packed(parse.coalesce(1)).coalesce(1), ph.packed(parse.coalesce(1), together=40).coalesce(1)
+    assert few.count() == 40 and many.count() > 200
+    for size in (1, 2):
+        a, b = (ph.dealt_hashes(p, size, 3, None, 256).collect() for p in (few, many))
+        assert len(a) == len({r["range"] for r in a}) and sorted(a) == sorted(b)
+    assert ph.ranges_for(0) == ph.ranges_for(1 << 20) == 256 and ph.ranges_for(1 << 29) == 1024 and ph.ranges_for(1 << 50) == ph.MOST_RANGES

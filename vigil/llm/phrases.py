@@ -218,43 +218,77 @@ class _Row:
 
 #: Bits of a phrase's hash that are counted.
 HASH_BITS = 40
+#: Hashes that a task holds before it deals them out; words of the dictionary per range; most ranges (so full deals hold HELD / MOST hashes a range).
+HELD, WORDS_PER_RANGE, MOST_RANGES = 1 << 20, 1 << 20, 1 << 13
 
 
-def frequent_hashes(parse: DataFrame, size: int, overlap: int, frequent: np.ndarray | None, min_count: int, buckets: int) -> DataFrame:
-    """``h``: the hashes of the phrases of ``size`` words over a packed dictionary that come to ``min_count``, with
+def ranges_for(words: int) -> int:
+    """Ranges of hashes for a packed dictionary of so many words."""
+    return min(MOST_RANGES, max(256, 1 << (words // WORDS_PER_RANGE).bit_length()))
+
+
+def dealt_hashes(parse: DataFrame, size: int, overlap: int, frequent: np.ndarray | None, buckets: int) -> DataFrame:
+    """``range, at, f``: the hashes of the phrases of ``size`` words over a packed dictionary and their counts, with
     ``frequent`` (a bit table) of those whose two parts of one word less are in it.
 
-    A row's hashes are sorted and dealt to ``buckets`` (a power of two, 256 at least) ranges of hashes, side by side in one value per range;
-    a group adds up one range."""
+    The hashes of a task's rows, ``HELD`` at a time, are sorted and dealt to ``buckets`` (a power of two, 256 at least) ranges of hashes, side
+    by side in one value per range (32 bits each, as are the counts)."""
     shared = parse.sparkSession.sparkContext.broadcast(frequent) if frequent is not None else None  # of fixed size
     low = HASH_BITS - (buckets.bit_length() - 1)  # at most 32
 
     def binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
         return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * 4).astype(np.int32).tobytes()), pa.py_buffer(values.astype(np.uint32).tobytes())])
 
+    def counted(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct hashes of a row, ascending, and their counts."""
+        row = _Row(b, i, overlap)
+        own = row.own(size)
+        if shared is not None:
+            known = row.known(size - 1, shared.value)
+            own &= known & np.append(known[1:], False)
+        at = np.flatnonzero(own)
+        if not len(at):
+            return at, at
+        h = (row.hashes(size)[at] & np.uint64((1 << HASH_BITS) - 1)).astype(np.int64)
+        first, sums = _sums(h, row.weight(at))
+        return h[first], sums
+
+    def dealt(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        h, f = (np.concatenate(x) for x in zip(*held))
+        if len(held) > 1:
+            first, f = _sums(h, f)
+            h = h[first]
+        begins = np.flatnonzero(np.concatenate([[True], (h[1:] >> low) != (h[:-1] >> low)]))
+        ends = np.append(begins, len(h))
+        return pa.RecordBatch.from_arrays([pa.array((h[begins] >> low).astype(np.int32)), binary(h & ((1 << low) - 1), ends), binary(np.minimum(f, (1 << 32) - 1), ends)], names=["range", "at", "f"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for b in batches:
             for i in range(b.num_rows):
-                row = _Row(b, i, overlap)
-                own = row.own(size)
-                if shared is not None:
-                    known = row.known(size - 1, shared.value)
-                    own &= known & np.append(known[1:], False)
-                at = np.flatnonzero(own)
-                if len(at):
-                    h = (row.hashes(size)[at] & np.uint64((1 << HASH_BITS) - 1)).astype(np.int64)
-                    first, sums = _sums(h, row.weight(at))
-                    h = h[first]  # ascending
-                    begins = np.flatnonzero(np.concatenate([[True], (h[1:] >> low) != (h[:-1] >> low)]))
-                    ends = np.append(begins, len(h))
-                    yield pa.RecordBatch.from_arrays([pa.array((h[begins] >> low).astype(np.int32)), binary(h & ((1 << low) - 1), ends), binary(np.minimum(sums, (1 << 32) - 1), ends)], names=["range", "at", "f"])
+                h, f = counted(b, i)
+                if len(h):
+                    held.append((h, f))
+                    n += len(h)
+                if n >= HELD:
+                    yield dealt(held)
+                    held, n = [], 0
+        if held:
+            yield dealt(held)
+
+    return parse.mapInArrow(run, "range int, at binary, f binary")
+
+
+def frequent_hashes(parse: DataFrame, size: int, overlap: int, frequent: np.ndarray | None, min_count: int, buckets: int) -> DataFrame:
+    """``h``: the ``dealt_hashes`` that come to ``min_count``.  A group adds up one range."""
+    low = HASH_BITS - (buckets.bit_length() - 1)
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         at, f = (np.frombuffer(b"".join(pdf[c]), np.uint32).astype(np.int64) for c in ("at", "f"))
         first, sums = _sums(at, f)
         return pd.DataFrame({"h": (np.int64(pdf["range"].iloc[0]) << low) | at[first[sums >= min_count]]})
 
-    return parse.mapInArrow(run, "range int, at binary, f binary").groupBy("range").applyInPandas(add, "h bigint")
+    return dealt_hashes(parse, size, overlap, frequent, buckets).groupBy("range").applyInPandas(add, "h bigint")
 
 
 def bit_table(hashes: DataFrame, bits: int) -> np.ndarray:
@@ -306,7 +340,7 @@ def collocations(docs: DataFrame, group_col: str = "lang", text_col: str = "text
     overlap = max_words - 1
     parse = stored(packed(dictionary(docs, group_col, text_col, overlap, period, none_group)), "phrases-dictionary")
     tables: list[np.ndarray] = []
-    buckets = 1 << min(16, max(8, parse.count().bit_length()))  # by the rows of some megabytes
+    buckets = ranges_for((parse.agg(F.sum(F.length("ids"))).first()[0] or 0) // 4)  # by the words, however many rows hold them
     for size in range(1, max_words + 1):
         found = frequent_hashes(parse, size, overlap, tables[-1] if tables else None, min(min_count, (1 << 32) - 1), buckets)
         tables.append(bit_table(found, filter_bits))
